@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, LongType, MapType, StructType, TimestampType
+from pyspark.sql.types import ArrayType, LongType, MapType, TimestampType
 
 from feedloom.functions.times import epoch_timestamp
-from feedloom.schemas import ACTIVITY, COMMENT, CONTACT_EDGE, CONTENT, CREATOR
+from feedloom.schemas import ACTIVITY, COMMENT, CONTACT_EDGE, CONTENT, CREATOR, struct
 
 _ARTICLE_KEYS = {
     "title": "title",
@@ -117,8 +117,8 @@ CREATOR_MAP: dict[str, dict[str, str]] = {
         "interactions": "get_voteup_count", "content_count": "anwser_count",
     },
 }
-EDGE_MAP = {f.name: f.name for f in CONTACT_EDGE.fields}
-ACTIVITY_MAP = {**{f.name: f.name for f in ACTIVITY.fields}, "activity_id": "dynamic_id"}
+# Edges and activity posts have their canonical names already, but for one.
+ACTIVITY_MAP = {"activity_id": "dynamic_id"}
 
 # Platform texts that stand for "no parent".
 _NO_PARENT = ("", "0")
@@ -152,13 +152,15 @@ def _converted(c: Column, source_type: str, target) -> Column:
 
 
 def _mapped(
-    df: DataFrame, platform: str, schema: StructType, names: Mapping[str, str]
+    df: DataFrame, platform: str, ddl: str, names: Mapping[str, str]
 ) -> DataFrame:
+    schema = struct(ddl)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    has_extra = "extra" in schema.names
     used = set(names.values()) | {"add_ts", "last_modify_ts", "source_keyword", "platform"}
     out = []
     for f in schema.fields:
-        source = names.get(f.name, f.name if f.name in used else None)
+        source = names.get(f.name, f.name if f.name in used or not has_extra else None)
         if f.name == "platform":
             value = F.lit(platform)
         elif f.name == "extra":
@@ -198,7 +200,7 @@ def canonical_creator(df: DataFrame, platform: str) -> DataFrame:
 
 
 def canonical_edge(df: DataFrame, platform: str = "bili") -> DataFrame:
-    return _mapped(df, platform, CONTACT_EDGE, EDGE_MAP)
+    return _mapped(df, platform, CONTACT_EDGE, {})
 
 
 def canonical_activity(df: DataFrame, platform: str = "bili") -> DataFrame:

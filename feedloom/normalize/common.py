@@ -5,9 +5,9 @@ from __future__ import annotations
 from typing import Optional, Union
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
 
 from feedloom.functions.times import now_ms
+from feedloom.schemas import struct
 
 PAYLOAD = "payload"
 Seen = Optional[Union[int, Column]]
@@ -20,7 +20,7 @@ def opened(df: DataFrame, ddl: str) -> DataFrame:
     columns (``source_keyword``, ``requested_id``, ...) stay. A frame that already
     has the fields gets the missing ones as NULL.
     """
-    schema = StructType.fromDDL(ddl)
+    schema = struct(ddl)
     if PAYLOAD in df.columns:
         fields = {f.name for f in schema.fields}
         context = [c for c in df.columns if c != PAYLOAD and c not in fields]

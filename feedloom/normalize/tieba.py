@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
 
 from feedloom.functions.nested import number_or_zero, text_or
 from feedloom.functions.text import (
@@ -136,7 +135,7 @@ def _host(href: str) -> Column:
 def _field_json(df: DataFrame, ddl: str) -> DataFrame:
     """Parse the JSON of ``data_field``; blocks without readable JSON are dropped."""
     raw = strip("data_field")
-    parsed = F.from_json(raw, StructType.fromDDL(ddl))
+    parsed = F.from_json(raw, ddl)
     usable = (F.length(raw) > 0) & (raw != "{}") & F.col("_f").isNotNull()
     return df.withColumn("_f", parsed).where(usable & F.try_parse_json(raw).isNotNull())
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
 
 from feedloom.functions.codes import gender
 from feedloom.functions.nested import (
@@ -148,7 +147,7 @@ def normalize_comment(df: DataFrame, as_of: Seen = None) -> DataFrame:
 def page_state(df: DataFrame, html_col: str = "html") -> DataFrame:
     """Entities of the state embedded in a page, as ``_entities``."""
     state = F.from_json(
-        embedded_json(html_col, "zhihu"), StructType.fromDDL(payloads.ZHIHU_STATE)
+        embedded_json(html_col, "zhihu"), payloads.ZHIHU_STATE
     )
     return df.withColumn("_entities", state["initialState"]["entities"])
 
@@ -187,7 +186,7 @@ def page_records(df: DataFrame, entity: str, html_col: str = "html") -> DataFram
     """
     df = page_state(df, html_col)
     record = first_map_value(f"_entities.{entity}")
-    parsed = F.from_json(record, StructType.fromDDL(payloads.ZHIHU_CONTENT))
+    parsed = F.from_json(record, payloads.ZHIHU_CONTENT)
     keep = [c for c in df.columns if c not in ("_entities", html_col)]
     out = df.select(*keep, "_entities", record.alias("_record"), parsed.alias("_content"))
     out = out.where(F.col("_record").isNotNull())

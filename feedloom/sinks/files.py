@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from feedloom.functions.nested import join_list, map_json
-from feedloom.schemas import CANONICAL
+from feedloom.schemas import CANONICAL, struct
 
 LAYOUT = ("platform", "run_type", "role", "ingest_date")
 
@@ -146,11 +146,11 @@ def init_tables(spark: SparkSession, database: str) -> list[str]:
     """Drop and create the canonical tables of a database, partitioned by platform."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     made = []
-    for role, (schema, _) in CANONICAL.items():
+    for role, (ddl, _) in CANONICAL.items():
         name = f"`{database}`.`{role}`"
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         columns = ", ".join(
-            f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields if f.name != "platform"
+            f"`{f.name}` {f.dataType.simpleString()}" for f in struct(ddl).fields if f.name != "platform"
         )
         spark.sql(
             f"CREATE TABLE {name} ({columns}, `platform` string) "

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 from feedloom.functions.codes import PLATFORMS
 
 _BAD = "_corrupt"
 # A field declared as STRING keeps nested JSON as text, so one parse checks the
 # whole record and yields flag, message and payload.
-_ENVELOPE = StructType.fromDDL(
-    f"success BOOLEAN, code BIGINT, ok INT, data STRING, errors STRING, error STRING, "
+_ENVELOPE = (
+    "success BOOLEAN, code BIGINT, ok INT, data STRING, errors STRING, error STRING, "
     f"msg STRING, message STRING, {_BAD} STRING"
 )
 
@@ -72,6 +71,6 @@ def unwrap_envelope(
 
 def explode_payload(df: DataFrame, field: str) -> DataFrame:
     """One row per element of the list ``field`` of a payload, elements as JSON text."""
-    parsed = F.from_json("payload", StructType.fromDDL(f"`{field}` ARRAY<STRING>"))
+    parsed = F.from_json("payload", f"`{field}` ARRAY<STRING>")
     keep = [c for c in df.columns if c != "payload"]
     return df.select(*keep, F.posexplode(parsed[field]).alias("payload_pos", "payload"))
