@@ -222,15 +222,12 @@ def _gram_search(
     ).where(F.length("_needle") > 0).dropDuplicates(["source_keyword"])
     body = df.withColumn("_text", _haystack(text_cols))
 
-    def grams(n: int) -> Column:
-        last = F.length("_text") - (n - 1)
-        starts = F.when(last > 0, F.sequence(F.lit(1), last))
-        return F.transform(starts, lambda i: F.substring(F.col("_text"), i, F.lit(n)))
-
-    empty = F.array().cast("array<string>")
-    all_grams = F.array_distinct(
-        F.concat(*[F.coalesce(grams(n), empty) for n in range(1, GRAM + 1)])
-    )
+    # A look-ahead matches at every character, so one pass gives overlapping grams.
+    grams = [
+        F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+        for n in range(1, GRAM + 1)
+    ]
+    all_grams = F.concat(*grams)
     pairs = body.select(*key, F.explode(all_grams).alias("_gram"))
     candidates = balanced_join(pairs, needles, ["_gram"]).drop("_gram")
     checked = balanced_join(candidates, body, key).where(
