@@ -186,7 +186,8 @@ def map_to_kv(c: ColumnOrName) -> Column:
 
 
 def page_location(c: ColumnOrName) -> Column:
-    return F.regexp_extract(col(c), r"IP属地:(\S+)</span>", 1)
+    # Reluctant: the value ends with its own element even when the next one adjoins.
+    return F.regexp_extract(col(c), r"IP属地:(\S+?)</span>", 1)
 
 
 def page_time(c: ColumnOrName) -> Column:
@@ -196,7 +197,7 @@ def page_time(c: ColumnOrName) -> Column:
 
 
 def page_site_age(c: ColumnOrName) -> Column:
-    return F.regexp_extract(col(c), r"<span>吧龄:(\S+)</span>", 1)
+    return F.regexp_extract(col(c), r"<span>吧龄:(\S+?)</span>", 1)
 
 
 def page_relation_count(c: ColumnOrName) -> Column:

@@ -222,12 +222,16 @@ def _gram_search(
     ).where(F.length("_needle") > 0).dropDuplicates(["source_keyword"])
     body = df.withColumn("_text", _haystack(text_cols))
 
-    # A look-ahead matches at every character, so one pass gives overlapping grams.
-    grams = [
-        F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-        for n in range(1, GRAM + 1)
-    ]
-    all_grams = F.concat(*grams)
+    lengths = needles.agg(F.collect_set(F.length("_gram")).alias("n")).scalar()  # at most GRAM values
+
+    def grams(n: int) -> Column:
+        # A look-ahead matches at every character: one pass gives overlapping grams.
+        # Lengths that no keyword needs are not cut at all.
+        cut = F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        none = F.array().cast("array<string>")
+        return F.when(F.array_contains(lengths, F.lit(n)), F.array_distinct(cut)).otherwise(none)
+
+    all_grams = F.concat(*[grams(n) for n in range(1, GRAM + 1)])
     pairs = body.select(*key, F.explode(all_grams).alias("_gram"))
     candidates = balanced_join(pairs, needles, ["_gram"]).drop("_gram")
     checked = balanced_join(candidates, body, key).where(

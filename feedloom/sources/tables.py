@@ -22,9 +22,14 @@ def read_pages(spark: SparkSession, path: str, whole_files: bool = False) -> Dat
     )
 
 
-def read_json_array(spark: SparkSession, path: str, schema: Union[str, StructType]) -> DataFrame:
-    """Files that hold one JSON array each. The schema is declared, never inferred."""
-    return spark.read.option("multiLine", True).schema(schema).json(path)
+def read_json_array(
+    spark: SparkSession, path: str, schema: Union[str, StructType], per_line: bool = False
+) -> DataFrame:
+    """Rows of JSON arrays: one array per file, or one per line, which splits large files.
+
+    The schema is declared, never inferred.
+    """
+    return spark.read.option("multiLine", not per_line).schema(schema).json(path)
 
 
 def read_table(spark: SparkSession, sql: str, args: Optional[Mapping[str, Any]] = None) -> DataFrame:
