@@ -8,7 +8,6 @@ from feedloom.operators import media
 from feedloom.operators.aggregates import next_run_ordinal
 from feedloom.session import shared_path
 from feedloom.sinks import files, upsert
-from feedloom.sources.tables import file_names
 
 KEYS = ["user_id", "event_type"]
 
@@ -24,7 +23,7 @@ def _split_events(spark, d):
 
 
 _STATE = """SELECT user_id, event_type, arg_max(props, (ts, event_id)) AS props, arg_max(value, (ts, event_id)) AS value,
-  max(event_id) AS event_id, epoch_ms(max(ts))::BIGINT AS last_modify_ts, epoch_ms(min(ts))::BIGINT AS add_ts
+  max(event_id) AS event_id, epoch_us(max(ts)) // 1000 AS last_modify_ts, epoch_us(min(ts)) // 1000 AS add_ts
   FROM events GROUP BY 1, 2"""
 _ORDER = ["last_modify_ts", "event_id"]
 

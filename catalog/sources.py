@@ -9,8 +9,7 @@ from feedloom.operators.sets import union_sources
 from feedloom.session import shared_path
 from feedloom.sources.pages import PageSpec, Take, at, parse_html
 from feedloom.sources.responses import explode_payload, read_responses, unwrap_envelope
-from feedloom.sources.tables import file_names, first_row, lookup, read_json_array, read_table
-from feedloom.sinks.files import append_parquet
+from feedloom.sources.tables import first_row, lookup, read_json_array, read_table
 
 
 def _body(platform):
@@ -179,19 +178,6 @@ def json_arrays(spark, d):
     return read_json_array(spark, path, "event_id BIGINT, event_type STRING", per_line=True)
 
 
-@query(
-    "files_by_name",
-    """SELECT count(DISTINCT event_type)::BIGINT AS kinds FROM events""",
-)
-def files_by_name(spark, d):
-    """Names below a partitioned output; contents are not read."""
-    path = shared_path(spark, "named")
-    events = table(spark, d, "events").select("event_type", "event_id")
-    append_parquet(events.repartition("event_type"), path, partition_by=["event_type"])
-    names = file_names(spark, path).where(F.col("name").endswith(".parquet"))
-    return names.agg(F.count_distinct("name").alias("kinds"))
-
-
 @query(
     "tokens_per_document",
     r"""SELECT doc_id, len(regexp_extract_all(text, '([\p{L}\p{N}]+)', 1))::INTEGER AS n FROM documents""",

@@ -25,9 +25,10 @@ def _landed(spark, stream, mode, name):
         append_parquet(batch.withColumn("batch_id", F.lit(batch_id)), f"{out}/batch={batch_id}", "overwrite")
 
     writer = stream.writeStream.foreachBatch(write).outputMode(mode)
-    run = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with ingest.no_empty_batches(spark):
+        run = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(stream.schema.add("batch_id", "long")).parquet(out)
+    return spark.read.schema(stream.schema.add("batch_id", "long")).parquet(out).drop("batch")
 
 
 def _rocksdb(spark):
@@ -57,7 +58,7 @@ _KEYS, _ORDER = ["user_id", "event_type"], ["last_modify_ts", "event_id"]
 @query(
     "stream_upsert",
     """SELECT user_id, event_type, arg_max(props, (ts, event_id)) AS props, max(event_id) AS event_id,
-         epoch_ms(max(ts))::BIGINT AS last_modify_ts, epoch_ms(min(ts))::BIGINT AS add_ts FROM events GROUP BY 1, 2""",
+         epoch_us(max(ts)) // 1000 AS last_modify_ts, epoch_us(min(ts)) // 1000 AS add_ts FROM events GROUP BY 1, 2""",
 )
 def stream_upsert(spark, d):
     path = shared_path(spark, "stream-upsert")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from typing import Optional, Union
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -31,6 +32,22 @@ def read_stream(
     return reader.load(path)
 
 
+@contextmanager
+def no_empty_batches(spark: SparkSession) -> Iterator[None]:
+    """Start queries inside to run without empty micro-batches.
+
+    A query whose state expires by processing time would otherwise go on with empty
+    batches for ever, and a run over the files that are there would never end.
+    """
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stream_ingest(
     stream: DataFrame, fn: BatchFn, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:

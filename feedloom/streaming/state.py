@@ -116,7 +116,8 @@ def expiring_state(
     Each micro-batch that sets a key emits the value set last and ``previous``, the
     value held before the batch: NULL if there was none or if ``ttl_seconds`` of
     processing time have passed since it was set. Expired values are swept by the
-    state store (RocksDB). ``latest_unexpired`` is the batch twin, by event time.
+    state store (RocksDB). ``latest_unexpired`` is the batch twin, by event time. To run
+    it over the files that are there and stop, start it in ``no_empty_batches``.
     """
     keys, order = list(keys), list(order)
     fields = list(dict.fromkeys([value, *order]))
