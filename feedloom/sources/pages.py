@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
+from itertools import islice
 from typing import Optional
 
 import pandas as pd
@@ -62,97 +64,120 @@ class PageSpec:
     fields: dict[str, Take] = field(default_factory=dict)
 
 
+# A comment, a declaration, or a tag: (closing slash, name, attribute text).
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+|[^>]*)>",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+_RAW = {tag: re.compile(rf"</{tag}\b", re.I) for tag in ("script", "style", "title", "textarea")}
+
+
 class _Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "texts", "start", "end")
+    __slots__ = ("tag", "raw", "parent", "texts", "start", "end", "_attrs")
 
-    def __init__(self, tag, attrs, parent, start):
-        self.tag, self.attrs, self.parent = tag, attrs, parent
-        self.children, self.texts = [], []
-        self.start, self.end = start, start
+    def __init__(self, tag: str, raw: str, parent: Optional[_Node], start: int):
+        self.tag, self.raw, self.parent, self.start = tag, raw, parent, start
+        self.end, self.texts, self._attrs = start, [], None
 
+    @property
+    def attrs(self) -> dict[str, str]:
+        """Attributes, parsed when first asked for; the first of a repeated name counts."""
+        if self._attrs is None:
+            self._attrs = {}
+            for name, value in _ATTRIBUTE.findall(self.raw):
+                if value[:1] in ("'", '"'):
+                    value = value[1:-1]
+                self._attrs.setdefault(name.lower(), html_lib.unescape(value))
+        return self._attrs
 
-class _Tree(HTMLParser):
-    """Light element tree that remembers where each element stands in the source."""
+
+class _Page:
+    """Elements of a page in document order, each with its place in the source."""
 
     def __init__(self, source: str):
-        super().__init__(convert_charrefs=True)
-        self._lines = [0, *(m.end() for m in re.finditer("\n", source))]
-        self.root = self._open = _Node("", {}, None, 0)
-        self.feed(source)
-        self.close()
-        while self._open is not None:
-            self._open.end = len(source)
-            self._open = self._open.parent
-
-    def _offset(self) -> int:
-        line, column = self.getpos()
-        return self._lines[line - 1] + column
-
-    def _close_top(self, end: int) -> None:
-        self._open.end = end
-        self._open = self._open.parent
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _CLOSED_BY.get(self._open.tag, ()):
-            self._close_top(self._offset())
-        node = _Node(tag, {k: v or "" for k, v in attrs}, self._open, self._offset())
-        self._open.children.append(node)
-        node.end = node.start + len(self.get_starttag_text() or "")
-        if tag not in _VOID:
-            self._open = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if self._open.tag == tag and tag not in _VOID:
-            self._close_top(self._open.end)
-
-    def handle_endtag(self, tag):
-        node = self._open
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is None or node is self.root:
-            return
-        here = self._offset()
-        while self._open is not node:
-            self._close_top(here)
-        self._close_top(here + len(tag) + 3)
-
-    def handle_data(self, data):
-        self._open.texts.append(data)
-
-
-def _below(node: _Node) -> Iterator[_Node]:
-    stack = list(reversed(node.children))
-    while stack:
-        current = stack.pop()
-        yield current
-        stack.extend(reversed(current.children))
+        self.source = source
+        self.root = top = _Node("", "", None, -1)
+        self.nodes: list[_Node] = []
+        self.by_tag: dict[str, list[_Node]] = {}
+        self._opened: Counter[str] = Counter()   # open elements per tag
+        position = 0
+        match = _TOKEN.search(source)
+        while match is not None:
+            begin, end = match.span()
+            if begin > position:
+                top.texts.append(source[position:begin])
+            slash, tag, raw = match.groups()
+            position = end
+            if tag is not None:
+                tag = tag.lower()
+                top = self._close(top, tag, begin, end) if slash else self._open(top, tag, raw, begin, end)
+                if not slash and tag in _RAW and top.tag == tag:
+                    # Up to its end tag the content is text, whatever it looks like.
+                    stop = _RAW[tag].search(source, end)
+                    position = stop.start() if stop else len(source)
+                    if position > end:
+                        top.texts.append(source[end:position])
+            match = _TOKEN.search(source, position)
+        if position < len(source):
+            top.texts.append(source[position:])
+        while top is not None:
+            top.end = len(source)
+            top = top.parent
+
+    def _open(self, top: _Node, tag: str, raw: str, begin: int, end: int) -> _Node:
+        if tag in _CLOSED_BY.get(top.tag, ()):
+            top = self._leave(top, begin)
+        node = _Node(tag, raw, top, begin)
+        node.end = end
+        self.nodes.append(node)
+        self.by_tag.setdefault(tag, []).append(node)
+        if tag in _VOID or raw == "/" or raw[-2:] in (" /", '"/', "'/"):
+            return top
+        self._opened[tag] += 1
+        return node
+
+    def _leave(self, node: _Node, end: int) -> _Node:
+        node.end = end
+        self._opened[node.tag] -= 1
+        return node.parent
+
+    def _close(self, top: _Node, tag: str, begin: int, end: int) -> _Node:
+        if not self._opened[tag]:
+            return top  # an end tag without a start tag
+        while top.tag != tag:
+            top = self._leave(top, begin)
+        return self._leave(top, end)
+
+    def below(self, node: _Node, tag: Optional[str]) -> Iterator[_Node]:
+        pool = self.nodes if tag is None else self.by_tag.get(tag, [])
+        first = bisect_right(pool, node.start, key=lambda n: n.start)
+        for n in islice(pool, first, None):
+            if n.start >= node.end:
+                return
+            yield n
 
 
 def _fits(node: _Node, step: Step) -> bool:
-    if step.tag is not None and node.tag != step.tag:
-        return False
     if step.href_prefix is not None and not node.attrs.get("href", "").startswith(step.href_prefix):
         return False
     return all(node.attrs.get(k) == v for k, v in step.attrs)
 
 
-def _find(start: _Node, path: Sequence[Step]) -> list[_Node]:
+def _find(page: _Page, start: _Node, path: Sequence[Step]) -> list[_Node]:
     found = [start]
     for step in path:
         matches, known = [], set()
         for node in found:
-            pool = node.children if step.child else _below(node)
-            fitting = [n for n in pool if _fits(n, step)]
-            if step.nth is not None:
-                seen: dict[int, int] = {}
-                kept = []
-                for n in fitting:
+            seen: dict[int, int] = {}
+            for n in page.below(node, step.tag):
+                if (step.child and n.parent is not node) or not _fits(n, step):
+                    continue
+                if step.nth is not None:
                     seen[id(n.parent)] = seen.get(id(n.parent), 0) + 1
-                    if seen[id(n.parent)] == step.nth:
-                        kept.append(n)
-                fitting = kept
-            for n in fitting:
+                    if seen[id(n.parent)] != step.nth:
+                        continue
                 if id(n) not in known:
                     known.add(id(n))
                     matches.append(n)
@@ -160,24 +185,24 @@ def _find(start: _Node, path: Sequence[Step]) -> list[_Node]:
     return found
 
 
-def _read(node: _Node, what: str, source: str) -> list[str]:
+def _read(page: _Page, node: _Node, what: str) -> list[str]:
     if what == "text":
-        return node.texts
+        return node.texts if node.tag in ("script", "style") else [html_lib.unescape(t) for t in node.texts]
     if what == "html":
-        return [source[node.start:node.end]]
+        return [page.source[node.start:node.end]]
     return [node.attrs[what]] if what in node.attrs else []
 
 
 def page_records(source: str, spec: PageSpec) -> list[dict]:
     """Records of one page, in block order. A field without a match is ''."""
-    tree = _Tree(source)
+    page = _Page(source)
     rows = []
     for path in spec.blocks:
-        for block in _find(tree.root, path):
+        for block in _find(page, page.root, path):
             row = {}
             for name, take in spec.fields.items():
-                start = tree.root if take.whole_page else block
-                values = [v for n in _find(start, take.path) for v in _read(n, take.what, source)]
+                start = page.root if take.whole_page else block
+                values = [v for n in _find(page, start, take.path) for v in _read(page, n, take.what)]
                 value = values[take.index] if len(values) > take.index else ""
                 row[name] = html_lib.unescape(value) if take.unescape else value
             rows.append(row)
