@@ -33,7 +33,7 @@ def read_responses(
 
 def _rules(platform: str, e: Column, body: Column) -> tuple[Column, Column, Column]:
     """(is a success, payload, error text) of one platform's envelope."""
-    sound = e[_BAD].isNull()
+    sound = body.isNotNull() & e[_BAD].isNull()
     if platform == "xhs":
         return sound & e["success"], F.coalesce(e["data"], F.lit("{}")), e["msg"]
     if platform == "bili":

@@ -109,7 +109,7 @@ def _plain(x):
 
 
 def expiring_state(
-    stream: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], ttl_seconds: int
+    stream: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], ttl_seconds: float
 ) -> DataFrame:
     """Set values per key and get what was there.
 
@@ -119,6 +119,9 @@ def expiring_state(
     state store (RocksDB). ``latest_unexpired`` is the batch twin, by event time. To run
     it over the files that are there and stop, start it in ``no_empty_batches``.
     """
+    ttl_ms = int(ttl_seconds * 1000)
+    if ttl_ms <= 0:
+        raise ValueError("the time to live must be at least a millisecond")
     keys, order = list(keys), list(order)
     fields = list(dict.fromkeys([value, *order]))
     rows = stream.select(*keys, *[c for c in fields if c not in keys])
@@ -136,7 +139,7 @@ def expiring_state(
         rows.mapInPandas(newest, schema)
         .groupBy(*keys)
         .transformWithStateInPandas(
-            statefulProcessor=_Expiring(keys, order, value, ttl_seconds * 1000, held),
+            statefulProcessor=_Expiring(keys, order, value, ttl_ms, held),
             outputStructType=output,
             outputMode="Update",
             timeMode="ProcessingTime",
