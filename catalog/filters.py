@@ -63,13 +63,13 @@ def keep_types(spark, d):
 
 @query(
     "route_by_type",
-    """SELECT event_id, 'seen' AS what, user_id AS amount FROM events WHERE event_type = 'view'
-       UNION ALL SELECT event_id, 'paid', event_id FROM events WHERE event_type = 'purchase'""",
+    """SELECT event_id, 'seen' AS what, user_id AS amount, NULL::VARCHAR AS props FROM events WHERE event_type = 'view'
+       UNION ALL SELECT event_id, 'paid', event_id, props FROM events WHERE event_type = 'purchase'""",
 )
 def route_by_type(spark, d):
     routes = {
-        "view": lambda e: e.select("event_id", F.lit("seen").alias("what"), F.col("user_id").alias("amount")),
-        "purchase": lambda e: e.select("event_id", F.lit("paid").alias("what"), F.col("event_id").alias("amount")),
+        "view": [F.col("event_id"), F.lit("seen").alias("what"), F.col("user_id").alias("amount")],
+        "purchase": [F.col("event_id"), F.lit("paid").alias("what"), F.col("event_id").alias("amount"), F.col("props")],
     }
     return fl.route_by_type(table(spark, d, "events"), "event_type", routes)
 

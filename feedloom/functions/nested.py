@@ -149,3 +149,35 @@ def rename_snake(c: ColumnOrName, data_type: DataType) -> Column:
     """Rename nested fields by a cast: positions stay, only names change."""
     return col(c).cast(snake_schema(data_type))
 
+
+def camel_case(name: str) -> str:
+    head, *rest = name.split("_")
+    return head + "".join(part[:1].upper() + part[1:] for part in rest)
+
+
+def camel_schema(data_type: DataType) -> DataType:
+    """The same type with every struct field in camel case, at any depth."""
+    if isinstance(data_type, StructType):
+        return StructType(
+            [StructField(camel_case(f.name), camel_schema(f.dataType)) for f in data_type.fields]
+        )
+    if isinstance(data_type, ArrayType):
+        return ArrayType(camel_schema(data_type.elementType))
+    if isinstance(data_type, MapType):
+        return MapType(data_type.keyType, camel_schema(data_type.valueType))
+    return data_type
+
+
+def fill(first: Column, second: Column, data_type: DataType) -> Column:
+    """``first`` with its NULLs, also those inside structs, taken from ``second``."""
+    if not isinstance(data_type, StructType):
+        return F.coalesce(first, second)
+    fields = [fill(first[f.name], second[f.name], f.dataType).alias(f.name) for f in data_type.fields]
+    return F.when(first.isNotNull() | second.isNotNull(), F.struct(*fields))
+
+
+def from_any_case(c: ColumnOrName, schema: StructType) -> Column:
+    """Parse a JSON record whose names may be in snake case or in camel case."""
+    snake = F.from_json(col(c), schema)
+    camel = F.from_json(col(c), camel_schema(schema)).cast(schema)
+    return fill(snake, camel, schema)

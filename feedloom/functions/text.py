@@ -249,8 +249,8 @@ def html_unescape(c: ColumnOrName) -> Column:
 _HAN = r"\p{IsHan}"
 
 
-# A letter or digit that is not a Han character.
-_WORD = rf"[\p{{L}}\p{{N}}&&[^{_HAN}]]"
+# A letter or digit that is not a Han character; plain ASCII is tested first.
+_WORD = rf"[a-zA-Z0-9[\p{{L}}\p{{N}}&&[^{_HAN}]]]"
 
 
 def _custom_pattern(word: str) -> str:
@@ -274,12 +274,12 @@ def tokens(c: ColumnOrName, custom: Iterable[str] = (), han: str = "char") -> Co
     custom = [w for w in custom if w]
     text = col(c)
     if not custom and han == "char":
-        pattern = f"{_HAN}|{_WORD}+"
+        pattern = f"{_WORD}+|{_HAN}"
         return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     longest_first = sorted(custom, key=lambda w: (-len(w), w))
     guard = "|".join(_custom_pattern(w) for w in longest_first)
     run = f"(?:(?!{guard}){_HAN})+" if guard else f"{_HAN}+"
-    pattern = "|".join(p for p in (guard, run, f"{_WORD}+") if p)
+    pattern = "|".join(p for p in (guard, f"{_WORD}+", run) if p)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def split_run(w: Column) -> Column:

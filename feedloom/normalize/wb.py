@@ -9,6 +9,8 @@ from feedloom.functions.text import content_url, drop_text, strip_tags_short
 from feedloom.functions.times import mail_china_text, mail_wallclock_epoch
 from feedloom.normalize import payloads
 from feedloom.normalize.common import Seen, context, opened, seen, text
+from feedloom.operators.filters import select_cards
+from feedloom.sources.embedded import wb_note_payload
 
 
 def _posted() -> list[Column]:
@@ -46,6 +48,20 @@ def normalize_note(df: DataFrame, as_of: Seen = None) -> DataFrame:
     )
 
 
+def page_notes(df: DataFrame, html_col: str = "html") -> DataFrame:
+    """Posts embedded in detail pages, as payloads."""
+    keep = [c for c in df.columns if c != html_col]
+    found = df.select(*keep, wb_note_payload(html_col).alias("payload"))
+    return found.where(F.col("payload").isNotNull())
+
+
+def search_records(df: DataFrame) -> DataFrame:
+    """Posts of search cards, at the top level and inside groups."""
+    cards = select_cards(opened(df, payloads.WB_CARD))
+    keep = [c for c in cards.columns if c not in ("card_type", "card_pos", "mblog")]
+    return cards.where(F.col("mblog").isNotNull()).select(*keep, "mblog.*")
+
+
 def normalize_comment(df: DataFrame, as_of: Seen = None) -> DataFrame:
     df = opened(df, payloads.WB_COMMENT)
     return df.select(

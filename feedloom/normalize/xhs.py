@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from feedloom.functions.codes import gender
 from feedloom.functions.nested import (
     entries_to_map,
+    from_any_case,
     join_list,
     map_json,
     text_or,
@@ -15,6 +16,8 @@ from feedloom.functions.nested import (
 from feedloom.functions.text import VIDEO_HOST, content_url, truncate
 from feedloom.normalize import payloads
 from feedloom.normalize.common import Seen, context, opened, seen, text
+from feedloom.schemas import struct
+from feedloom.sources.embedded import xhs_creator_payload, xhs_note_payload
 
 
 def image_url(image: Column) -> Column:
@@ -73,6 +76,22 @@ def normalize_note(df: DataFrame, as_of: Seen = None) -> DataFrame:
     )
 
 
+def page_notes(df: DataFrame, html_col: str = "html", note_id: str = "note_id") -> DataFrame:
+    """Notes embedded in detail pages, as payload fields (the page's names are camel case)."""
+    record = from_any_case("_record", struct(payloads.XHS_NOTE)).alias("_note")
+    context_columns = [c for c in df.columns if c not in (html_col, note_id)]
+    found = df.select(*context_columns, xhs_note_payload(html_col, note_id).alias("_record"))
+    found = found.where(F.col("_record").isNotNull()).select(*context_columns, record)
+    return found.select(*context_columns, "_note.*")
+
+
+def page_creators(df: DataFrame, html_col: str = "html") -> DataFrame:
+    """Creators embedded in profile pages, as payloads (``user_id`` stays beside them)."""
+    keep = [c for c in df.columns if c != html_col]
+    found = df.select(*keep, xhs_creator_payload(html_col).alias("payload"))
+    return found.where(F.col("payload").isNotNull())
+
+
 def normalize_comment(df: DataFrame, as_of: Seen = None) -> DataFrame:
     """Comments; the note they were requested for (``requested_id``) is their note."""
     df = opened(df, payloads.XHS_COMMENT)

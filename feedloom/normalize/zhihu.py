@@ -9,6 +9,7 @@ from feedloom.functions.nested import (
     first_map_value,
     first_match,
     first_nonzero,
+    from_any_case,
     number_or_zero,
     text_or,
 )
@@ -16,6 +17,7 @@ from feedloom.functions.text import ZHIHU_ARTICLE_HOST, ZHIHU_HOST, strip_html
 from feedloom.normalize import payloads
 from feedloom.normalize.common import Seen, context, opened, seen, text
 from feedloom.operators.filters import keep_types, route_by_type
+from feedloom.schemas import struct
 from feedloom.sources.embedded import embedded_json
 
 
@@ -59,8 +61,8 @@ def _content(
     desc: Column,
     created: Column,
     updated: Column,
-) -> DataFrame:
-    return df.withColumn("_author", author()).select(
+) -> list[Column]:
+    return [
         F.col("id").alias("content_id"),
         F.col("type").alias("content_type"),
         strip_html(body).alias("content_text"),
@@ -75,11 +77,10 @@ def _content(
         context(df, "source_keyword").alias("source_keyword"),
         *_people(with_token=True),
         seen(as_of),
-    )
+    ]
 
 
-def normalize_answer(df: DataFrame, as_of: Seen = None) -> DataFrame:
-    df = opened(df, payloads.ZHIHU_CONTENT)
+def _answer(df: DataFrame, as_of: Seen) -> list[Column]:
     question = F.col("question.id")
     url = F.concat(F.lit(f"{ZHIHU_HOST}/question/"), question, F.lit("/answer/"), F.col("id"))
     return _content(
@@ -88,8 +89,7 @@ def normalize_answer(df: DataFrame, as_of: Seen = None) -> DataFrame:
     )
 
 
-def normalize_article(df: DataFrame, as_of: Seen = None) -> DataFrame:
-    df = opened(df, payloads.ZHIHU_CONTENT)
+def _article(df: DataFrame, as_of: Seen) -> list[Column]:
     return _content(
         df, as_of, F.col("content"), F.concat(F.lit(f"{ZHIHU_ARTICLE_HOST}/p/"), F.col("id")),
         F.lit(""), F.col("excerpt"), first_nonzero("created_time", "created"),
@@ -97,9 +97,8 @@ def normalize_article(df: DataFrame, as_of: Seen = None) -> DataFrame:
     )
 
 
-def normalize_zvideo(df: DataFrame, as_of: Seen = None) -> DataFrame:
+def _zvideo(df: DataFrame, as_of: Seen) -> list[Column]:
     """Videos come from a creator's list (``video`` is an object) or from search."""
-    df = opened(df, payloads.ZHIHU_CONTENT)
     listed = F.coalesce(F.startswith(F.col("video"), F.lit("{")), F.lit(False))
     own_url = F.concat(F.lit(f"{ZHIHU_HOST}/zvideo/"), F.col("id"))
     return _content(
@@ -111,17 +110,10 @@ def normalize_zvideo(df: DataFrame, as_of: Seen = None) -> DataFrame:
 
 
 def normalize_content(df: DataFrame, as_of: Seen = None) -> DataFrame:
-    """All three kinds; other types are dropped."""
-    df = opened(df, payloads.ZHIHU_CONTENT)
-    return route_by_type(
-        df,
-        "type",
-        {
-            "answer": lambda d: normalize_answer(d, as_of),
-            "article": lambda d: normalize_article(d, as_of),
-            "zvideo": lambda d: normalize_zvideo(d, as_of),
-        },
-    )
+    """Answers, articles and videos, each with its own fallbacks; other types are dropped."""
+    df = opened(df, payloads.ZHIHU_CONTENT).withColumn("_author", author())
+    kinds = {"answer": _answer, "article": _article, "zvideo": _zvideo}
+    return route_by_type(df, "type", {name: fn(df, as_of) for name, fn in kinds.items()})
 
 
 def normalize_comment(df: DataFrame, as_of: Seen = None) -> DataFrame:
@@ -182,17 +174,19 @@ def normalize_creator(df: DataFrame, html_col: str = "html", as_of: Seen = None)
 def page_records(df: DataFrame, entity: str, html_col: str = "html") -> DataFrame:
     """The first answer, article or video embedded in a detail page, as a payload.
 
-    A video may name its author by key; the key is resolved in the page's users.
+    Names may be in either case. A video may name its author by key; the key is
+    resolved in the page's users.
     """
     df = page_state(df, html_col)
     record = first_map_value(f"_entities.{entity}")
-    parsed = F.from_json(record, payloads.ZHIHU_CONTENT)
     keep = [c for c in df.columns if c not in ("_entities", html_col)]
-    out = df.select(*keep, "_entities", record.alias("_record"), parsed.alias("_content"))
-    out = out.where(F.col("_record").isNotNull())
+    out = df.select(*keep, "_entities.users", record.alias("_record"))
+    out = out.where(F.col("_record").isNotNull()).select(
+        *keep, "users", "_record",
+        from_any_case("_record", struct(payloads.ZHIHU_CONTENT)).alias("_content"),
+    )
     if entity == "zvideos":
-        key = F.get_json_object("_record", "$.author")
-        user = F.try_element_at("_entities.users", key)
+        user = F.try_element_at("users", F.get_json_object("_record", "$.author"))
         named = F.struct(
             user["id"].alias("id"),
             user["urlToken"].alias("url_token"),
@@ -200,10 +194,6 @@ def page_records(df: DataFrame, entity: str, html_col: str = "html") -> DataFram
             user["avatarUrl"].alias("avatar_url"),
             F.col("_content.author.member").alias("member"),
         )
-        out = out.withColumn(
-            "_content",
-            F.col("_content").withField(
-                "author", F.when(user.isNotNull(), named).otherwise(F.col("_content.author"))
-            ),
-        )
+        author_field = F.when(user.isNotNull(), named).otherwise(F.col("_content.author"))
+        out = out.withColumn("_content", F.col("_content").withField("author", author_field))
     return out.select(*keep, "_content.*")

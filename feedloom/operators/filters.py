@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from typing import Optional, Union
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 from feedloom.functions.codes import KIND_CODES, PUBLISH_WINDOWS
 from feedloom.functions.nested import ColumnOrName, col
@@ -48,11 +48,33 @@ def keep_types(df: DataFrame, column: ColumnOrName, types: Iterable[str]) -> Dat
 
 
 def route_by_type(
-    df: DataFrame, column: str, routes: Mapping[str, Callable[[DataFrame], DataFrame]]
+    df: DataFrame, column: str, routes: Mapping[str, Sequence[Column]], keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Send each type through its own projection; rows of other types are dropped."""
-    parts = [fn(df.where(F.col(column) == name)) for name, fn in routes.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    """Project each type in its own way; rows of other types are dropped.
+
+    ``routes`` gives the output columns per type (a column one type lacks is NULL
+    there). One pass: a type's expressions are evaluated on its rows only.
+    """
+    kinds: dict[str, DataType] = {}
+    named = {}
+    for name, columns in routes.items():
+        fields = df.select(*columns).schema.fields
+        kinds.update({f.name: f.dataType for f in fields if f.name not in kinds})
+        named[name] = dict(zip([f.name for f in fields], columns))
+    routed = F.lit(None)
+    for name, columns in named.items():
+        row = F.struct(
+            *[
+                (columns[n] if n in columns else F.lit(None)).cast(kind).alias(n)
+                for n, kind in kinds.items()
+            ]
+        )
+        routed = F.when(F.col(column) == name, row).otherwise(routed)
+    return (
+        df.where(F.col(column).isin(*routes))
+        .select(*keep, routed.alias("_routed"))
+        .select(*keep, *[F.col("_routed")[n].alias(n) for n in kinds])
+    )
 
 
 def of_kind(df: DataFrame, platform: str, code: str, column: str = "content_type") -> DataFrame:

@@ -18,7 +18,7 @@ from feedloom.operators.filters import in_day_range
 from feedloom.session import cut_lineage
 
 GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
-SALTED_FROM = 50    # larger caps are pruned in two rounds
+SALTED_FROM = 200   # larger caps are pruned in two rounds
 SALTS = 64
 TOP_ROWS = 100_000  # most rows a single top-k task may hold
 
@@ -35,8 +35,9 @@ def ranked(
     if not keys or n > GROUP_LIMIT:
         return numbered(df, keys, order, name).where(F.col(name) <= n)
     if n > SALTED_FROM:
-        # Each map task may send n rows of a hot key. A first round over salted
-        # groups keeps them from meeting in one task. The first n of a group are the first n of a piece.
+        # Each map task may send n rows of a hot key, which for a large n is too much
+        # for one task. A first round caps salted pieces of the groups: the first n of
+        # a group are among the first n of their pieces.
         piece = F.pmod(F.spark_partition_id(), F.lit(SALTS))
         salted = df.withColumn("_piece", piece)
         window = Window.partitionBy(*keys, "_piece").orderBy(*order)

@@ -7,7 +7,7 @@ from typing import Optional
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from feedloom.session import estimated_bytes
+from feedloom.session import estimated_bytes, is_small
 
 SALTS = 64           # pieces a hot key is split into
 HOT_TRACKED = 1000   # counters of the heavy-hitter sketch, per task
@@ -45,8 +45,8 @@ def balanced_join(
 ) -> DataFrame:
     """Equi-join ``big`` with ``small``, splitting the hot keys of ``big``.
 
-    Up to ``salt_from_bytes`` this is a plain join: Catalyst broadcasts a side it
-    has measured, and adaptive execution splits skewed partitions. Above, rows of
+    A ``small`` that Catalyst broadcasts needs no care, and up to ``salt_from_bytes``
+    adaptive execution splits skewed partitions: both are plain joins. Above, rows of
     a hot key are spread over ``salts`` pieces and the (few) matching rows of
     ``small`` are repeated once per piece; all other rows are untouched.
     ``how`` is inner, left, left_semi or left_anti, seen from ``big``.
@@ -56,7 +56,7 @@ def balanced_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join type {how!r} cannot be salted")
     on = list(on)
-    if estimated_bytes(big) < salt_from_bytes:
+    if estimated_bytes(big) < salt_from_bytes or (salt_from_bytes and is_small(small)):
         return big.join(small, on, how)
     hot = hot_keys(big, on, share)
     is_hot = F.coalesce(F.array_contains(hot, F.xxhash64(*on)), F.lit(False))

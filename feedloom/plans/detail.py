@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from feedloom.functions.text import last_segment, url_kind
-from feedloom.normalize import zhihu
+from feedloom.normalize import xhs, zhihu
+from feedloom.operators.joins import prefer
 from feedloom.operators.sets import union_sources
 
 
@@ -17,6 +18,14 @@ class DetailResult:
     not_found: DataFrame
 
 
+def xhs_details(api: DataFrame, pages: DataFrame) -> DataFrame:
+    """Notes by id: the response's record, with gaps and lost notes filled from the page.
+
+    ``api`` holds note payloads; ``pages(note_id, html)`` the landed detail pages.
+    """
+    return prefer(xhs.normalize_note(api), xhs.normalize_note(xhs.page_notes(pages)), ["note_id"])
+
+
 def zhihu_details(seeds: DataFrame, pages: DataFrame) -> DetailResult:
     """``seeds(url)`` and ``pages(url, html)``: contents found, and seeds without a page.
 

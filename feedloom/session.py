@@ -60,16 +60,26 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
+SPREAD_BELOW = 512 << 20
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """Largest estimated side Catalyst broadcasts, in bytes (-1: none)."""
+    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether Catalyst will broadcast the frame."""
+    return estimated_bytes(df) <= broadcast_limit(df.sparkSession)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Split a small, badly split input before CPU-heavy work.
 
     A table of a few row groups would run on a few cores however many there are.
-    Only inputs below one scan split per core are shuffled, so a large table,
-    which has splits enough, is never moved.
+    Only inputs below SPREAD_BELOW bytes are shuffled; larger ones have splits enough.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
-    if cores > 1 and estimated_bytes(df) < split * cores:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if cores > 1 and estimated_bytes(df) < SPREAD_BELOW:
         return df.repartition(cores)
     return df

@@ -8,6 +8,8 @@ from typing import Any, Optional
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from feedloom.session import is_small
+
 ADDED = "add_ts"
 VERSION = "v="
 
@@ -17,7 +19,7 @@ def last_updates(updates: DataFrame, keys: Sequence[str], order: Sequence[str],
 
     A partial aggregate per mapper, so a key with very many updates costs no task much.
     """
-    payload = [c for c in updates.columns if c not in keys]
+    payload = [c for c in updates.columns if c not in keys and c != ADDED]
     return (
         updates.groupBy(*keys)
         .agg(
@@ -40,32 +42,55 @@ def upsert(
     ``order`` names ascending columns, a total order of the updates of a key: the last
     one wins. All its payload columns replace the target's, NULLs too. ``add_ts`` is
     kept, or set to the time of a new key's first update. Columns that only the target
-    has are kept as they are.
+    has are kept as they are. The size of the updates is checked: small ones are
+    broadcast to the target, others are matched by a full outer join.
     """
     keys = list(keys)
-    payload = [c for c in updates.columns if c not in keys and c != ADDED]
     new = last_updates(updates, keys, order, seen)
-    new = new.select(
-        *keys,
-        F.struct(*payload).alias("_u"),
-        F.col("_first_seen").alias("_first_seen"),
-    )
-    rest = [c for c in target.columns if c not in keys and c != ADDED]
+    if is_small(new):
+        return _merge_small(target, new, keys)
+    return _merge_full(target, new, keys)
+
+
+def _merge_full(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Full outer join of the target with one update per key."""
+    rest, fresh = _columns(target, new, keys)
     old = target.select(*keys, F.struct(*rest, ADDED).alias("_t"))
-    joined = old.join(new, keys, "full_outer")
-    added = F.coalesce(F.col("_t")[ADDED], F.col("_first_seen")).alias(ADDED)
+    put = new.select(*keys, F.struct(*[c for c in new.columns if c not in keys]).alias("_u"))
+    t, u = F.col("_t"), F.col("_u")
 
     def value(name: str) -> Column:
-        if name not in payload:
-            return F.col("_t")[name].alias(name)
+        if name not in new.columns:
+            return t[name]
         if name not in rest:
-            return F.col("_u")[name].alias(name)
-        return (
-            F.when(F.col("_u").isNotNull(), F.col("_u")[name]).otherwise(F.col("_t")[name])
-        ).alias(name)
+            return u[name]
+        return F.when(u.isNotNull(), u[name]).otherwise(t[name])
 
-    columns = [*rest, *[c for c in payload if c not in rest]]
-    return joined.select(*keys, *[value(c) for c in columns], added)
+    return old.join(put, keys, "full_outer").select(
+        *keys,
+        *[value(c).alias(c) for c in [*rest, *fresh]],
+        F.coalesce(t[ADDED], u["_first_seen"]).alias(ADDED),
+    )
+
+
+def _merge_small(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Untouched target rows, and the updates with what they take over from the target.
+
+    The updates are broadcast to the target, which is not shuffled at all.
+    """
+    rest, fresh = _columns(target, new, keys)
+    only_old = [c for c in rest if c not in new.columns]
+    untouched = target.join(new.select(*keys), keys, "left_anti")
+    taken = target.select(*keys, *only_old, ADDED).join(new.select(*keys), keys, "left_semi")
+    put = new.join(taken, keys, "left").withColumn(ADDED, F.coalesce(ADDED, "_first_seen"))
+    columns = [*keys, *rest, *fresh, ADDED]
+    return untouched.unionByName(put.drop("_first_seen"), allowMissingColumns=True).select(*columns)
+
+
+def _columns(target: DataFrame, new: DataFrame, keys: list[str]) -> tuple[list[str], list[str]]:
+    """Payload columns of the target, and those only the updates have."""
+    rest = [c for c in target.columns if c not in keys and c != ADDED]
+    return rest, [c for c in new.columns if c not in keys and c not in rest and c != "_first_seen"]
 
 
 def keep_all_keywords(df: DataFrame, keys: Sequence[str], keyword: str = "source_keyword") -> list[str]:

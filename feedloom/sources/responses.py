@@ -51,6 +51,24 @@ def _rules(platform: str, e: Column, body: Column) -> tuple[Column, Column, Colu
     raise ValueError(f"unknown platform {platform!r}")
 
 
+def open_envelope(df: DataFrame, platform: str, body: str = "body") -> DataFrame:
+    """``payload`` of a success or ``error`` of a failure beside each response.
+
+    Exactly one of the two is filled. One pass: write the result partitioned by
+    ``error IS NULL`` to land both kinds without a second scan.
+    """
+    envelope = F.from_json(F.col(body), _ENVELOPE, {"columnNameOfCorruptRecord": _BAD})
+    parsed = df.withColumn("_e", envelope)
+    success, payload, reason = _rules(platform, F.col("_e"), F.col(body))
+    success = F.coalesce(success, F.lit(False))
+    return parsed.withColumns(
+        {
+            "payload": F.when(success, payload),
+            "error": F.when(~success, F.coalesce(reason, F.lit("unreadable response"))),
+        }
+    ).drop("_e")
+
+
 def unwrap_envelope(
     df: DataFrame, platform: str, body: str = "body"
 ) -> tuple[DataFrame, DataFrame]:
@@ -58,15 +76,11 @@ def unwrap_envelope(
 
     The two frames are disjoint and together are the input. Unparsable bodies fail.
     """
-    envelope = F.from_json(F.col(body), _ENVELOPE, {"columnNameOfCorruptRecord": _BAD})
-    parsed = df.withColumn("_e", envelope)
-    success, payload, reason = _rules(platform, F.col("_e"), F.col(body))
-    success = F.coalesce(success, F.lit(False))
-    ok = parsed.where(success).withColumn("payload", payload).drop("_e", body)
-    failed = parsed.where(~success).withColumn(
-        "error", F.coalesce(reason, F.lit("unreadable response"))
+    opened = open_envelope(df, platform, body)
+    return (
+        opened.where(F.col("error").isNull()).drop("error", body),
+        opened.where(F.col("error").isNotNull()).drop("payload"),
     )
-    return ok, failed.drop("_e")
 
 
 def explode_payload(df: DataFrame, field: str) -> DataFrame:

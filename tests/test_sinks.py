@@ -137,3 +137,23 @@ def test_versions_ignore_other_folders(spark, tmp_path):
     (tmp_path / "x").mkdir()
     assert up.versions(spark, str(tmp_path)) == []
     assert up.keep_all_keywords(spark.range(1).withColumn("source_keyword", F.lit("a")), ["id"]) == ["id", "source_keyword"]
+
+
+def test_small_and_large_updates_merge_alike(spark, updates, monkeypatch):
+    updates.sort(key=lambda u: (u[3], u[4]))
+    first, second = (spark.createDataFrame(u, SCHEMA).cache() for u in (updates[:250], updates[250:]))
+    once = up.upsert(empty(spark), first, KEYS, ORDER).withColumn("own", F.col("k"))
+    results = []
+    for small in (True, False):
+        monkeypatch.setattr(up, "is_small", lambda df: small)
+        merged = up.upsert(once, second.withColumn("fresh", F.lit(1)), KEYS, ORDER)
+        results.append((merged.columns, sorted(map(tuple, merged.collect()), key=repr)))
+    assert results[0] == results[1]
+
+
+def test_small_updates_do_not_shuffle_the_target(spark):
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    target = events.select(F.col("event_id").alias("k"), "props", F.lit(1).cast("bigint").alias("add_ts"))
+    new = spark.range(5, 9).select(F.col("id").alias("k"), F.lit("x").alias("props"), F.col("id").alias("last_modify_ts"))
+    plan = up.upsert(target, new, ["k"], ["last_modify_ts"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "FullOuter" not in plan

@@ -139,3 +139,36 @@ def test_zhihu_creator_of_other_page(spark):
     page = '<script id="js-initialData">{"initialState":{"entities":{"users":{"a":{"id":"1","name":"n"}}}}}</script>'
     df = spark.createDataFrame([("a", page), ("b", page), ("c", "<p>")], "url_token string, html string")
     assert [(r.user_id, r.url_token) for r in zhihu.normalize_creator(df).collect()] == [("1", "a")]
+
+
+def test_page_notes_fill_gaps_of_the_api(spark):
+    from feedloom.plans.detail import xhs_details
+
+    state = ('{"note":{"noteDetailMap":{"n1":{"note":{"noteId":"n1","title":"页","desc":"d","xsecToken":"t","user":{"userId":"u","nickname":"k"},'
+             '"interactInfo":{"likedCount":"5"},"imageList":[{"urlDefault":"i"}],"tagList":[{"name":"x","type":"topic"}]}}}},"a":undefined}')
+    page = f"<script>window.__INITIAL_STATE__={state}</script>"
+    pages = spark.createDataFrame([("n1", page), ("n2", "captcha")], "note_id string, html string")
+    notes = xhs.normalize_note(xhs.page_notes(pages)).collect()
+    assert [(n.note_id, n.title, n.user_id, n.liked_count, n.image_list, n.tag_list, n.xsec_token) for n in notes] == [("n1", "页", "u", "5", "i", "x", "t")]
+    api = spark.createDataFrame([('{"note_id":"n1","title":"api"}',), ('{"note_id":"n3"}',)], "payload string")
+    got = {r.note_id: (r.title, r.user_id) for r in xhs_details(api, pages).collect()}
+    assert got == {"n1": ("api", "u"), "n3": ("", None)}
+
+
+def test_zhihu_page_names_in_either_case(spark):
+    state = ('{"initialState":{"entities":{"answers":{"6":{"id":"6","type":"answer","question":{"id":"5"},"voteupCount":3,"created_time":8,'
+             '"author":{"id":"u","urlToken":"tok","name":"n"}}}}}}')
+    pages = spark.createDataFrame([(f'<script id="js-initialData">{state}</script>',)], "html string")
+    r = zhihu.normalize_content(zhihu.page_records(pages, "answers")).first()
+    assert (r.voteup_count, r.created_time, r.user_url_token, r.user_id) == (3, 8, "tok", "u")
+
+
+def test_wb_search_cards_and_pages(spark):
+    from feedloom.normalize import wb
+
+    cards = spark.createDataFrame([('{"card_type":9,"mblog":{"id":"1","text":"a"},"card_group":[{"card_type":9,"mblog":{"id":"2"}}]}', "kw")], "payload string, source_keyword string")
+    rows = wb.normalize_note(wb.search_records(cards)).collect()
+    assert sorted((r.note_id, r.source_keyword) for r in rows) == [("1", "kw"), ("2", "kw")]
+    page = 'var $render_data = [{"status":{"id":"7","text":"<b>x</b>"}}][0] || {};'
+    pages = spark.createDataFrame([(page,), ("none",)], "html string")
+    assert [(r.note_id, r.content) for r in wb.normalize_note(wb.page_notes(pages)).collect()] == [("7", "x")]
