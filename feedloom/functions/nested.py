@@ -96,6 +96,13 @@ def zip_columns(left: ColumnOrName, right: ColumnOrName) -> Column:
     return F.arrays_zip(col(left).alias("left"), col(right).alias("right"))
 
 
+def present(c: ColumnOrName) -> Column:
+    """An array of the value, empty for NULL. Exploding it drops NULL rows in place:
+    a filter would be pushed below the projection that parsed the value and have it
+    parsed twice."""
+    return F.array_compact(F.array(col(c)))
+
+
 # --- maps -----------------------------------------------------------------
 
 

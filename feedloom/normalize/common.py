@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Optional, Union
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from feedloom.functions.nested import present
 from feedloom.functions.times import now_ms
 from feedloom.schemas import struct
 
@@ -13,8 +15,10 @@ PAYLOAD = "payload"
 Seen = Optional[Union[int, Column]]
 
 
-def opened(df: DataFrame, ddl: str) -> DataFrame:
-    """Payload fields as top-level columns.
+def opened(
+    df: DataFrame, ddl: str, where: Optional[Callable[[Column], Column]] = None
+) -> DataFrame:
+    """Payload fields as top-level columns, of the records that pass ``where``.
 
     A JSON text column ``payload`` is parsed with the declared schema; context
     columns (``source_keyword``, ``requested_id``, ...) stay. A frame that already
@@ -24,12 +28,15 @@ def opened(df: DataFrame, ddl: str) -> DataFrame:
     if PAYLOAD in df.columns:
         fields = {f.name for f in schema.fields}
         context = [c for c in df.columns if c != PAYLOAD and c not in fields]
-        parsed = F.from_json(F.col(PAYLOAD), schema).alias("_parsed")
-        return df.select(*context, parsed).select(*context, "_parsed.*")
+        parsed = df.select(*context, F.from_json(F.col(PAYLOAD), schema).alias("_parsed"))
+        if where is None:
+            return parsed.select(*context, "_parsed.*")
+        kept = F.when(where(F.col("_parsed")), F.col("_parsed"))
+        return parsed.select(*context, F.inline(present(kept)))
     for field in schema.fields:
         if field.name not in df.columns:
             df = df.withColumn(field.name, F.lit(None).cast(field.dataType))
-    return df
+    return df if where is None else df.where(where(F.struct(*schema.names)))
 
 
 def context(df: DataFrame, name: str) -> Column:

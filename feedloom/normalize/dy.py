@@ -10,6 +10,7 @@ from feedloom.functions.nested import (
     item,
     join_list,
     last_of_many,
+    present,
     second,
 )
 from feedloom.functions.text import content_url
@@ -21,8 +22,8 @@ def search_records(df: DataFrame) -> DataFrame:
     """Search hits: the post itself, else the first of a mix; hits with neither dropped."""
     df = opened(df, payloads.DY_SEARCH)
     keep = [c for c in df.columns if c not in ("aweme_info", "aweme_mix_info")]
-    post = F.coalesce("aweme_info", item("aweme_mix_info.mix_items", 1)).alias("_post")
-    return df.select(*keep, post).where(F.col("_post").isNotNull()).select(*keep, "_post.*")
+    post = F.coalesce("aweme_info", item("aweme_mix_info.mix_items", 1))
+    return df.select(*keep, F.inline(present(post)))
 
 
 def cover_url() -> Column:

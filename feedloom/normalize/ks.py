@@ -12,7 +12,7 @@ from feedloom.normalize.common import Seen, context, opened, seen, text
 
 def normalize_video(df: DataFrame, as_of: Seen = None) -> DataFrame:
     """Videos; a record without an id is dropped."""
-    df = opened(df, payloads.KS_VIDEO).where(F.length("photo.id") > 0)
+    df = opened(df, payloads.KS_VIDEO, lambda p: F.length(p["photo"]["id"]) > 0)
     caption = truncate(text("photo.caption", ""), 500)
     return df.select(
         F.col("photo.id").alias("video_id"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from feedloom.functions.nested import number_or_zero, text_or
+from feedloom.functions.nested import number_or_zero, present, text_or
 from feedloom.functions.text import (
     TIEBA_HOST,
     content_url,
@@ -135,9 +135,11 @@ def _host(href: str) -> Column:
 def _field_json(df: DataFrame, ddl: str) -> DataFrame:
     """Parse the JSON of ``data_field``; blocks without readable JSON are dropped."""
     raw = strip("data_field")
-    parsed = F.from_json(raw, ddl)
-    usable = (F.length(raw) > 0) & (raw != "{}") & F.col("_f").isNotNull()
-    return df.withColumn("_f", parsed).where(usable & F.try_parse_json(raw).isNotNull())
+    readable = (F.length(raw) > 0) & (raw != "{}") & F.try_parse_json(raw).isNotNull()
+    return df.select(
+        *[c for c in df.columns if c != "data_field"],
+        F.explode(present(F.when(readable, F.from_json(raw, ddl)))).alias("_f"),
+    )
 
 
 def _thread(df: DataFrame, as_of: Seen, **columns: Column) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedloom.functions.codes import gender
+from feedloom.functions.nested import present
 from feedloom.functions.text import content_url, drop_text, strip_tags_short
 from feedloom.functions.times import mail_china_text, mail_wallclock_epoch
 from feedloom.normalize import payloads
@@ -51,8 +52,7 @@ def normalize_note(df: DataFrame, as_of: Seen = None) -> DataFrame:
 def page_notes(df: DataFrame, html_col: str = "html") -> DataFrame:
     """Posts embedded in detail pages, as payloads."""
     keep = [c for c in df.columns if c != html_col]
-    found = df.select(*keep, wb_note_payload(html_col).alias("payload"))
-    return found.where(F.col("payload").isNotNull())
+    return df.select(*keep, F.explode(present(wb_note_payload(html_col))).alias("payload"))
 
 
 def search_records(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from feedloom.functions.nested import (
     from_any_case,
     join_list,
     map_json,
+    present,
     text_or,
     typed_value,
 )
@@ -78,18 +79,16 @@ def normalize_note(df: DataFrame, as_of: Seen = None) -> DataFrame:
 
 def page_notes(df: DataFrame, html_col: str = "html", note_id: str = "note_id") -> DataFrame:
     """Notes embedded in detail pages, as payload fields (the page's names are camel case)."""
-    record = from_any_case("_record", struct(payloads.XHS_NOTE)).alias("_note")
-    context_columns = [c for c in df.columns if c not in (html_col, note_id)]
-    found = df.select(*context_columns, xhs_note_payload(html_col, note_id).alias("_record"))
-    found = found.where(F.col("_record").isNotNull()).select(*context_columns, record)
-    return found.select(*context_columns, "_note.*")
+    record = from_any_case("_record", struct(payloads.XHS_NOTE))
+    keep = [c for c in df.columns if c not in (html_col, note_id)]
+    found = df.select(*keep, F.explode(present(xhs_note_payload(html_col, note_id))).alias("_record"))
+    return found.select(*keep, F.inline(present(record)))
 
 
 def page_creators(df: DataFrame, html_col: str = "html") -> DataFrame:
     """Creators embedded in profile pages, as payloads (``user_id`` stays beside them)."""
     keep = [c for c in df.columns if c != html_col]
-    found = df.select(*keep, xhs_creator_payload(html_col).alias("payload"))
-    return found.where(F.col("payload").isNotNull())
+    return df.select(*keep, F.explode(present(xhs_creator_payload(html_col))).alias("payload"))
 
 
 def normalize_comment(df: DataFrame, as_of: Seen = None) -> DataFrame:

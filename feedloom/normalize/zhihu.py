@@ -11,12 +11,13 @@ from feedloom.functions.nested import (
     first_nonzero,
     from_any_case,
     number_or_zero,
+    present,
     text_or,
 )
 from feedloom.functions.text import ZHIHU_ARTICLE_HOST, ZHIHU_HOST, strip_html
 from feedloom.normalize import payloads
 from feedloom.normalize.common import Seen, context, opened, seen, text
-from feedloom.operators.filters import keep_types, route_by_type
+from feedloom.operators.filters import route_by_type
 from feedloom.schemas import struct
 from feedloom.sources.embedded import embedded_json
 
@@ -24,9 +25,9 @@ from feedloom.sources.embedded import embedded_json
 def search_records(df: DataFrame) -> DataFrame:
     """Search items of a usable type with an object, as content records."""
     df = opened(df, payloads.ZHIHU_ITEM)
-    df = keep_types(df, "type", ["search_result", "zvideo"]).where(F.col("object").isNotNull())
+    usable = F.when(F.col("type").isin("search_result", "zvideo"), F.col("object"))
     keep = [c for c in df.columns if c not in ("type", "object")]
-    return df.select(*keep, "object.*")
+    return df.select(*keep, F.inline(present(usable)))
 
 
 def author() -> Column:
@@ -118,7 +119,7 @@ def normalize_content(df: DataFrame, as_of: Seen = None) -> DataFrame:
 
 def normalize_comment(df: DataFrame, as_of: Seen = None) -> DataFrame:
     """Comments of a content (``content_id`` and ``content_type`` are context columns)."""
-    df = keep_types(opened(df, payloads.ZHIHU_COMMENT), "type", ["comment"])
+    df = opened(df, payloads.ZHIHU_COMMENT, lambda p: p["type"] == "comment")
     location = first_match("comment_tag", lambda t: t["type"] == "ip_info")["text"]
     return df.withColumn("_author", author()).select(
         text("id", "").alias("comment_id"),
@@ -146,8 +147,8 @@ def page_state(df: DataFrame, html_col: str = "html") -> DataFrame:
 
 def normalize_creator(df: DataFrame, html_col: str = "html", as_of: Seen = None) -> DataFrame:
     """Creators from their pages; ``url_token`` names the page's owner."""
-    df = page_state(df, html_col)
-    df = df.withColumn("_user", F.try_element_at("_entities.users", F.col("url_token")))
+    owner = F.try_element_at("_entities.users", F.col("url_token"))
+    df = page_state(df, html_col).select("url_token", F.explode(present(owner)).alias("_user"))
     counts = {
         "follows": "followingCount",
         "fans": "followerCount",
@@ -158,7 +159,7 @@ def normalize_creator(df: DataFrame, html_col: str = "html", as_of: Seen = None)
         "column_count": "columnsCount",
         "get_voteup_count": "voteupCount",
     }
-    return df.where(F.col("_user").isNotNull()).select(
+    return df.select(
         text("_user.id", "").alias("user_id"),
         F.concat(F.lit(f"{ZHIHU_HOST}/people/"), F.col("url_token")).alias("user_link"),
         text("_user.name", "").alias("user_nickname"),
@@ -180,8 +181,7 @@ def page_records(df: DataFrame, entity: str, html_col: str = "html") -> DataFram
     df = page_state(df, html_col)
     record = first_map_value(f"_entities.{entity}")
     keep = [c for c in df.columns if c not in ("_entities", html_col)]
-    out = df.select(*keep, "_entities.users", record.alias("_record"))
-    out = out.where(F.col("_record").isNotNull()).select(
+    out = df.select(*keep, "_entities.users", F.explode(present(record)).alias("_record")).select(
         *keep, "users", "_record",
         from_any_case("_record", struct(payloads.ZHIHU_CONTENT)).alias("_content"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DataType, StructType
 
 from feedloom.functions.codes import KIND_CODES, PUBLISH_WINDOWS
-from feedloom.functions.nested import ColumnOrName, col
+from feedloom.functions.nested import ColumnOrName, col, present
 from feedloom.functions.times import check_days
 from feedloom.operators.skew import balanced_join
 
@@ -70,11 +70,7 @@ def route_by_type(
             ]
         )
         routed = F.when(F.col(column) == name, row).otherwise(routed)
-    return (
-        df.where(F.col(column).isin(*routes))
-        .select(*keep, routed.alias("_routed"))
-        .select(*keep, *[F.col("_routed")[n].alias(n) for n in kinds])
-    )
+    return df.select(*keep, F.inline(present(routed)))
 
 
 def of_kind(df: DataFrame, platform: str, code: str, column: str = "content_type") -> DataFrame:

@@ -28,7 +28,10 @@ def drop_stopwords(
     words: DataFrame, stop: Union[Iterable[str], DataFrame], column: str = "word"
 ) -> DataFrame:
     """Remove blank tokens and stop words (exact match)."""
-    words = words.where(F.length(strip(column)) > 0)
+    return _without(words.where(F.length(strip(column)) > 0), stop, column)
+
+
+def _without(words: DataFrame, stop: Union[Iterable[str], DataFrame], column: str) -> DataFrame:
     if not isinstance(stop, DataFrame):
         listed = sorted(set(stop))
         if not listed:
@@ -72,12 +75,12 @@ def word_freq(
 ) -> DataFrame:
     """``by..., word, n``: how often each word occurs.
 
-    Counting is partial before the shuffle and comes before the stop words, so the
-    anti join sees distinct words, not tokens. ``doc_order`` (a unique column) adds
+    Counting is partial before the shuffle. A stop list small enough to broadcast is
+    applied before it; a larger one afterwards, to distinct words. ``doc_order`` (a unique column) adds
     ``first_doc`` and ``first_pos``, the word's first appearance. ``custom`` may map
     words to groups; ``with_group`` adds the group of a word.
     """
-    split = tokenizer or (lambda c: tokens(c, list(custom), han))
+    split = tokenizer or (lambda c: tokens(c, [w for w in custom if w.strip()], han))
     text = F.col(text_col) if isinstance(text_col, str) else text_col
     aggregates = [F.count(F.lit(1)).alias("n")]
     if doc_order is None:
@@ -85,7 +88,9 @@ def word_freq(
     else:
         words = df.select(*by, doc_order, F.posexplode(split(text)).alias("pos", "word"))
         aggregates.append(_appearance(words, doc_order).alias("_first"))
-    freq = drop_stopwords(words.groupBy(*by, "word").agg(*aggregates), stop)
+    freq = words.groupBy(*by, "word").agg(*aggregates)
+    # The built-in tokens are never blank; a check would only cost time per token.
+    freq = _without(freq, stop, "word") if tokenizer is None else drop_stopwords(freq, stop)
     if doc_order is not None:
         freq = _with_appearance(freq, [*by, "word", "n"])
     if with_group:

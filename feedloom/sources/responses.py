@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from feedloom.functions.codes import PLATFORMS
+from feedloom.functions.nested import present
 
 _BAD = "_corrupt"
 # A field declared as STRING keeps nested JSON as text, so one parse checks the
@@ -77,9 +78,10 @@ def unwrap_envelope(
     The two frames are disjoint and together are the input. Unparsable bodies fail.
     """
     opened = open_envelope(df, platform, body)
+    ok = [c for c in df.columns if c != body]
     return (
-        opened.where(F.col("error").isNull()).drop("error", body),
-        opened.where(F.col("error").isNotNull()).drop("payload"),
+        opened.select(*ok, F.explode(present("payload")).alias("payload")),
+        opened.select(*df.columns, F.explode(present("error")).alias("error")),
     )
 
 
