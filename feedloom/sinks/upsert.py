@@ -7,6 +7,7 @@ from functools import reduce
 from typing import Any, Optional
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DataType
 
 from feedloom.session import is_small
 
@@ -14,20 +15,26 @@ ADDED = "add_ts"
 VERSION = "v="
 
 
+def _orderable(kind: DataType) -> bool:
+    return not any(t in kind.simpleString() for t in ("map<", "variant"))
+
+
 def last_updates(updates: DataFrame, keys: Sequence[str], order: Sequence[str], seen: str) -> DataFrame:
     """One row per key: the payload of its last update, and when it was first seen.
 
-    A partial aggregate per mapper, so a key with very many updates costs no task much.
+    Updates equal in ``order`` are settled by their payload, so the result does not
+    depend on partitioning. A partial aggregate per mapper: a key with very many
+    updates reaches its task as one row per mapper.
     """
     payload = [c for c in updates.columns if c not in keys and c != ADDED]
-    return (
-        updates.groupBy(*keys)
-        .agg(
-            F.max_by(F.struct(*payload), F.struct(*order)).alias("_last"),
-            F.min(seen).alias("_first_seen"),
-        )
-        .select(*keys, "_last.*", "_first_seen")
-    )
+    rest = [c for c in payload if c not in order and _orderable(updates.schema[c].dataType)]
+    position = F.struct(*order, *rest)
+    if set(payload) <= {*order, *rest}:
+        last = F.max(position)
+    else:
+        last = F.max_by(F.struct(*payload), position)
+    grouped = updates.groupBy(*keys).agg(last.alias("_last"), F.min(seen).alias("_first_seen"))
+    return grouped.select(*keys, *[F.col("_last")[c].alias(c) for c in payload], "_first_seen")
 
 
 def upsert(

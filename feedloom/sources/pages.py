@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import islice
 from typing import Optional
 
 import pandas as pd
@@ -150,19 +149,29 @@ class _Page:
             top = self._leave(top, begin)
         return self._leave(top, end)
 
-    def below(self, node: _Node, tag: Optional[str]) -> Iterator[_Node]:
-        pool = self.nodes if tag is None else self.by_tag.get(tag, [])
-        first = bisect_right(pool, node.start, key=lambda n: n.start)
-        for n in islice(pool, first, None):
-            if n.start >= node.end:
-                return
-            yield n
+    def below(self, node: _Node, tag: Optional[str]) -> Iterable[_Node]:
+        """Descendants with a tag, in document order."""
+        pool = self.nodes if tag is None else self.by_tag.get(tag, ())
+        if node is self.root:
+            return pool
+        first = bisect_right(pool, node.start, key=_start)
+        return pool[first:bisect_left(pool, node.end, lo=first, key=_start)]
+
+
+def _start(node: _Node) -> int:
+    return node.start
 
 
 def _fits(node: _Node, step: Step) -> bool:
-    if step.href_prefix is not None and not node.attrs.get("href", "").startswith(step.href_prefix):
-        return False
-    return all(node.attrs.get(k) == v for k, v in step.attrs)
+    raw = node.raw
+    for name, value in step.attrs:
+        if value not in raw and "&" not in raw:
+            return False  # not even in the source text: no need to parse attributes
+        if node.attrs.get(name) != value:
+            return False
+    if step.href_prefix is not None:
+        return node.attrs.get("href", "").startswith(step.href_prefix)
+    return True
 
 
 def _find(page: _Page, start: _Node, path: Sequence[Step]) -> list[_Node]:
