@@ -638,7 +638,7 @@ def zhihu_pages(spark, d):
         users=F.create_map(c("source"), user), zvideos=F.create_map(c("doc_id").cast("string"), video)
     )
     pages = docs(spark, d).select(state_page(entities).alias("html"))
-    found = zhihu.normalize_content(zhihu.page_records(pages, "zvideos"), SEEN)
+    found = zhihu.normalize_content(zhihu.page_records(pages, "zvideo"), SEEN)
     return found.select("content_id", "content_type", "title", "user_id", "user_link", "voteup_count")
 
 

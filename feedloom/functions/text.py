@@ -34,8 +34,15 @@ IMAGE_HOSTS = [
 ]
 VIDEO_HOST = "http://sns-video-bd.xhscdn.com"
 
-# Unicode white space plus the four separators Python also strips.
-_EDGE_BLANKS = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+# Unicode white space plus the four separators Python also strips. The look-behind
+# tries a run of blanks once, at its start, so long runs cost linear time.
+_BLANK = r"[\s\x1c-\x1f]"
+_EDGE_BLANKS = rf"(?U)\A{_BLANK}+|(?<!{_BLANK}){_BLANK}++\z"
+
+# A tag, or an opener that is never closed, which is kept ($1). Without the second
+# half every such opener would be followed to the end of the text.
+_TAG = r"<[^>]++>|(<[^>]*+\z)"
+_TAG_ON_A_LINE = r"<[^>\n]*+>|(<[^>\n]*+)"
 
 
 def strip(c: ColumnOrName) -> Column:
@@ -47,12 +54,12 @@ def strip_html(c: ColumnOrName) -> Column:
     no_code = F.regexp_replace(
         F.coalesce(col(c), F.lit("")), r"(?s)<(script|style)[^>]*>.*?</\1>", ""
     )
-    return strip(F.regexp_replace(no_code, "<[^>]+>", ""))
+    return strip(F.regexp_replace(no_code, _TAG, "$1"))
 
 
 def strip_tags_short(c: ColumnOrName) -> Column:
     """Remove ``<...>`` runs that stay on one line; nothing else is touched."""
-    return F.regexp_replace(col(c), "(?d)<.*?>", "")
+    return F.regexp_replace(col(c), _TAG_ON_A_LINE, "$1")
 
 
 def truncate(c: ColumnOrName, n: int) -> Column:
@@ -278,7 +285,7 @@ def tokens(c: ColumnOrName, custom: Iterable[str] = (), han: str = "char") -> Co
         return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     longest_first = sorted(custom, key=lambda w: (-len(w), w))
     guard = "|".join(_custom_pattern(w) for w in longest_first)
-    run = f"(?:(?!{guard}){_HAN})+" if guard else f"{_HAN}+"
+    run = f"(?:(?!{guard}){_HAN})++" if guard else f"{_HAN}++"
     pattern = "|".join(p for p in (guard, f"{_WORD}+", run) if p)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 

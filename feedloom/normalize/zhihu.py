@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Union
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedloom.functions.codes import gender
@@ -172,28 +174,35 @@ def normalize_creator(df: DataFrame, html_col: str = "html", as_of: Seen = None)
     )
 
 
-def page_records(df: DataFrame, entity: str, html_col: str = "html") -> DataFrame:
-    """The first answer, article or video embedded in a detail page, as a payload.
+# The entity a kind of page holds.
+PAGE_ENTITIES = {"answer": "answers", "article": "articles", "zvideo": "zvideos"}
+
 
-    Names may be in either case. A video may name its author by key; the key is
-    resolved in the page's users.
+def page_records(df: DataFrame, kind: Union[str, Column], html_col: str = "html") -> DataFrame:
+    """The first record of a detail page's entity, as a payload.
+
+    ``kind`` is one of PAGE_ENTITIES for all pages, or a column that tells each page's
+    kind. Names may be in either case. An author given as a key is resolved in the
+    page's users.
     """
     df = page_state(df, html_col)
-    record = first_map_value(f"_entities.{entity}")
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    record = F.lit(None).cast("string")
+    for name, entity in PAGE_ENTITIES.items():
+        record = F.when(kind == name, first_map_value(f"_entities.{entity}")).otherwise(record)
     keep = [c for c in df.columns if c not in ("_entities", html_col)]
     out = df.select(*keep, "_entities.users", F.explode(present(record)).alias("_record")).select(
         *keep, "users", "_record",
         from_any_case("_record", struct(payloads.ZHIHU_CONTENT)).alias("_content"),
     )
-    if entity == "zvideos":
-        user = F.try_element_at("users", F.get_json_object("_record", "$.author"))
-        named = F.struct(
-            user["id"].alias("id"),
-            user["urlToken"].alias("url_token"),
-            user["name"].alias("name"),
-            user["avatarUrl"].alias("avatar_url"),
-            F.col("_content.author.member").alias("member"),
-        )
-        author_field = F.when(user.isNotNull(), named).otherwise(F.col("_content.author"))
-        out = out.withColumn("_content", F.col("_content").withField("author", author_field))
+    user = F.try_element_at("users", F.get_json_object("_record", "$.author"))
+    named = F.struct(
+        user["id"].alias("id"),
+        user["urlToken"].alias("url_token"),
+        user["name"].alias("name"),
+        user["avatarUrl"].alias("avatar_url"),
+        F.col("_content.author.member").alias("member"),
+    )
+    resolved = F.when(user.isNotNull(), named).otherwise(F.col("_content.author"))
+    out = out.withColumn("_content", F.col("_content").withField("author", resolved))
     return out.select(*keep, "_content.*")

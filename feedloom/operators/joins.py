@@ -15,12 +15,16 @@ from feedloom.operators.skew import balanced_join
 
 def details(content: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
     """Contents named by a seed list. Catalyst broadcasts the seeds when they are small."""
-    return content.join(seeds.select(key), [key], "left_semi")
+    return content.join(seeds.select(key).distinct(), [key], "left_semi")
 
 
 def missing(seeds: DataFrame, content: DataFrame, key: str) -> DataFrame:
-    """Seeds without a content. Only the key column of the contents is read."""
-    return seeds.join(content.select(key), [key], "left_anti")
+    """Seeds without a content.
+
+    Only the key column of the contents is read, and each mapper sends a key once: a
+    creator with very many contents costs no task much. The join reuses that shuffle.
+    """
+    return seeds.join(content.select(key).distinct(), [key], "left_anti")
 
 
 def contents_of(

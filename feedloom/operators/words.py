@@ -39,7 +39,8 @@ def _without(words: DataFrame, stop: Union[Iterable[str], DataFrame], column: st
         if len(listed) <= STOP_LITERALS:
             return words.where(~F.col(column).isin(*listed))
         stop = words.sparkSession.createDataFrame([(w,) for w in listed], f"{column} string")
-    return words.join(stop.select(F.col(stop.columns[0]).alias(column)), [column], "left_anti")
+    stop = stop.select(F.col(stop.columns[0]).alias(column)).distinct()
+    return words.join(stop, [column], "left_anti")
 
 
 _POSITIONS = 1 << 32

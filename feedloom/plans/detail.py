@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from feedloom.functions.text import last_segment, url_kind
 from feedloom.normalize import xhs, zhihu
 from feedloom.operators.joins import prefer
-from feedloom.operators.sets import union_sources
 
 
 @dataclass(frozen=True)
@@ -38,12 +37,7 @@ def zhihu_details(seeds: DataFrame, pages: DataFrame) -> DetailResult:
     keys = ["kind", "id_in_url"]
     wanted, landed = keyed(seeds).select(*keys, "url"), keyed(pages).select(*keys, "html")
     hits = landed.join(wanted.select(*keys).distinct(), keys, "left_semi")
-    entities = {"answer": "answers", "article": "articles", "zvideo": "zvideos"}
-    parts = [
-        zhihu.page_records(hits.where(F.col("kind") == kind), entity)
-        for kind, entity in entities.items()
-    ]
-    content = zhihu.normalize_content(union_sources(*parts))
+    content = zhihu.normalize_content(zhihu.page_records(hits, F.col("kind")))
     lost = wanted.join(landed.select(*keys), keys, "left_anti").select("url")
     return DetailResult(content, lost)
 

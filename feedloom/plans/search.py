@@ -8,12 +8,15 @@ from typing import Union
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from feedloom.operators.filters import keyword_search
+from feedloom.operators.filters import keyword_search, split_keywords
 from feedloom.operators.joins import comments_of
 from feedloom.operators.ranking import first_n, first_pages
 from feedloom.operators.words import top_words, word_freq
 
 
+BROADCAST_ROWS = 100_000  # most content keys sent to every executor
+
+
 @dataclass(frozen=True)
 class SearchCaps:
     """Limits of a search run (the defaults are the specified ones)."""
@@ -46,8 +49,9 @@ def search(
 ) -> SearchResult:
     """Canonical content and comment tables in, four result tables out (all lazy).
 
-    Shuffles: one for the keyword cap, one for the comment cap, one for the join and
-    one for the counts. Both caps are pruned before their shuffle.
+    Shuffles: one for the keyword cap, one for the comment cap and one for the counts,
+    all pruned or partly aggregated before; the join broadcasts the capped contents
+    while the caps keep them few.
     """
     keys = ["platform", "content_id"]
     order = list(order) or [F.desc("created_ts"), F.col("platform"), F.col("content_id")]
@@ -59,9 +63,15 @@ def search(
     )
     wanted = capped.select(*keys).distinct()
     level1 = comment.where(F.col("parent_comment_id").isNull())
+    pages = max(caps.contents_per_keyword, caps.page_size)
+    if pages * len(split_keywords(keywords)) <= BROADCAST_ROWS:
+        # The caps bound the wanted contents, so the comments need not move for the join.
+        found = level1.join(F.broadcast(wanted), keys, "left_semi")
+    else:
+        found = comments_of(wanted, level1, keys, scatter_by=["comment_id"])
     kept = first_n(
-        comments_of(wanted, level1, keys, scatter_by=["comment_id"]), keys, comment_order,
-        caps.comments_per_content, "sub_comment_count" if caps.count_replies else None,
+        found, keys, comment_order, caps.comments_per_content,
+        "sub_comment_count" if caps.count_replies else None,
     )
     words = word_freq(kept, "body", stop)
     return SearchResult(capped, kept, words, top_words(words, caps.top_words))

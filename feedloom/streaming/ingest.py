@@ -102,11 +102,20 @@ def event_time(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def stream_dedupe(stream: DataFrame, keys: Sequence[str], ts: str, ttl: str) -> DataFrame:
-    """Pass the first row of a key; ignore repeats until ``ttl`` of event time has passed."""
-    return (
-        event_time(stream, ts).withWatermark(ts, ttl).dropDuplicatesWithinWatermark(list(keys))
-    )
+def stream_dedupe(
+    stream: DataFrame, keys: Sequence[str], ts: str, ttl: str, salts: int = 1
+) -> DataFrame:
+    """Pass the first row of a key; ignore repeats until ``ttl`` of event time has passed.
+
+    ``salts`` above 1 is for streams with hot keys: repeats are first dropped within
+    salted pieces of a key, so its final task sees at most one row per piece.
+    """
+    timed = event_time(stream, ts).withWatermark(ts, ttl)
+    if salts > 1:
+        piece = F.pmod(F.xxhash64(*stream.columns), F.lit(salts))
+        salted = timed.withColumn("_piece", piece)
+        timed = salted.dropDuplicatesWithinWatermark([*keys, "_piece"]).drop("_piece")
+    return timed.dropDuplicatesWithinWatermark(list(keys))
 
 
 def stream_word_freq(

@@ -146,3 +146,26 @@ def test_html_unescape(one):
 def test_repair_undefined(one):
     assert one(tx.repair_undefined(lit('{"a":undefined}'), True)) == '{"a":""}'
     assert one(tx.repair_undefined(lit('{"a":undefined,"b":"undefined"}'), False)) == '{"a":null,"b":"undefined"}'
+
+
+def test_bad_markup_costs_linear_time(one):
+    import time
+
+    cases = ["<" * 300_000, "a<b\n" * 50_000, "x" + " " * 300_000 + "y", "<>" * 100_000, "<" * 300_000 + ">"]
+    start = time.time()
+    got = [one(tx.strip_html(lit(c)), tx.strip_tags_short(lit(c))) for c in cases]
+    assert time.time() - start < 20
+    assert [len(a) for a, _ in got] == [300_000, 199_999, 300_002, 200_000, 0]
+    assert [len(b) for _, b in got] == [300_000, 200_000, 300_002, 0, 0]
+
+
+def test_unclosed_tags_are_kept(one):
+    assert one(tx.strip_html(lit("a<b>c<d"))) == "ac<d"
+    assert one(tx.strip_html(lit("a<>b<c<d>e"))) == "a<>be"
+    assert one(tx.strip_tags_short(lit("a<>b<c<d>e<f\n>g"))) == "abe<f\n>g"
+
+
+def test_long_han_runs(one):
+    text = lit("世界和" * 40_000)
+    assert one(F.size(tx.tokens(text, ["世界"]))) == 80_000
+    assert one(F.size(tx.tokens(text, ["无"], han="bigram"))) == 119_999

@@ -159,7 +159,7 @@ def test_zhihu_page_names_in_either_case(spark):
     state = ('{"initialState":{"entities":{"answers":{"6":{"id":"6","type":"answer","question":{"id":"5"},"voteupCount":3,"created_time":8,'
              '"author":{"id":"u","urlToken":"tok","name":"n"}}}}}}')
     pages = spark.createDataFrame([(f'<script id="js-initialData">{state}</script>',)], "html string")
-    r = zhihu.normalize_content(zhihu.page_records(pages, "answers")).first()
+    r = zhihu.normalize_content(zhihu.page_records(pages, "answer")).first()
     assert (r.voteup_count, r.created_time, r.user_url_token, r.user_id) == (3, 8, "tok", "u")
 
 

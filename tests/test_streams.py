@@ -68,9 +68,10 @@ def test_first_n_over_the_life_of_the_stream(spark, landed, tmp_path):
     assert {r.id for r in got.collect()} == {i for ids in want.values() for i in ids[:7]}
 
 
-def test_dedupe(spark, landed, tmp_path):
+@pytest.mark.parametrize("salts", [1, 4])
+def test_dedupe(spark, landed, tmp_path, salts):
     path, df = landed
-    got = run(spark, ingest.stream_dedupe(source(spark, path), ["k"], "ts", "30 days"), "append", tmp_path)
+    got = run(spark, ingest.stream_dedupe(source(spark, path), ["k"], "ts", "30 days", salts), "append", tmp_path)
     assert sorted(r.k for r in got.collect()) == sorted({r.k for r in df.collect()})
 
 
