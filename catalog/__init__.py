@@ -1,6 +1,17 @@
 """Queries over the driver tables, each with the SQL that must give the same rows."""
 
-from catalog import aggregates, filters, joins, normalize, ranking, scalars, sinks, sources, streams  # noqa: F401
+from catalog import (  # noqa: F401
+    aggregates,
+    filters,
+    flows,
+    joins,
+    normalize,
+    ranking,
+    scalars,
+    sinks,
+    sources,
+    streams,
+)
 from catalog.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

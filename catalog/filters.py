@@ -109,8 +109,12 @@ def in_day_range(spark, d):
 def published_within(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
     out = None
-    for span in ("three_months", "one_week", "180_days", "unlimited"):
-        part = fl.published_within(orders, "o_orderdate", span, "1997-03-31 00:00:00")
+    windows = {
+        "three_months": ("zhihu", "three_months"), "one_week": "one_week", "180_days": ("dy", "180"),
+        "unlimited": ("dy", "0"),
+    }
+    for span, window in windows.items():
+        part = fl.published_within(orders, "o_orderdate", window, "1997-03-31 00:00:00")
         part = part.select("o_orderkey", F.lit(span).alias("span"))
         out = part if out is None else out.unionByName(part)
     return out

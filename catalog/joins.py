@@ -100,7 +100,7 @@ def comments_with_parent_salted(spark, d):
         "content_id", F.col("comment_id").alias("parent_comment_id"), F.col("role").alias("parent_role")
     )
     out = balanced_join(
-        comment, parents, ["content_id", "parent_comment_id"], "left", salt_from_bytes=0, share=0.001,
+        comment, parents, ["content_id", "parent_comment_id"], "left", always=True, share=0.001,
         scatter_by=["content_id", "comment_id"],
     )
     return out.select("content_id", "comment_id", "parent_role")
@@ -119,7 +119,7 @@ def comments_of_hot_content(spark, d):
     ids = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     lines = table(spark, d, "lineitem").select(*ids, key.alias("o_orderkey"))
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
-    out = balanced_join(lines, orders, ["o_orderkey"], salt_from_bytes=0, scatter_by=ids)
+    out = balanced_join(lines, orders, ["o_orderkey"], always=True, scatter_by=ids)
     return out.drop("o_orderkey")
 
 

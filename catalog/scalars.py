@@ -322,6 +322,23 @@ def epoch_text(spark, d):
     )
 
 
+@query(
+    "clock_forms",
+    """SELECT event_id, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000000 AS s,
+         strftime(ts, '%Y-%m-%d %H:%M:%S') AS now, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d') AS today FROM events""",
+)
+def clock_forms(spark, d):
+    """The clock functions at injected instants."""
+    as_of = F.unix_millis(F.col("ts").cast("timestamp"))
+    return table(spark, d, "events").select(
+        "event_id",
+        times.now_ms(as_of).alias("ms"),
+        times.now_seconds(as_of).alias("s"),
+        times.now_text(as_of).alias("now"),
+        times.today_text(as_of, times.CHINA).alias("today"),
+    )
+
+
 @query(
     "mail_time",
     """SELECT event_id, epoch(date_trunc('second', ts))::BIGINT - 28800 AS instant,

@@ -158,9 +158,10 @@ def lookup_rows(spark, d):
     return lookup(table(spark, d, "events"), user_id=8, event_type="click").select("event_id", "user_id", "props")
 
 
-@query("first_row", """SELECT event_id FROM events WHERE event_id = 42""")
+@query("first_row", """SELECT n_nationkey, n_regionkey FROM nation WHERE n_name = 'NATION_7'""")
 def one_row(spark, d):
-    return first_row(lookup(table(spark, d, "events"), event_id=42)).select("event_id")
+    """The existence probe of a natural key."""
+    return first_row(lookup(table(spark, d, "nation"), n_name="NATION_7")).select("n_nationkey", "n_regionkey")
 
 
 @query(

@@ -86,6 +86,21 @@ PUBLISH_WINDOWS = {
     "180_days": (0, 180),
 }
 
+# The platforms' own codes of those windows.
+WINDOW_CODES = {
+    ("dy", "0"): "unlimited",
+    ("dy", "1"): "one_day",
+    ("dy", "7"): "one_week",
+    ("dy", "180"): "180_days",
+    ("zhihu", ""): "unlimited",
+    ("zhihu", "a_day"): "one_day",
+    ("zhihu", "a_week"): "one_week",
+    ("zhihu", "a_month"): "one_month",
+    ("zhihu", "three_months"): "three_months",
+    ("zhihu", "half_a_year"): "half_year",
+    ("zhihu", "a_year"): "one_year",
+}
+
 # Kind filters per platform; None keeps every kind.
 KIND_CODES = {
     ("xhs", "0"): None,

@@ -23,6 +23,19 @@ def now_ms(as_of: Optional[Union[int, Column]] = None) -> Column:
     return (as_of if isinstance(as_of, Column) else F.lit(as_of)).cast("bigint")
 
 
+def now_seconds(as_of: Optional[Union[int, Column]] = None) -> Column:
+    """Current epoch seconds."""
+    return F.floor(now_ms(as_of) / 1000).cast("bigint")
+
+
+def now_text(as_of: Optional[Union[int, Column]] = None, zone: str = "UTC") -> Column:
+    return _in_zone(F.timestamp_millis(now_ms(as_of)), zone, TIME_FORMAT)
+
+
+def today_text(as_of: Optional[Union[int, Column]] = None, zone: str = "UTC") -> Column:
+    return _in_zone(F.timestamp_millis(now_ms(as_of)), zone, DAY_FORMAT)
+
+
 def epoch_timestamp(c: ColumnOrName) -> Column:
     """Epoch seconds or milliseconds as an instant."""
     x = col(c).cast("bigint")

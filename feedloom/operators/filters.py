@@ -9,7 +9,7 @@ from typing import Optional, Union
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DataType, StructType
 
-from feedloom.functions.codes import KIND_CODES, PUBLISH_WINDOWS
+from feedloom.functions.codes import KIND_CODES, PUBLISH_WINDOWS, WINDOW_CODES
 from feedloom.functions.nested import ColumnOrName, col, present
 from feedloom.functions.times import check_days
 from feedloom.operators.skew import balanced_join
@@ -150,10 +150,16 @@ def in_day_range(df: DataFrame, ts: ColumnOrName, start: str, end: str) -> DataF
 
 
 def published_within(
-    df: DataFrame, ts: ColumnOrName, window: str, as_of: Union[str, Column]
+    df: DataFrame,
+    ts: ColumnOrName,
+    window: Union[str, tuple[str, str]],
+    as_of: Union[str, Column],
 ) -> DataFrame:
-    """Rows published in the window that ends at ``as_of``."""
-    span = PUBLISH_WINDOWS[window]
+    """Rows published in the window that ends at ``as_of``.
+
+    ``window`` is a name of PUBLISH_WINDOWS or a (platform, window code) pair.
+    """
+    span = PUBLISH_WINDOWS[WINDOW_CODES[window] if isinstance(window, tuple) else window]
     if span is None:
         return df
     months, days = span

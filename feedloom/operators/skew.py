@@ -42,6 +42,7 @@ def balanced_join(
     salt_from_bytes: int = SALT_FROM_BYTES,
     share: float = HOT_SHARE,
     scatter_by: Optional[Sequence[str]] = None,
+    always: bool = False,
 ) -> DataFrame:
     """Equi-join ``big`` with ``small``, splitting the hot keys of ``big``.
 
@@ -51,12 +52,12 @@ def balanced_join(
     ``small`` are repeated once per piece; all other rows are untouched.
     ``how`` is inner, left, left_semi or left_anti, seen from ``big``.
     ``scatter_by`` names the columns whose hash spreads a hot key (a row id is best;
-    by default all columns, which makes the scan read them).
+    by default all columns, which makes the scan read them). ``always`` salts at any size.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join type {how!r} cannot be salted")
     on = list(on)
-    if estimated_bytes(big) < salt_from_bytes or (salt_from_bytes and is_small(small)):
+    if not always and (estimated_bytes(big) < salt_from_bytes or is_small(small)):
         return big.join(small, on, how)
     hot = hot_keys(big, on, share)
     is_hot = F.coalesce(F.array_contains(hot, F.xxhash64(*on)), F.lit(False))

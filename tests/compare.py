@@ -56,7 +56,7 @@ def difference(got, want) -> str:
 
 
 def arrow(con, sql: str):
-    return con.execute(sql).to_arrow_table()
+    return con.sql(sql).to_arrow_table()
 
 
 def session(cores: str = "8"):

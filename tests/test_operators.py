@@ -114,14 +114,14 @@ def test_hot_keys_are_found(skewed):
 def test_salted_join_equals_plain_join(spark, skewed, how):
     small = spark.createDataFrame([(k, f"s{k}") for k in range(0, 700, 2)], "k bigint, s string")
     plain = skewed.join(small, ["k"], how)
-    salted = balanced_join(skewed, small, ["k"], how, salt_from_bytes=0, share=0.05, scatter_by=["id"])
+    salted = balanced_join(skewed, small, ["k"], how, always=True, share=0.05, scatter_by=["id"])
     assert sorted(map(tuple, salted.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
 
 
 def test_salted_join_spreads_null_keys(spark):
     big = spark.createDataFrame([(None if i % 2 else i, i) for i in range(400)], "k bigint, id bigint")
     small = spark.createDataFrame([(0, "a"), (2, "b")], "k bigint, s string")
-    out = balanced_join(big, small, ["k"], "left", salt_from_bytes=0, share=0.1)
+    out = balanced_join(big, small, ["k"], "left", always=True, share=0.1)
     assert out.count() == 400 and out.where("s is not null").count() == 2
 
 
