@@ -43,10 +43,15 @@ HEADLINE = [
     "latest_unexpired",
     "normalize_xhs_note",
     "normalize_dy_post",
+    "normalize_zhihu_content",
     "normalize_tieba_detail",
     "canonical_union",
     "envelope_ok",
     "media_xhs",
+    "search_words",
+    "creator_contents",
+    "detail_contents",
+    "stream_upsert",
     "stream_word_freq",
 ]
 

@@ -240,10 +240,16 @@ def _gram_search(
 
     Only (key, gram) pairs meet the keywords; texts travel once, to be checked.
     """
-    needle = F.lower("source_keyword")
-    needles = keywords.withColumn("_needle", needle).withColumn(
-        "_gram", F.substring("_needle", 1, GRAM)
-    ).where(F.length("_needle") > 0).dropDuplicates(["source_keyword"])
+    if "keyword_pos" in keywords.columns:
+        unique = keywords.groupBy("source_keyword").agg(F.max("keyword_pos").alias("keyword_pos"))
+    else:
+        unique = keywords.select("source_keyword").distinct()
+    needles = unique.where(F.length("source_keyword") > 0).withColumns(
+        {
+            "_needle": F.lower("source_keyword"),
+            "_gram": F.substring(F.lower("source_keyword"), 1, GRAM),
+        }
+    )
     body = df.withColumn("_text", _haystack(text_cols))
 
     lengths = needles.agg(F.collect_set(F.length("_gram")).alias("n")).scalar()  # at most GRAM values
