@@ -20,7 +20,7 @@ from feedloom.session import cut_lineage
 GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
 SALTED_FROM = 200   # larger caps are pruned in two rounds
 SALTS = 64
-TOP_ROWS = 100_000  # most rows a single top-k task may hold
+TOP_ROWS = 10_000    # most rows a single top-k task may hold
 
 Order = Sequence[Column]
 

@@ -48,7 +48,7 @@ def _rules(platform: str, e: Column, body: Column) -> tuple[Column, Column, Colu
         reason = F.coalesce(F.get_json_object(e["error"], "$.message"), e["error"])
         return sound & e["error"].isNull(), body, reason
     if platform in ("dy", "tieba"):
-        return ~F.trim(body).isin("", "blocked"), body, body
+        return ~F.trim(body, F.lit(" \t\r\n")).isin("", "blocked"), body, body
     raise ValueError(f"unknown platform {platform!r}")
 
 
