@@ -58,6 +58,16 @@ def upsert_versions(spark, d):
     return upsert.current(spark, path)
 
 
+@query("upsert_merged_on_read", _STATE)
+def upsert_merged_on_read(spark, d):
+    """Batches appended as they come, the last one twice, and folded when read."""
+    path = shared_path(spark, "batches")
+    old, new = _split_events(spark, d)
+    for batch, rows in ((0, old), (1, new), (1, new)):
+        upsert.append_updates(rows, path, KEYS, _ORDER, batch)
+    return upsert.read_upserts(spark, path, KEYS, _ORDER)
+
+
 @query(
     "upsert_keywords",
     """SELECT doc_id, k AS source_keyword, n_chars, 1::BIGINT AS last_modify_ts, 1::BIGINT AS add_ts FROM documents,

@@ -3,10 +3,15 @@ rows it wrote; the SQL is that of the batch twin."""
 
 from pyspark.sql import functions as F
 
-from catalog.base import query, table
+from catalog.base import landed, query, record, table, text
+from catalog.sources import LINKS
+from feedloom.normalize import xhs
+from feedloom.operators.filters import keyword_search
 from feedloom.operators.ranking import latest
 from feedloom.session import ROCKSDB_PROVIDER, shared_path
+from feedloom.sinks import upsert
 from feedloom.sinks.files import append_parquet
+from feedloom.sources.pages import parse_html
 from feedloom.streaming import ingest, state
 
 
@@ -52,6 +57,34 @@ def stream_ingest(spark, d):
     return spark.read.parquet(out).select("event_id", "event_type", F.col("batch_id").cast("bigint").alias("batch_id"))
 
 
+@query(
+    "stream_normalize",
+    """SELECT 'n' || doc_id AS note_id, left(text, 255) AS title, text AS "desc", n_chars::VARCHAR AS liked_count,
+         lang AS source_keyword FROM documents WHERE contains(lower(text), lang)""",
+)
+def stream_normalize(spark, d):
+    """Landed notes are normalised and searched while they arrive."""
+    payload = landed(
+        _stream(spark, d, "documents"), "lang", note_id=text("n", F.col("doc_id")), desc=F.col("text"),
+        interact_info=record(liked_count=F.col("n_chars").cast("string")),
+    )
+    notes = xhs.normalize_note(payload.withColumnRenamed("lang", "source_keyword"))
+    found = keyword_search(notes.withColumnRenamed("source_keyword", "lang"), ["en", "fr", "de", "es"], ["desc"])
+    own = found.where(F.col("source_keyword") == F.col("lang"))
+    rows = own.select("note_id", "title", "desc", "liked_count", "source_keyword")
+    return _landed(spark, rows, "append", "notes").drop("batch_id")
+
+
+@query(
+    "stream_html_records",
+    r"""SELECT page_id, unnest(range(len(h))) AS record_pos, unnest(h) AS href FROM (
+         SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS h FROM pages)""",
+)
+def stream_html_records(spark, d):
+    links = parse_html(_stream(spark, d, "pages").select("page_id", "html"), LINKS)
+    return _landed(spark, links, "append", "links").select("page_id", "record_pos", "href")
+
+
 _KEYS, _ORDER = ["user_id", "event_type"], ["last_modify_ts", "event_id"]
 
 
@@ -68,7 +101,7 @@ def stream_upsert(spark, d):
     )
     run = ingest.stream_upsert(rows, path, _KEYS, _ORDER, shared_path(spark, "stream-upsert-progress"))
     run.awaitTermination()
-    return ingest.read_upserts(spark, path, _KEYS, _ORDER)
+    return upsert.read_upserts(spark, path, _KEYS, _ORDER)
 
 
 @query(

@@ -47,7 +47,8 @@ def balanced_join(
     """Equi-join ``big`` with ``small``, splitting the hot keys of ``big``.
 
     A ``small`` that Catalyst broadcasts needs no care, and up to ``salt_from_bytes``
-    adaptive execution splits skewed partitions: both are plain joins. Above, rows of
+    adaptive execution splits skewed partitions: both are plain joins, as are those of
+    a stream, whose micro-batches are small. Above, rows of
     a hot key are spread over ``salts`` pieces and the (few) matching rows of
     ``small`` are repeated once per piece; all other rows are untouched.
     ``how`` is inner, left, left_semi or left_anti, seen from ``big``.
@@ -57,7 +58,9 @@ def balanced_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join type {how!r} cannot be salted")
     on = list(on)
-    if not always and (estimated_bytes(big) < salt_from_bytes or is_small(small)):
+    if big.isStreaming or (
+        not always and (estimated_bytes(big) < salt_from_bytes or is_small(small))
+    ):
         return big.join(small, on, how)
     hot = hot_keys(big, on, share)
     is_hot = F.coalesce(F.array_contains(hot, F.xxhash64(*on)), F.lit(False))

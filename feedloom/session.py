@@ -77,8 +77,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Split a small, badly split input before CPU-heavy work.
 
     A table of a few row groups would run on a few cores however many there are.
-    Only inputs below SPREAD_BELOW bytes are shuffled; larger ones have splits enough.
+    Only inputs below SPREAD_BELOW bytes are shuffled; larger ones have splits enough,
+    and a stream's micro-batches are split by its source.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if cores > 1 and estimated_bytes(df) < SPREAD_BELOW:
         return df.repartition(cores)

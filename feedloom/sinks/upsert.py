@@ -176,6 +176,41 @@ def upsert_path(
     writer.parquet(f"{path}/{VERSION}{version:010d}")
 
 
+# --- merge on read --------------------------------------------------------
+
+
+def append_updates(
+    updates: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    order: Sequence[str],
+    batch: int,
+    seen: str = "last_modify_ts",
+) -> None:
+    """Upsert without touching the table: one row per key, in the batch's own folder.
+
+    Writing a batch again replaces it. ``read_upserts`` folds the folders.
+    """
+    rows = last_updates(updates, keys, order, seen).withColumnRenamed("_first_seen", ADDED)
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def read_upserts(
+    spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str]
+) -> DataFrame:
+    """The table that the batches of updates stand for."""
+    parts = spark.read.parquet(path).drop("batch")
+    return last_updates(parts, keys, order, ADDED).withColumnRenamed("_first_seen", ADDED)
+
+
+def compact_upserts(
+    spark: SparkSession, path: str, into: str, keys: Sequence[str], order: Sequence[str]
+) -> None:
+    """Fold all batches into one at another path; read and append there from then on."""
+    folded = read_upserts(spark, path, keys, order)
+    folded.write.mode("overwrite").parquet(f"{into}/batch=-1")
+
+
 def upsert_catalog(
     updates: DataFrame, table: str, keys: Sequence[str], order: Sequence[str], seen: str = "last_modify_ts"
 ) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from feedloom.functions.text import tokens
 from feedloom.operators.words import drop_stopwords
-from feedloom.sinks.upsert import ADDED, last_updates
+from feedloom.sinks.upsert import append_updates
 
 BatchFn = Callable[[DataFrame, int], None]
 
@@ -67,36 +67,17 @@ def stream_upsert(
 ) -> StreamingQuery:
     """Continuous upsert, merged on read.
 
-    A micro-batch is reduced to one row per key and written to its own folder, so it
-    costs its own size, not the table's, and a repeated batch replaces itself.
-    ``read_upserts`` folds the folders.
+    A micro-batch costs its own size, not the table's, and a repeated batch replaces
+    itself. ``sinks.upsert.read_upserts`` gives the table.
     """
     keys, order = list(keys), list(order)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = last_updates(batch, keys, order, seen).withColumnRenamed("_first_seen", ADDED)
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        append_updates(batch, path, keys, order, batch_id, seen)
 
     return stream_ingest(stream, write, checkpoint, available_now)
 
 
-def read_upserts(
-    spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str]
-) -> DataFrame:
-    """The table a continuous upsert stands for."""
-    parts = spark.read.parquet(path).drop("batch")
-    return last_updates(parts, list(keys), list(order), ADDED).drop(ADDED).withColumnRenamed(
-        "_first_seen", ADDED
-    )
-
-
-def compact_upserts(
-    spark: SparkSession, path: str, into: str, keys: Sequence[str], order: Sequence[str]
-) -> None:
-    """Fold all folders into one at another path; give that path to later reads."""
-    read_upserts(spark, path, keys, order).write.mode("overwrite").parquet(f"{into}/batch=-1")
-
-
 def event_time(df: DataFrame, ts: str) -> DataFrame:
     """Watermarks need an instant; zone-less timestamps are read as UTC."""
     return df.withColumn(ts, F.col(ts).cast("timestamp"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.operators.ranking import latest
+from feedloom.sinks import upsert
 from feedloom.sinks.upsert import last_updates
 from feedloom.streaming import ingest, state
 
@@ -53,10 +54,10 @@ def test_upsert_stream_equals_batch(spark, landed, tmp_path):
     out = str(tmp_path / "t")
     ingest.stream_upsert(rows(source(spark, path)), out, ["k"], ["last_modify_ts"], str(tmp_path / "cp")).awaitTermination()
     want = sorted(map(tuple, last_updates(rows(df), ["k"], ["last_modify_ts"], "last_modify_ts").collect()))
-    got = ingest.read_upserts(spark, out, ["k"], ["last_modify_ts"])
+    got = upsert.read_upserts(spark, out, ["k"], ["last_modify_ts"])
     assert sorted(map(tuple, got.collect())) == want
-    ingest.compact_upserts(spark, out, str(tmp_path / "c"), ["k"], ["last_modify_ts"])
-    assert sorted(map(tuple, ingest.read_upserts(spark, str(tmp_path / "c"), ["k"], ["last_modify_ts"]).collect())) == want
+    upsert.compact_upserts(spark, out, str(tmp_path / "c"), ["k"], ["last_modify_ts"])
+    assert sorted(map(tuple, upsert.read_upserts(spark, str(tmp_path / "c"), ["k"], ["last_modify_ts"]).collect())) == want
 
 
 def test_first_n_over_the_life_of_the_stream(spark, landed, tmp_path):
