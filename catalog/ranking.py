@@ -37,6 +37,29 @@ def first_n_with_children(spark, d):
     return rk.first_n(counted, ["o_custkey"], [F.col("o_orderkey")], 12, children="lines")
 
 
+_COUNTED, _PLAIN = ("xhs", "wb", "ks", "dy"), ("tieba", "bili")
+
+
+@query(
+    "comment_caps_of_platforms",
+    f"""WITH r AS (SELECT conv_id, turn, row_number() OVER w AS rn,
+           coalesce(sum(1 + len(role) - 4) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING
+             AND 1 PRECEDING), 0) AS used FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+        SELECT p AS platform, conv_id, turn FROM r, (VALUES {", ".join(f"('{p}')" for p in _COUNTED)}) v(p) WHERE used < 6
+        UNION ALL SELECT p, conv_id, turn FROM r, (VALUES {", ".join(f"('{p}')" for p in _PLAIN)}) v(p) WHERE rn <= 6
+        UNION ALL SELECT 'zhihu', conv_id, turn FROM r""",
+)
+def comment_caps_of_platforms(spark, d):
+    """The comment cap under the rule of each platform."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", (F.length("role") - 4).alias("replies"))
+    out = None
+    for platform in (*_COUNTED, *_PLAIN, "zhihu"):
+        part = rk.cap_comments(turns, platform, ["conv_id"], [F.col("turn")], 6, "replies")
+        part = part.select(F.lit(platform).alias("platform"), "conv_id", "turn")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "first_n_large",
     """SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id)

@@ -34,6 +34,21 @@ def gender(platform: str, code: ColumnOrName) -> Column:
     return out.otherwise(F.lit(codes[None]).cast("string"))
 
 
+# Contents on one page of a platform's search.
+PAGE_SIZES = {"xhs": 20, "bili": 20, "ks": 20, "zhihu": 20, "dy": 10, "wb": 10, "tieba": 10}
+
+# Whether replies use up a content's comment cap; None is "no cap".
+REPLIES_COUNT = {
+    "xhs": True,
+    "wb": True,
+    "ks": True,
+    "dy": True,
+    "tieba": False,
+    "bili": False,
+    "zhihu": None,
+}
+
+
 class ContentOrder(Enum):
     """Named orders of a content list."""
 

@@ -36,9 +36,12 @@ def contents_of(
     limit: int = 0,
     kinds: Optional[Sequence[str]] = None,
     kind_col: str = "content_type",
+    scatter_by: Optional[Sequence[str]] = None,
 ) -> DataFrame:
     """Contents of the given creators, at most ``limit`` per creator (0 = all).
 
+    ``scatter_by`` is the content id: it spreads the contents of a hot creator.
+
     The cap comes first: it is pruned map-side, so the join sees the survivors only.
     """
     if kinds:
@@ -49,7 +52,7 @@ def contents_of(
         content = first_n(content, [content_creator], order, limit)
     if creator_key != content_creator:
         content = content.withColumn(creator_key, F.col(content_creator))
-    return balanced_join(content, creators, [creator_key])
+    return balanced_join(content, creators, [creator_key], scatter_by=scatter_by)
 
 
 def comments_of(

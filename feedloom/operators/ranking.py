@@ -13,6 +13,7 @@ from typing import Optional
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from feedloom.functions.codes import REPLIES_COUNT
 from feedloom.functions.nested import ColumnOrName, col
 from feedloom.operators.filters import in_day_range
 from feedloom.session import cut_lineage
@@ -115,6 +116,21 @@ def first_n(
     return top.withColumn("_used", used).where(F.col("_used") < n).drop("_used", "_position")
 
 
+def cap_comments(
+    df: DataFrame,
+    platform: str,
+    keys: Sequence[str],
+    order: Order,
+    n: int,
+    children: ColumnOrName = "sub_comment_count",
+) -> DataFrame:
+    """Level-1 comments per content under the rule of their platform."""
+    counts = REPLIES_COUNT[platform]
+    if counts is None:
+        return df
+    return first_n(df, keys, order, n, children if counts else None)
+
+
 def first_pages(
     df: DataFrame,
     keys: Sequence[str],

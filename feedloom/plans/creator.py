@@ -40,7 +40,10 @@ def creator_run(
     """``seeds(author_id)``; canonical contents; fan and following edges; activity posts."""
     wanted = seeds.select("author_id").distinct()
     newest = [F.desc("created_ts"), F.col("platform"), F.col("content_id")]
-    mine = contents_of(wanted, content, "author_id", "author_id", newest, caps.contents)
+    mine = contents_of(
+        wanted, content, "author_id", "author_id", newest, caps.contents,
+        scatter_by=["platform", "content_id"],
+    )
     edges = None
     if fans is not None and followings is not None:
         by_pair = [F.col("up_id"), F.col("fan_id")]

@@ -8,6 +8,7 @@ from typing import Union
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from feedloom.functions.codes import PAGE_SIZES, REPLIES_COUNT
 from feedloom.operators.filters import keyword_search, split_keywords
 from feedloom.operators.joins import comments_of
 from feedloom.operators.ranking import first_n, first_pages
@@ -28,6 +29,15 @@ class SearchCaps:
     count_replies: bool = False
     top_words: int = 20
 
+    @classmethod
+    def of(cls, platform: str, **limits: int) -> SearchCaps:
+        """The limits of one platform: its page size and its rule for replies."""
+        rule = REPLIES_COUNT[platform]
+        own = {"page_size": PAGE_SIZES[platform], "count_replies": bool(rule)}
+        if rule is None:
+            own["comments_per_content"] = 0  # no cap
+        return cls(**{**own, **limits})
+
 
 @dataclass(frozen=True)
 class SearchResult:

@@ -47,3 +47,9 @@ def test_creator_run(spark):
     assert [r.author_id for r in result.not_found.collect()] == ["nobody"]
     assert sorted(map(tuple, result.edges.collect())) == [(0, 1), (1, 0), (1, 1)]
     assert [r.activity_id for r in result.activity.collect()] == ["p3"]
+
+
+def test_caps_of_platforms():
+    assert SearchCaps.of("xhs") == SearchCaps(page_size=20, count_replies=True)
+    assert SearchCaps.of("tieba", contents_per_keyword=5) == SearchCaps(contents_per_keyword=5, page_size=10)
+    assert SearchCaps.of("zhihu").comments_per_content == 0

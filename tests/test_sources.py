@@ -172,3 +172,10 @@ def test_wb_search_cards_and_pages(spark):
     page = 'var $render_data = [{"status":{"id":"7","text":"<b>x</b>"}}][0] || {};'
     pages = spark.createDataFrame([(page,), ("none",)], "html string")
     assert [(r.note_id, r.content) for r in wb.normalize_note(wb.page_notes(pages)).collect()] == [("7", "x")]
+
+
+def test_xhs_creator_pages(spark):
+    page = '<script>window.__INITIAL_STATE__={"x":undefined,"user":{"userPageData":{"basicInfo":{"nickname":"名","gender":1},"interactions":[{"type":"fans","count":"3"}]}}}</script>'
+    pages = spark.createDataFrame([("u1", page), ("u2", "captcha")], "user_id string, html string")
+    rows = xhs.normalize_creator(xhs.page_creators(pages)).collect()
+    assert [(r.user_id, r.nickname, r.gender, r.fans) for r in rows] == [("u1", "名", "F", "3")]
