@@ -6,6 +6,7 @@ from pyspark.sql.types import StructType
 from catalog.base import query, record, table, text
 from feedloom.operators import media
 from feedloom.operators.aggregates import next_run_ordinal
+from feedloom.operators.joins import comments_of
 from feedloom.session import shared_path
 from feedloom.sinks import files, upsert
 
@@ -181,6 +182,21 @@ def run_ordinal_of_files(spark, d):
     return next_run_ordinal(spark.read.parquet(path), "run")
 
 
+@query(
+    "comments_of_bucketed",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
+)
+def comments_of_bucketed(spark, d):
+    """Contents and comments stored by content id, joined where they lie."""
+    tables = {}
+    for name, columns in (("orders", ("o_orderkey", "o_custkey")), ("lineitem", ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))):
+        path = shared_path(spark, name)
+        tables[name] = f"feedloom_{name}_{path[-8:]}"
+        files.write_bucketed(table(spark, d, name).select(*columns), tables[name], columns[:1], 8, path)
+    content = spark.table(tables["orders"]).withColumnRenamed("o_orderkey", "l_orderkey")
+    return comments_of(content, spark.table(tables["lineitem"]), ["l_orderkey"], ["o_custkey"])
+
+
 # --- media ------------------------------------------------------------------
 
 

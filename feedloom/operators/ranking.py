@@ -1,7 +1,7 @@
 """Caps per group, page slices and latest rows.
 
 Every operator takes a total order (end it with a unique key). Groups may be of any
-size: up to GROUP_LIMIT rows a cap is pruned on the map side (``WindowGroupLimit``),
+size: up to ``group_limit`` rows a cap is pruned on the map side (``WindowGroupLimit``),
 so that no task receives a whole group; beyond it positions are computed piecewise.
 """
 
@@ -11,14 +11,13 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import Optional
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from feedloom.functions.codes import REPLIES_COUNT
 from feedloom.functions.nested import ColumnOrName, col
 from feedloom.operators.filters import in_day_range
 from feedloom.session import cut_lineage
 
-GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
 SALTED_FROM = 200   # larger caps are pruned in two rounds
 SALTS = 64
 TOP_ROWS = 10_000    # most rows a single top-k task may hold
@@ -26,6 +25,11 @@ TOP_ROWS = 10_000    # most rows a single top-k task may hold
 Order = Sequence[Column]
 
 
+def group_limit(spark: SparkSession) -> int:
+    """Largest cap that Spark prunes on the map side (-1: none)."""
+    return int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+
+
 def ranked(
     df: DataFrame, keys: Sequence[str], order: Order, n: int, name: str = "position"
 ) -> DataFrame:
@@ -33,7 +37,7 @@ def ranked(
     if not keys and n <= TOP_ROWS:
         df = df.orderBy(*order).limit(n)
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
-    if not keys or n > GROUP_LIMIT:
+    if not keys or n > group_limit(df.sparkSession):
         return numbered(df, keys, order, name).where(F.col(name) <= n)
     if n > SALTED_FROM:
         # Each map task may send n rows of a hot key, which for a large n is too much

@@ -184,3 +184,19 @@ def test_platform_tables(spark, tmp_path):
         tables.upsert_rows(rows, str(tmp_path), "xhs_note")
     row = up.current(spark, f"{tmp_path}/xhs_note").first()
     assert (row.title, row.add_ts, row.last_modify_ts) == ("b", 5, 9)
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    from feedloom.operators.joins import comments_of
+
+    content = spark.range(100).select(F.col("id").alias("content_id"), F.lit("x").alias("kind"))
+    comment = spark.range(1000).select((F.col("id") % 100).alias("content_id"), F.col("id").alias("comment_id"))
+    files.write_bucketed(content, "bucketed_content", ["content_id"], 4)
+    files.write_bucketed(comment, "bucketed_comment", ["content_id"], 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = comments_of(spark.table("bucketed_content"), spark.table("bucketed_comment"), ["content_id"], ["kind"])
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
