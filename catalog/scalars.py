@@ -49,10 +49,10 @@ def page_title(spark, d):
 
 @query(
     "html_unescape",
-    """SELECT page_id, replace(replace(replace(replace(replace(replace(
+    """SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(
          regexp_extract(html, '<title>(.*?)</title>', 1, 's'),
          '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
-         '&amp;', '&') AS title FROM pages""",
+         '&amp;?', '&', 'g') AS title FROM pages""",
 )
 def html_unescape(spark, d):
     return table(spark, d, "pages").select(
