@@ -130,7 +130,8 @@ LINKS = PageSpec(
     r"""SELECT page_id, unnest(range(len(h))) AS record_pos, unnest(h) AS href, unnest(t) AS label, title FROM (
          SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS h,
            regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS t,
-           regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&amp;?', '&', 'g') AS title FROM pages)""",
+           regexp_replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'),
+             '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS title FROM pages)""",
 )
 def html_records(spark, d):
     """Links of the navigation block of every page, as records."""
