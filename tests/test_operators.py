@@ -125,6 +125,12 @@ def test_salted_join_spreads_null_keys(spark):
     assert out.count() == 400 and out.where("s is not null").count() == 2
 
 
+def test_salted_join_scatters_rows_with_maps(spark):
+    big = spark.range(300).select(F.lit(1).alias("k"), "id", F.create_map(F.lit("a"), "id").alias("m"), F.struct(F.create_map(F.lit("a"), "id")).alias("s"))
+    small = spark.createDataFrame([(1, "x")], "k int, v string")
+    assert balanced_join(big, small, ["k"], always=True).where("v = 'x'").count() == 300
+
+
 def test_salted_join_refuses_outer(skewed):
     with pytest.raises(ValueError):
         balanced_join(skewed, skewed, ["k"], "full_outer")
