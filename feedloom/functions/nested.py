@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 from typing import Union
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
 ColumnOrName = Union[Column, str]
@@ -183,8 +183,14 @@ def fill(first: Column, second: Column, data_type: DataType) -> Column:
     return F.when(first.isNotNull() | second.isNotNull(), F.struct(*fields))
 
 
-def from_any_case(c: ColumnOrName, schema: StructType) -> Column:
-    """Parse a JSON record whose names may be in snake case or in camel case."""
-    snake = F.from_json(col(c), schema)
-    camel = F.from_json(col(c), camel_schema(schema)).cast(schema)
-    return fill(snake, camel, schema)
+def parse_any_case(df: DataFrame, column: str, schema: StructType, name: str) -> DataFrame:
+    """Add the record of a JSON column whose names may be in snake case or in camel case.
+
+    Each reading is a column of its own: an expression that uses a parsed value many
+    times would parse it as often.
+    """
+    snake = F.from_json(col(column), schema)
+    camel = F.from_json(col(column), camel_schema(schema)).cast(schema)
+    both = df.withColumns({"_snake": snake, "_camel": camel})
+    filled = fill(F.col("_snake"), F.col("_camel"), schema)
+    return both.withColumn(name, filled).drop("_snake", "_camel")

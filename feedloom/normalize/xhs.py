@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from feedloom.functions.codes import gender
 from feedloom.functions.nested import (
     entries_to_map,
-    from_any_case,
     join_list,
     map_json,
+    parse_any_case,
     present,
     text_or,
     typed_value,
@@ -79,10 +79,10 @@ def normalize_note(df: DataFrame, as_of: Seen = None) -> DataFrame:
 
 def page_notes(df: DataFrame, html_col: str = "html", note_id: str = "note_id") -> DataFrame:
     """Notes embedded in detail pages, as payload fields (the page's names are camel case)."""
-    record = from_any_case("_record", struct(payloads.XHS_NOTE))
     keep = [c for c in df.columns if c not in (html_col, note_id)]
     found = df.select(*keep, F.explode(present(xhs_note_payload(html_col, note_id))).alias("_record"))
-    return found.select(*keep, F.inline(present(record)))
+    notes = parse_any_case(found, "_record", struct(payloads.XHS_NOTE), "_note")
+    return notes.select(*keep, F.inline(present("_note")))
 
 
 def page_creators(df: DataFrame, html_col: str = "html") -> DataFrame:

@@ -11,8 +11,8 @@ from feedloom.functions.nested import (
     first_map_value,
     first_match,
     first_nonzero,
-    from_any_case,
     number_or_zero,
+    parse_any_case,
     present,
     text_or,
 )
@@ -191,10 +191,8 @@ def page_records(df: DataFrame, kind: Union[str, Column], html_col: str = "html"
     for name, entity in PAGE_ENTITIES.items():
         record = F.when(kind == name, first_map_value(f"_entities.{entity}")).otherwise(record)
     keep = [c for c in df.columns if c not in ("_entities", html_col)]
-    out = df.select(*keep, "_entities.users", F.explode(present(record)).alias("_record")).select(
-        *keep, "users", "_record",
-        from_any_case("_record", struct(payloads.ZHIHU_CONTENT)).alias("_content"),
-    )
+    found = df.select(*keep, "_entities.users", F.explode(present(record)).alias("_record"))
+    out = parse_any_case(found, "_record", struct(payloads.ZHIHU_CONTENT), "_content")
     user = F.try_element_at("users", F.get_json_object("_record", "$.author"))
     named = F.struct(
         user["id"].alias("id"),
