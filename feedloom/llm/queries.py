@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedloom import configure
-from feedloom.llm import bpe, packing, tokens
+from feedloom.llm import bpe, html, packing, quality, tokens, topk
 from feedloom.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,11 @@ TOKEN_LIMIT = 4096
 SEQUENCE = 4096
 
 
+def held_out(id: str = "doc_id"):
+    """One document in five, by its id; none without an id."""
+    return F.coalesce(F.crc32(F.col(id).cast("string")) % 5 == 0, F.lit(False))
+
+
 def query(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         prepare(configure(spark))
@@ -39,7 +44,39 @@ def op2_bpe_codec(table) -> DataFrame:
     return bpe.round_trip(table("documents"), path, with_ids=False, with_text=False)
 
 
+@query
+def op3_html_main_text(table) -> DataFrame:
+    return html.extract(table("pages"))
+
+
+@query
+def op5_top_k(table) -> DataFrame:
+    return topk.search(table("embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+SQL["op5_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+  FROM scored
+) WHERE rank <= 5
+"""
+
+
 @query
 def op9_packing(table) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(table("documents"), path, size=SEQUENCE, with_ids=False)
+
+
+@query
+def op10_quality_classifier(table) -> DataFrame:
+    scored = quality.classify(table("documents"), table("labels"), learn_from=~held_out())
+    return scored.withColumn("held_out", held_out())
