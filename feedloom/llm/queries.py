@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedloom import configure
-from feedloom.llm import bpe, html, packing, quality, rules, tokens, topk
+from feedloom.llm import bpe, html, jaccard, packing, quality, rules, tokens, topk
 from feedloom.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,11 @@ def op7_quality_rules(table) -> DataFrame:
     return rules.assess(table("documents")).drop("clean_text")
 
 
+@query
+def op8_ngram_jaccard(table) -> DataFrame:
+    return jaccard.near_duplicates(table("documents"), percent=75)
+
+
 @query
 def op9_packing(table) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
