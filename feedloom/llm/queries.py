@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedloom import configure
-from feedloom.llm import bpe, html, jaccard, packing, quality, rules, tokens, topk
+from feedloom.llm import bpe, html, jaccard, language, packing, pii, quality, rules, tokens, topk
 from feedloom.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def held_out(id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def learned(id: str = "doc_id"):
+    """The other four in five."""
+    return F.coalesce(F.crc32(F.col(id).cast("string")) % 5 != 0, F.lit(False))
+
+
 def query(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         prepare(configure(spark))
@@ -49,6 +54,12 @@ def op3_html_main_text(table) -> DataFrame:
     return html.extract(table("pages"))
 
 
+@query
+def op4_pii(table) -> DataFrame:
+    found = pii.digest(pii.sanitise(table("documents")))
+    return found.drop("base_spans", "all_spans", "clean_text")
+
+
 @query
 def op5_top_k(table) -> DataFrame:
     return topk.search(table("embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
@@ -70,6 +81,12 @@ SELECT query_id, rank, vec_id, score FROM (
 """
 
 
+@query
+def op6_language_id(table) -> DataFrame:
+    found = language.identify(table("documents"), learn_from=learned())
+    return found.withColumn("held_out", held_out())
+
+
 @query
 def op7_quality_rules(table) -> DataFrame:
     return rules.assess(table("documents")).drop("clean_text")
@@ -88,5 +105,5 @@ def op9_packing(table) -> DataFrame:
 
 @query
 def op10_quality_classifier(table) -> DataFrame:
-    scored = quality.classify(table("documents"), table("labels"), learn_from=~held_out())
+    scored = quality.classify(table("documents"), table("labels"), learn_from=learned())
     return scored.withColumn("held_out", held_out())
