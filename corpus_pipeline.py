@@ -6,8 +6,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from feedloom import configure
-from feedloom.llm import packing
+from feedloom.llm import jaccard, language, packing, pii, rules
 from feedloom.llm.common import prepare, written
+from feedloom.llm.queries import learned
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep, without the lines that failed."""
+    return rules.clean(docs)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told."""
+    return language.keep_known(docs, learned())
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard.representatives(docs)
+
+
+def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without personal data and what discloses it."""
+    return pii.clean(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,10 +37,14 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("ngram_jaccard_join", near_duplicates),
+    ("pii", sanitised),
     ("packing", packed),
 ]
 
-#: A network labels the languages and a tokenizer cuts the sequences: no SQL for these.
+#: A network tells the languages and a tokenizer cuts the sequences: no SQL for these.
 ORACLE_SQL = None
 
 

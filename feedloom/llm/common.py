@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from feedloom.session import shared_path
+from feedloom.session import estimated_bytes, shared_path
 
 #: Rows and bytes of an Arrow batch: texts may be long, so a batch holds few of them.
 BATCH = {
@@ -33,6 +33,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A table up to this size is broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The frame, marked for broadcast if its known size allows."""
+    return F.broadcast(df) if estimated_bytes(df) <= BROADCAST_BYTES else df
+
+
 def map_arrow(
     df: DataFrame,
     inputs: Sequence[str],
@@ -50,8 +59,8 @@ def map_arrow(
     made = _parse_datatype_string(outputs)
     keep = [c for c in dict.fromkeys(keep) if c not in made.names]
     source = df.select(
-        *[F.col(f"`{c}`") for c in keep],
-        *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(inputs)],
+        *[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)],
+        *[F.col(f"`{c}`").alias(f"__i{i}") for i, c in enumerate(inputs)],
     )
     schema = StructType([*source.schema.fields[: len(keep)], *made.fields])
     types = [f.type for f in to_arrow_schema(made)]
@@ -73,7 +82,7 @@ def map_arrow(
             new = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(new, types)]
             yield pa.RecordBatch.from_arrays([*old, *new], names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*keep, *made.names)
 
 
 class Memo:

@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from feedloom.llm import shingles
-from feedloom.llm.common import written
-from feedloom.session import estimated_bytes
+from feedloom.llm.common import bounded, written
 
 #: Counters of the frequency sketch (2 to this power): a bounded array whatever the input.
 SKETCH_BITS = 18
@@ -18,8 +17,6 @@ SKETCH_BITS = 18
 MOST_MATCHES = 4
 #: Tokens of a document whose buckets link neighbours in the first round.
 FIRST_TOKENS = 4
-#: A table of class names up to this size is broadcast; a larger one is joined by a shuffle.
-BROADCAST_BYTES = 64 << 20
 
 
 def _counted(documents: DataFrame, text: str) -> DataFrame:
@@ -142,9 +139,6 @@ def _shared(prefixes: DataFrame) -> DataFrame:
 
 def _sets(documents: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     """``sig`` and ``shingles`` (bytes) of the sets named in ``wanted`` (sig, th)."""
-    if estimated_bytes(wanted) <= BROADCAST_BYTES:
-        wanted = F.broadcast(wanted)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -159,7 +153,7 @@ def _sets(documents: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                 [pa.array(labels, pa.int64()), pa.array(found, pa.binary())], names=["sig", "shingles"]
             )
 
-    texts = documents.withColumn("th", F.xxhash64(text)).join(wanted, "th", "left_semi").select(text)
+    texts = documents.withColumn("th", F.xxhash64(text)).join(bounded(wanted), "th", "left_semi").select(text)
     return texts.mapInArrow(run, "sig long, shingles binary").groupBy("sig").agg(
         F.first("shingles").alias("shingles")
     )
@@ -307,5 +301,5 @@ def representatives(documents: DataFrame, text: str = "text", id: str = "doc_id"
     """One document of each component, the one whose id names it; documents with empty sets
     and documents without an id stay. Of rows that repeat that id all stay."""
     found = near_duplicates(documents, text, id, percent)
-    gone = found.filter(F.col(id) != F.col("component_id")).select(id).distinct()
-    return documents.join(gone, id, "left_anti")
+    gone = written(found.filter(F.col(id) != F.col("component_id")).select(id).distinct(), "copies")
+    return documents.join(bounded(gone), id, "left_anti").select(documents.columns)

@@ -268,3 +268,12 @@ def predict(
 def identify(df: DataFrame, learn_from: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Train on the documents that meet ``learn_from`` and predict all."""
     return predict(df, train(df, learn_from, text), text, keep)
+
+
+def keep_known(df: DataFrame, learn_from: Column, min_score: float = 0.3, text: str = "text") -> DataFrame:
+    """The documents, with their own columns, whose language is told: not ``und``, and with a
+    score of ``min_score`` at least."""
+    held = df.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    found = predict(held, train(df, learn_from, text), text, ("__row",))
+    found = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    return found.select(*[F.col("__row").getField(c).alias(c) for c in df.columns])

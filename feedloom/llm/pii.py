@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from feedloom.llm.common import written
-from feedloom.session import estimated_bytes
+from feedloom.llm.common import bounded, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: A start inside a run of a pattern's first class cannot match where the run's start does
@@ -22,9 +21,6 @@ GENERAL = "[WORD]"
 _TERM = r"\p{L}{4,}"
 #: Characters on each side of a span that make its context.
 CONTEXT = 160
-#: A table up to this size is broadcast; a larger one is joined by a shuffle.
-BROADCAST_BYTES = 64 << 20
-
 SPAN = "array<struct<start:int,kind:int,end:int,value:string,action:string>>"
 
 
@@ -111,10 +107,6 @@ def _contexts(df: DataFrame) -> DataFrame:
     return rows.select("entity", "key", F.xxhash64("around").alias("place"), terms.alias("terms"))
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if estimated_bytes(df) <= BROADCAST_BYTES else df
-
-
 def sanitise(
     df: DataFrame,
     text: str = "text",
@@ -152,7 +144,7 @@ def sanitise(
     acts = by_key.groupBy("key", "term").agg(F.max("action").alias("action"))
     acts = acts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("term", "action"))).alias("acts"))
     acts = written(acts, "pii-acts")
-    out = with_base_spans(docs, "t", "base_spans").join(_bounded(acts), "key", "left")
+    out = with_base_spans(docs, "t", "base_spans").join(bounded(acts), "key", "left")
     pattern = F.concat(
         F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("acts", lambda a: a["term"]), "|"), F.lit(r")(?!\p{L})")
     )
@@ -186,7 +178,7 @@ def _flagged(texts: DataFrame, contexts: DataFrame, generalise_at: float, remove
     pairs = written(pairs.join(strong.select("entity", "term"), ["entity", "term"]).join(n_e, "entity"), "pii-pairs")
     terms = written(pairs.select("term").distinct(), "pii-candidates")
     words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(_TERM), F.lit(0)))
-    words = texts.select(F.explode(words).alias("term")).join(_bounded(terms), "term", "left_semi")
+    words = texts.select(F.explode(words).alias("term")).join(bounded(terms), "term", "left_semi")
     n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))
     total = float(max(texts.count(), 1))
     information = F.log(total / F.col("n_e"))
