@@ -144,7 +144,7 @@ def assess(
     )
     left = F.length(F.regexp_replace("clean_text", WHITE, ""))
     kept = ~F.col("base_failed") & (left >= (1 - max_loss) * F.col("word_chars"))
-    return df.withColumn("kept", kept).select(*keep, *made)
+    return df.withColumn("kept", kept).select(*[F.col(f"`{c}`") for c in keep], *made)
 
 
 def clean(df: DataFrame, text: str = "text", **limits) -> DataFrame:

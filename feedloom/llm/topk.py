@@ -78,7 +78,7 @@ def search(
     Rows without an id, and vectors that are NULL or hold a NULL or non-finite component,
     take no part; an empty vector scores 0; shorter vectors end in zeros. Repeated rows are
     candidates each, and repeated query rows have a list each. A query has fewer rows where
-    there are fewer candidates, none if there is none. Scores beyond 64 bits are held at the
+    there are fewer candidates, none if there is none. Scores beyond 64 bits count as the
     largest 64-bit value of their sign.
 
     Queries are cut into blocks and vectors into slices of bounded size; each block meets
@@ -118,10 +118,10 @@ def search(
         parts = []
         for a in range(0, len(asked_ids), HELD):
             found = scores(postings, weights[a : a + HELD], len(ids), kind)
+            if kind is object:
+                found = np.clip(found, -(2**63), 2**63 - 1).astype(np.int64)
             q, v = best(found, ids[:, None] == asked_ids[a : a + HELD], k)
             score = found[v, q]
-            if kind is object:
-                score = np.array([max(-(2**63), min(2**63 - 1, x)) for x in score], np.int64)
             parts.append((asked_n[a + q], asked_ids[a + q], ids[v], score.astype(np.int64)))
         columns = [np.concatenate(c) if parts else np.array([], np.int64) for c in zip(*parts)] or [[]] * 4
         return pa.table(dict(zip(("n", "query_id", "vec_id", "score"), (pa.array(c, pa.int64()) for c in columns))))
