@@ -209,6 +209,40 @@ def keyword_hits_last(spark, d):
     return hits.select("doc_id", "source_keyword")
 
 
+_MANY = [a + b for a in "abcdefghijklmnopqrst" for b in "aeiouhnrst"] + ["The", "tion", "tha"] + [f"No {i}" for i in range(60)]
+_MANY_VALUES = ", ".join(f"('{k}', {i})" for i, k in enumerate(_MANY))
+
+
+def _repeated_documents(spark, d):
+    """Documents with repeated and NULL ids."""
+    docs = table(spark, d, "documents")
+    return spread(docs.select(F.expr("nullif(doc_id % 50, 7)").alias("id"), "text"))
+
+
+@query(
+    "keyword_hits_many",
+    f"""SELECT nullif(doc_id % 50, 7) AS id, k AS source_keyword, count(*)::BIGINT AS n
+        FROM documents, (VALUES {_MANY_VALUES}) v(k, i)
+        WHERE contains(lower(text), lower(k)) GROUP BY 1, 2""",
+)
+def keyword_hits_many(spark, d):
+    """More keywords than are tested in one projection; no column identifies a row."""
+    hits = fl.keyword_search(_repeated_documents(spark, d), _MANY, ["text"])
+    return hits.groupBy("id", "source_keyword").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "keyword_hits_many_last",
+    f"""SELECT id, source_keyword, count(*)::BIGINT AS n FROM (
+          SELECT doc_id, nullif(any_value(doc_id) % 50, 7) AS id, arg_max(k, i) AS source_keyword
+          FROM documents, (VALUES {_MANY_VALUES}) v(k, i)
+          WHERE contains(lower(text), lower(k)) GROUP BY 1) GROUP BY 1, 2""",
+)
+def keyword_hits_many_last(spark, d):
+    hits = fl.keyword_search(_repeated_documents(spark, d), _MANY, ["text"], mode="last")
+    return hits.groupBy("id", "source_keyword").agg(F.count(F.lit(1)).alias("n"))
+
+
 _OWN_WORDS = r"SELECT DISTINCT regexp_extract(text, '^([A-Za-z]{4,8}) ', 1) AS k FROM benchmark"
 
 

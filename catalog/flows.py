@@ -93,7 +93,8 @@ def creators_not_found(spark, d):
 
 @query(
     "creator_edges",
-    """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem),
+    """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem
+         WHERE l_suppkey IN (SELECT c_custkey * 2 FROM customer)),
        r AS (SELECT s, p, row_number() OVER (PARTITION BY s ORDER BY p) AS rn FROM e)
        SELECT s AS up_id, p AS fan_id FROM r WHERE rn <= 10 UNION SELECT p, s FROM r WHERE rn <= 10""",
 )
@@ -104,7 +105,8 @@ def creator_edges(spark, d):
 @query(
     "creator_activity",
     """SELECT user_id, activity_id, event_type FROM (SELECT user_id, event_id AS activity_id, event_type,
-         row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rn FROM events) WHERE rn <= 5""",
+         row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rn FROM events
+         WHERE user_id IN (SELECT c_custkey * 2 FROM customer)) WHERE rn <= 5""",
 )
 def creator_activity(spark, d):
     return _creator(spark, d).activity.select("user_id", "activity_id", "event_type")

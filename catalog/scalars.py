@@ -389,7 +389,7 @@ def day_series(spark, d):
     FROM a""",
 )
 def array_picks(spark, d):
-    parts = F.slice(F.split("url", "/"), 3, 100)
+    parts = F.slice(F.split("url", "/"), F.lit(3), F.length("url"))
     arrays = table(spark, d, "pages").select("page_id", parts.alias("p"))
     none = F.array().cast("array<string>")
     return arrays.select(

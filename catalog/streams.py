@@ -16,10 +16,12 @@ from feedloom.streaming import ingest, state
 
 
 def _stream(spark, d, name):
-    schema = table(spark, d, name).schema
-    return ingest.read_stream(
-        spark, d, schema, files_per_trigger=1, pathGlobFilter=f"{name}.parquet"
-    )
+    """The table's files as a stream, one a micro-batch: one file or a folder of parts."""
+    rows = table(spark, d, name)
+    file = f"{name}.parquet"
+    if any(not f.rstrip("/").endswith(f"/{file}") for f in rows.inputFiles()):
+        return ingest.read_stream(spark, f"{d}/{file}", rows.schema, files_per_trigger=1)
+    return ingest.read_stream(spark, d, rows.schema, files_per_trigger=1, pathGlobFilter=file)
 
 
 def _landed(spark, stream, mode, name):

@@ -49,11 +49,28 @@ def strip(c: ColumnOrName) -> Column:
     return F.regexp_replace(col(c), _EDGE_BLANKS, "")
 
 
+def _without(c: Column, tag: str) -> Column:
+    """Elements of a tag removed, from an opener to the next closer.
+
+    Cut at the closers, each part loses what follows its first opener, and a part without
+    one keeps its closer: linear, also where openers never close.
+    """
+    closer = f"</{tag}>"
+    opened = rf"(?s)<{tag}[^>]*+>.*+|(<{tag}[^>]*+)$"
+    parts = F.split(c, closer, -1)
+    last = F.size(parts) - 1
+    cut = F.transform(
+        parts,
+        lambda x, i: F.when(i == last, x)
+        .when(x.rlike(f"<{tag}[^>]*+>"), F.regexp_replace(x, opened, "$1"))
+        .otherwise(F.concat(x, F.lit(closer))),
+    )
+    return F.when(F.contains(c, F.lit(closer)), F.array_join(cut, "")).otherwise(c)
+
+
 def strip_html(c: ColumnOrName) -> Column:
     """Text of an HTML fragment: no script/style bodies, no tags, trimmed; '' for NULL."""
-    no_code = F.regexp_replace(
-        F.coalesce(col(c), F.lit("")), r"(?s)<(script|style)[^>]*>.*?</\1>", ""
-    )
+    no_code = _without(_without(F.coalesce(col(c), F.lit("")), "script"), "style")
     return strip(F.regexp_replace(no_code, _TAG, "$1"))
 
 
@@ -236,9 +253,9 @@ def open_comments(c: ColumnOrName) -> Column:
 
 
 def repair_undefined(c: ColumnOrName, all_as_text: bool) -> Column:
-    """JavaScript ``undefined`` to ``""`` everywhere, or after a colon to ``null``."""
+    """JavaScript ``undefined`` to ``""`` where a value stands, or after a colon to ``null``."""
     if all_as_text:
-        return F.replace(col(c), F.lit("undefined"), F.lit('""'))
+        return F.regexp_replace(col(c), r"(?<=[:,\[])undefined(?=[,}\]])", '""')
     return F.replace(col(c), F.lit(":undefined"), F.lit(":null"))
 
 

@@ -63,7 +63,7 @@ def text_epoch(c: ColumnOrName) -> Column:
 
 def _mail_time(c: Column) -> Column:
     # The weekday is skipped: Spark's parser has no pattern letter for it.
-    return F.try_to_timestamp(F.substring(c, 5, 60), F.lit(_MAIL_FORMAT))
+    return F.try_to_timestamp(F.substr(c, F.lit(5)), F.lit(_MAIL_FORMAT))
 
 
 def mail_instant(c: ColumnOrName) -> Column:

@@ -27,8 +27,7 @@ def search_records(df: DataFrame) -> DataFrame:
 
 
 def cover_url() -> Column:
-    raw, origin = F.col("video.raw_cover"), F.col("video.origin_cover")
-    return text(second(F.coalesce(raw, origin)["url_list"]), "")
+    return text(second(first_filled("video.raw_cover.url_list", "video.origin_cover.url_list")), "")
 
 
 def video_url() -> Column:
@@ -91,9 +90,8 @@ def normalize_post(df: DataFrame, as_of: Seen = None) -> DataFrame:
 def normalize_comment(df: DataFrame, as_of: Seen = None) -> DataFrame:
     """Comments; see ``consistent_children`` for those of another post."""
     df = opened(df, payloads.DY_COMMENT)
-    avatar = F.coalesce(
-        "user.avatar_medium", "user.avatar_300x300", "user.avatar_168x168", "user.avatar_thumb"
-    )
+    sizes = ("avatar_medium", "avatar_300x300", "avatar_168x168", "avatar_thumb")
+    avatar = first_filled(*[f"user.{size}.url_list" for size in sizes])
     return df.select(
         F.col("cid").alias("comment_id"),
         "create_time",
@@ -101,7 +99,7 @@ def normalize_comment(df: DataFrame, as_of: Seen = None) -> DataFrame:
         "aweme_id",
         F.col("text").alias("content"),
         *_account("user"),
-        text(item(avatar["url_list"], 1), "").alias("avatar"),
+        text(item(avatar, 1), "").alias("avatar"),
         text("reply_comment_total", "0").alias("sub_comment_count"),
         F.coalesce("digg_count", F.lit(0).cast("bigint")).alias("like_count"),
         seen(as_of),

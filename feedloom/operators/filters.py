@@ -192,10 +192,11 @@ def keyword_search(
     """Rows whose text contains a keyword (any case), tagged with ``source_keyword``.
 
     ``mode='all'`` gives one row per hit, ``mode='last'`` one row per input row with
-    the last keyword that hits. A short list is tested inside one projection: no
-    join, no shuffle. A long list or a DataFrame (columns ``source_keyword`` and,
-    for 'last', ``keyword_pos``) goes through an equi-join on character grams and
-    needs ``key``, the columns that identify a row.
+    the last keyword that hits; either way the input's columns and the keyword. A short
+    list is tested inside one projection: no join, no shuffle. A long list or a DataFrame
+    (columns ``source_keyword`` and, for 'last', ``keyword_pos``) goes through an equi-join
+    on character grams. The rows are the same: repeated rows are rows each, and ``key``,
+    the columns that identify a row, is not needed for either.
     """
     if mode not in ("all", "last"):
         raise ValueError(f"unknown keyword mode {mode!r}")
@@ -205,9 +206,9 @@ def keyword_search(
             return _inline_search(df, listed, text_cols, mode)
         rows = [(k, i) for i, k in enumerate(listed)]
         keywords = df.sparkSession.createDataFrame(rows, "source_keyword string, keyword_pos int")
-    if not key:
-        raise ValueError("a long keyword list needs key, the identifying columns")
-    return _gram_search(df, keywords, text_cols, mode, list(key))
+    if mode == "last" and "keyword_pos" not in keywords.columns:
+        raise ValueError("mode 'last' needs keyword_pos, the keywords' order")
+    return _gram_search(df, keywords, text_cols, mode)
 
 
 def _haystack(text_cols: Sequence[str]) -> Column:
@@ -233,12 +234,11 @@ def _inline_search(
     return spotted.withColumn("source_keyword", every).drop("_text")
 
 
-def _gram_search(
-    df: DataFrame, keywords: DataFrame, text_cols: Sequence[str], mode: str, key: list[str]
-) -> DataFrame:
+def _gram_search(df: DataFrame, keywords: DataFrame, text_cols: Sequence[str], mode: str) -> DataFrame:
     """A text that holds a keyword holds the keyword's leading gram.
 
-    Only (key, gram) pairs meet the keywords; texts travel once, to be checked.
+    Each row meets the keywords once for each of its grams that begins one, and is checked
+    where it meets them: texts are not joined back.
     """
     if "keyword_pos" in keywords.columns:
         unique = keywords.groupBy("source_keyword").agg(F.max("keyword_pos").alias("keyword_pos"))
@@ -250,26 +250,28 @@ def _gram_search(
             "_gram": F.substring(F.lower("source_keyword"), 1, GRAM),
         }
     )
-    body = df.withColumn("_text", _haystack(text_cols))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    body = df.select(row.alias("_row"), _haystack(text_cols).alias("_text"))
+    if mode == "last":
+        body = body.withColumn("_id", F.monotonically_increasing_id())
 
-    lengths = needles.agg(F.collect_set(F.length("_gram")).alias("n")).scalar()  # at most GRAM values
+    # At most as many values as there are texts of GRAM characters.
+    leading = needles.agg(F.collect_set("_gram").alias("g")).scalar()
+    lengths = needles.agg(F.collect_set(F.length("_gram")).alias("n")).scalar()
 
     def grams(n: int) -> Column:
         # A look-ahead matches at every character: one pass gives overlapping grams.
         # Lengths that no keyword needs are not cut at all.
         cut = F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
         none = F.array().cast("array<string>")
-        return F.when(F.array_contains(lengths, F.lit(n)), F.array_distinct(cut)).otherwise(none)
+        return F.when(F.array_contains(lengths, F.lit(n)), cut).otherwise(none)
 
     all_grams = F.concat(*[grams(n) for n in range(1, GRAM + 1)])
-    pairs = body.select(*key, F.explode(all_grams).alias("_gram"))
-    candidates = balanced_join(pairs, needles, ["_gram"]).drop("_gram")
-    checked = balanced_join(candidates, body, key).where(
-        F.contains(F.col("_text"), F.col("_needle"))
-    )
+    met = body.withColumn("_gram", F.explode(F.array_intersect(all_grams, leading)))
+    checked = balanced_join(met, needles, ["_gram"]).where(F.contains(F.col("_text"), F.col("_needle")))
     if mode == "last":
-        last = checked.groupBy(*key).agg(
-            F.max_by("source_keyword", "keyword_pos").alias("source_keyword")
+        checked = checked.groupBy("_id").agg(
+            F.max_by("_row", "keyword_pos").alias("_row"),
+            F.max_by("source_keyword", "keyword_pos").alias("source_keyword"),
         )
-        return df.join(last, key)
-    return checked.select(*df.columns, "source_keyword")
+    return checked.select(*[F.col("_row").getField(c).alias(c) for c in df.columns], "source_keyword")

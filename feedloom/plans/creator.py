@@ -29,6 +29,11 @@ class CreatorResult:
     activity: Optional[DataFrame]
 
 
+def _of(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows of the wanted authors."""
+    return df.join(wanted.select(F.col("author_id").alias(column)), column, "left_semi")
+
+
 def creator_run(
     seeds: DataFrame,
     content: DataFrame,
@@ -37,7 +42,8 @@ def creator_run(
     activity: Optional[DataFrame] = None,
     caps: CreatorCaps = CreatorCaps(),
 ) -> CreatorResult:
-    """``seeds(author_id)``; canonical contents; fan and following edges; activity posts."""
+    """``seeds(author_id)``; canonical contents; fan and following edges and activity
+    posts of the seeds."""
     wanted = seeds.select("author_id").distinct()
     newest = [F.desc("created_ts"), F.col("platform"), F.col("content_id")]
     mine = contents_of(
@@ -48,12 +54,12 @@ def creator_run(
     if fans is not None and followings is not None:
         by_pair = [F.col("up_id"), F.col("fan_id")]
         edges = contact_edges(
-            first_n(fans, ["up_id"], by_pair, caps.contacts),
-            first_n(followings, ["fan_id"], by_pair, caps.contacts),
+            first_n(_of(fans, "up_id", wanted), ["up_id"], by_pair, caps.contacts),
+            first_n(_of(followings, "fan_id", wanted), ["fan_id"], by_pair, caps.contacts),
         )
     posts = None
     if activity is not None:
         posts = first_n(
-            activity, ["user_id"], [F.desc("pub_ts"), F.col("activity_id")], caps.activities
+            _of(activity, "user_id", wanted), ["user_id"], [F.desc("pub_ts"), F.col("activity_id")], caps.activities
         )
     return CreatorResult(mine, missing(wanted, content, "author_id"), edges, posts)

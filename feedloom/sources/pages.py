@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Optional
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -66,7 +66,9 @@ class PageSpec:
 # A comment, a declaration, or a tag: (closing slash, name, attribute text).
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+|[^>]*)>",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+|[^>]*)>"
+    # What no ``>`` follows is text up to the end of the page.
+    r"|(<[!?/]?[a-zA-Z!?][^>]*\Z)",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
@@ -107,8 +109,10 @@ class _Page:
             begin, end = match.span()
             if begin > position:
                 top.texts.append(source[position:begin])
-            slash, tag, raw = match.groups()
+            slash, tag, raw, rest = match.groups()
             position = end
+            if rest is not None:
+                top.texts.append(rest)
             if tag is not None:
                 tag = tag.lower()
                 top = self._close(top, tag, begin, end) if slash else self._open(top, tag, raw, begin, end)
@@ -233,15 +237,19 @@ def parse_html(
     )
     names = [f.name for f in schema.fields]
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for page in batch.itertuples(index=False):
-                *kept, source = page
-                if source is None:
-                    continue
-                for i, record in enumerate(page_records(source, spec)):
-                    rows.append([*kept, i, *record.values()])
-            yield pd.DataFrame(rows, columns=names)
-
-    return spread(df.select(*keep, html_col)).mapInPandas(parse, schema)
+            origin, records = [], []
+            for k, source in enumerate(batch.column(len(keep)).to_pylist()):
+                if source is not None:
+                    for i, record in enumerate(page_records(source, spec)):
+                        origin.append(k)
+                        records.append([i, *record.values()])
+            # Kept columns never leave Arrow: ids keep every bit.
+            index = pa.array(origin, pa.int64())
+            columns = [c.take(index) for c in batch.columns[: len(keep)]]
+            kinds = [pa.int64()] + [pa.string()] * len(spec.fields)
+            columns += [pa.array([r[n] for r in records], t) for n, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return spread(df.select(*keep, html_col)).mapInArrow(parse, schema)

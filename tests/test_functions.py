@@ -1,5 +1,7 @@
 """Scalar functions on hand-made values."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -169,3 +171,24 @@ def test_long_han_runs(one):
     text = lit("世界和" * 40_000)
     assert one(F.size(tx.tokens(text, ["世界"]))) == 80_000
     assert one(F.size(tx.tokens(text, ["无"], han="bigram"))) == 119_999
+
+
+@pytest.mark.parametrize("part", ["<script>", "<script", "<style>", "<a ", "</script>", "<script>x</script>"])
+def test_markup_that_never_closes_is_linear(one, part):
+    def seconds(n):
+        start = time.perf_counter()
+        one(tx.strip_html(lit(part * n)))
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(60_000) < 8 * seconds(15_000) + 1
+
+
+def test_script_and_style_bodies_go(one):
+    page = "a<script x>b<p></script>c<style>d</style>e</style><script>f"
+    assert one(tx.strip_html(lit(page))) == "acef"
+
+
+def test_undefined_in_text_stays(one):
+    raw = '{"a":undefined,"t":"is undefined, here","l":[undefined,undefined]}'
+    assert one(tx.repair_undefined(lit(raw), True)) == '{"a":"","t":"is undefined, here","l":["",""]}'

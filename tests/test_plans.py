@@ -39,13 +39,15 @@ def test_search_counts_replies(spark):
 
 def test_creator_run(spark):
     seeds = spark.createDataFrame([("a1",), ("a2",), ("nobody",)], "author_id string")
-    edges = spark.createDataFrame([(1, i) for i in range(5)], "up_id int, fan_id int")
-    posts = spark.createDataFrame([(f"p{i}", "a1", i) for i in range(4)], "activity_id string, user_id string, pub_ts int")
+    pairs = [("a1", f"f{i}") for i in range(5)] + [("stranger", "f0"), ("stranger", "g")]
+    edges = spark.createDataFrame(pairs, "up_id string, fan_id string")
+    posts = [(f"p{i}", "a1", i) for i in range(4)] + [("q", "stranger", 1)]
+    posts = spark.createDataFrame(posts, "activity_id string, user_id string, pub_ts int")
     result = creator_run(seeds, content(spark), edges, edges.select(F.col("fan_id").alias("up_id"), F.col("up_id").alias("fan_id")), posts,
                          CreatorCaps(contents=3, contacts=2, activities=1))
     assert sorted(r.content_id for r in result.content.collect()) == ["c41", "c43", "c44", "c46", "c47", "c49"]
     assert [r.author_id for r in result.not_found.collect()] == ["nobody"]
-    assert sorted(map(tuple, result.edges.collect())) == [(0, 1), (1, 0), (1, 1)]
+    assert sorted(map(tuple, result.edges.collect())) == [("a1", "f0"), ("a1", "f1"), ("f0", "a1"), ("f1", "a1")]
     assert [r.activity_id for r in result.activity.collect()] == ["p3"]
 
 

@@ -1,5 +1,7 @@
 """Responses, embedded state, HTML pages, seeds."""
 
+import time
+
 import pytest
 
 from feedloom.normalize import tieba, xhs, zhihu
@@ -7,7 +9,7 @@ from feedloom.plans.detail import zhihu_details
 from feedloom.sources import responses as rs
 from feedloom.sources import tables as tb
 from feedloom.sources.embedded import embedded_json, xhs_note_payload
-from feedloom.sources.pages import PageSpec, Take, at, page_records, parse_html
+from feedloom.sources.pages import PageSpec, Step, Take, at, page_records, parse_html
 from pyspark.sql import functions as F
 
 ENVELOPES = {
@@ -179,3 +181,21 @@ def test_xhs_creator_pages(spark):
     pages = spark.createDataFrame([("u1", page), ("u2", "captcha")], "user_id string, html string")
     rows = xhs.normalize_creator(xhs.page_creators(pages)).collect()
     assert [(r.user_id, r.nickname, r.gender, r.fans) for r in rows] == [("u1", "名", "F", "3")]
+
+
+def test_ids_of_pages_keep_every_bit(spark):
+    spec = PageSpec(blocks=((Step("p"),),), fields={"t": Take(())})
+    rows = [(9007199254740993, "<p>a</p><p>b</p>"), (None, "<p>c</p>"), (9007199254740995, None)]
+    got = parse_html(spark.createDataFrame(rows, "page_id long, html string"), spec).select("page_id", "record_pos", "t")
+    assert sorted(map(tuple, got.collect()), key=str) == [(9007199254740993, 0, "a"), (9007199254740993, 1, "b"), (None, 0, "c")]
+
+
+@pytest.mark.parametrize("part", ["<a ", "<!", "</b", "<a \"x"])
+def test_unclosed_pages_are_linear(part):
+    def seconds(n):
+        start = time.process_time()
+        page_records(part * n, PageSpec(blocks=((Step("p"),),), fields={}))
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 8 * seconds(10_000) + 0.2
