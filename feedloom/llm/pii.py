@@ -159,7 +159,7 @@ def sanitise(
         F.array_sort(F.concat("base_spans", acted))
     ))
     out = out.withColumn("clean_text", F.when(F.size("all_spans") == 0, F.col("t")).otherwise(_replaced()))
-    return out.select(*keep, *made)
+    return out.select(*[F.col(f"`{c}`") for c in keep], *made)
 
 
 def _flagged(texts: DataFrame, contexts: DataFrame, generalise_at: float, remove_at: float, support: int) -> DataFrame:
@@ -173,21 +173,28 @@ def _flagged(texts: DataFrame, contexts: DataFrame, generalise_at: float, remove
         F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")
     )
     n_e = held.groupBy("entity").agg(F.sum("n").alias("n_e"))
-    pairs = held.select("entity", "n", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_te"))
-    pairs = written(pairs.join(strong.select("entity", "term"), ["entity", "term"]).join(n_e, "entity"), "pii-pairs")
+    seen_in = held.select("entity", "key", "n", F.explode("terms").alias("term"))
+    pairs = seen_in.groupBy("entity", "term").agg(F.sum("n").alias("n_te"))
+    # documents that have the term near any value: as many have it at least
+    least = seen_in.groupBy("key", "term").agg(F.max("n").alias("n")).groupBy("term").agg(F.sum("n").alias("least"))
+    total = float(max(texts.count(), 1))
+    pairs = pairs.join(strong.select("entity", "term"), ["entity", "term"]).join(n_e, "entity").join(least, "term")
+    pairs = written(pairs.filter(_told("least", total) >= generalise_at).drop("least"), "pii-pairs")
     terms = written(pairs.select("term").distinct(), "pii-candidates")
     words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(_TERM), F.lit(0)))
     words = texts.select(F.explode(words).alias("term")).join(bounded(terms), "term", "left_semi")
     n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    total = float(max(texts.count(), 1))
-    information = F.log(total / F.col("n_e"))
-    mutual = F.log(F.col("n_te") * total / (F.col("n_t") * F.col("n_e")))
-    told = pairs.join(n_t, "term").filter(F.col("n_e") < total).withColumn("told", mutual / information)
+    told = pairs.join(n_t, "term").withColumn("told", _told("n_t", total))
     action = F.when(F.col("told") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise"))
     return told.filter(F.col("told") >= generalise_at).select("entity", "term", action.alias("action"))
 
 
+def _told(n_t: str, total: float) -> Column:
+    """What a term in ``n_t`` documents tells of a value: NULL for one that all have."""
+    information = F.when(F.col("n_e") < total, F.log(total / F.col("n_e")))
+    return F.log(F.col("n_te") * total / (F.col(n_t) * F.col("n_e"))) / information
+
+
 def _replaced() -> Column:
     """The text with its spans replaced."""
     t = F.col("t")
