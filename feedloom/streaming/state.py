@@ -2,61 +2,70 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 
-def _first_rows(frames: Iterator[pd.DataFrame], order: list[str], n: int) -> pd.DataFrame:
-    """The first ``n`` rows by ``order``, holding at most ``n`` rows between frames."""
-    best = None
-    for frame in frames:
-        rows = frame if best is None else pd.concat([best, frame], ignore_index=True)
-        best = rows.sort_values(order, kind="stable").head(n)
-    return pd.DataFrame() if best is None else best
+def _rank(order: list[str]):
+    """Sort key of a row: its order columns, NULLs last."""
+    return lambda row: tuple((row[c] is None, row[c]) for c in order)
 
 
 class _Cap(StatefulProcessor):
     """Counts the rows passed per key and passes rows until the cap."""
 
-    def __init__(self, n: int, order: list[str], columns: list[str]):
-        self._n, self._order, self._columns = n, order, columns
+    def __init__(self, n: int, order: list[str]):
+        self._n, self._order = n, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._passed = handle.getValueState("passed", StructType([StructField("n", LongType())]))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         passed = self._passed.get()[0] if self._passed.exists() else 0
         room = self._n - passed
         if room <= 0:
             for _ in rows:
                 pass
             return
-        out = _first_rows(rows, self._order, room)
-        if len(out):
+        out = heapq.nsmallest(room, rows, key=_rank(self._order))
+        if out:
             self._passed.update((passed + len(out),))
-            yield out[self._columns]
+            yield from out
 
     def close(self) -> None:
         pass
 
 
-def _pruned(stream: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """Keep the first ``n`` rows per key of every Arrow batch.
+def _pruned(stream: DataFrame, keys: list[str], order: list[str], n: int, last: bool = False) -> DataFrame:
+    """Keep the first (or last) ``n`` rows per key of every Arrow batch.
 
     Stateless and exact: a row behind ``n`` others of its own batch cannot be among
     the first ``n``. A hot key then reaches its state task as ``n`` rows per batch.
+    Rows are taken from the batch as they are, so ids keep every bit.
     """
 
-    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ranked = batch.sort_values(order, kind="stable")
-            yield ranked.groupby(keys, sort=False, dropna=False).head(n)
+            ranked = pc.sort_indices(
+                batch.select(order), sort_keys=[(c, "ascending") for c in order], null_placement="at_end"
+            ).to_pylist()
+            groups = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+            met: Counter = Counter()
+            kept = []
+            for i in reversed(ranked) if last else ranked:
+                met[groups[i]] += 1
+                if met[groups[i]] <= n:
+                    kept.append(i)
+            yield batch.take(pa.array(sorted(kept), pa.int64()))
 
-    return stream.mapInPandas(prune, stream.schema)
+    return stream.mapInArrow(prune, stream.schema)
 
 
 def stream_first_n(
@@ -66,8 +75,8 @@ def stream_first_n(
     life. Needs the RocksDB state store."""
     keys, order = list(keys), list(order)
     pruned = _pruned(stream, keys, order, n)
-    return pruned.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Cap(n, order, stream.columns),
+    return pruned.groupBy(*keys).transformWithState(
+        statefulProcessor=_Cap(n, order),
         outputStructType=stream.schema,
         outputMode="Append",
         timeMode="None",
@@ -84,30 +93,23 @@ class _Expiring(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._last = handle.getValueState("last", self._schema, ttlDurationMs=self._ttl)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        best = None
-        for frame in rows:
-            both = frame if best is None else pd.concat([best, frame], ignore_index=True)
-            best = both.sort_values(self._order, kind="stable").tail(1)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        rank, best = _rank(self._order), None
+        for row in rows:
+            if best is None or rank(row) >= rank(best):
+                best = row
         if best is None:
             return
         names = self._schema.names
         before = self._last.get()[names.index(self._value)] if self._last.exists() else None
-        now = tuple(_plain(best.iloc[0][c]) for c in names)
+        now = tuple(best[c] for c in names)
         self._last.update(now)
-        yield pd.DataFrame([dict(zip(self._keys, key)) | dict(zip(names, now)) | {"previous": before}])
+        yield Row(*self._keys, *names, "previous")(*[best[k] for k in self._keys], *now, before)
 
     def close(self) -> None:
         pass
 
 
-def _plain(x):
-    """Python value of a pandas scalar."""
-    if isinstance(x, pd.Timestamp):
-        return x.to_pydatetime()
-    return x.item() if hasattr(x, "item") else x
-
-
 def expiring_state(
     stream: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], ttl_seconds: float
 ) -> DataFrame:
@@ -127,18 +129,13 @@ def expiring_state(
     rows = stream.select(*keys, *[c for c in fields if c not in keys])
     schema = rows.schema
 
-    def newest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ranked = batch.sort_values(order, kind="stable")
-            yield ranked.groupby(keys, sort=False, dropna=False).tail(1)
-
     held = StructType([schema[c] for c in schema.names if c not in keys])
     previous = StructField("previous", schema[value].dataType)
     output = StructType([schema[c] for c in keys] + held.fields + [previous])
     return (
-        rows.mapInPandas(newest, schema)
+        _pruned(rows, keys, order, 1, last=True)
         .groupBy(*keys)
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=_Expiring(keys, order, value, ttl_ms, held),
             outputStructType=output,
             outputMode="Update",

@@ -113,3 +113,18 @@ def test_expired_values_are_gone(spark, landed, tmp_path):
     assert out.where("previous IS NOT NULL").count() == 0
     with pytest.raises(ValueError):
         state.expiring_state(source(spark, path), ["k"], "t", ["id"], 0)
+
+
+def test_ids_keep_every_bit(spark, tmp_path):
+    big = 9007199254740993
+    rows = [(big, "a"), (None, "a"), (big + 2, "b"), (big + 4, "b"), (None, "b")]
+    path = str(tmp_path / "in")
+    for part in (rows[:3], rows[3:]):
+        spark.createDataFrame(part, "id long, k string").coalesce(1).write.mode("append").parquet(path)
+    stream = lambda: ingest.read_stream(spark, path, "id long, k string", files_per_trigger=1)
+    got = run(spark, state.stream_first_n(stream(), ["k"], ["id"], 2), "append", tmp_path / "n")
+    assert {r.id for r in got.where("k = 'b'").collect()} == {big + 2, big + 4}
+    assert {r.id for r in got.where("k = 'a'").collect()} == {big, None}
+    held = state.expiring_state(stream(), ["k"], "id", ["id"], 3600)
+    out = run(spark, held, "update", tmp_path / "e")
+    assert {(r.k, r.id, r.previous) for r in out.collect()} == {("a", None, None), ("b", big + 2, None), ("b", None, big + 2)}
