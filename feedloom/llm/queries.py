@@ -67,9 +67,9 @@ def op5_top_k(table) -> DataFrame:
 
 SQL["op5_top_k"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
@@ -92,6 +92,54 @@ def op7_quality_rules(table) -> DataFrame:
     return rules.assess(table("documents")).drop("clean_text")
 
 
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_WORDS = f"CASE WHEN trim(%s, {_WS}) = '' THEN [] ELSE string_split_regex(trim(%s, {_WS}), '{rules.WHITE}') END"
+_END, _SEPARATOR = (p.replace("'", "''") for p in (rules.SENTENCE_END, rules.SEPARATOR))
+SQL["op7_quality_rules"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), l AS (
+  SELECT r, n, x, len(w) AS c, w FROM (
+    SELECT r, n, x, {_WORDS % ("x", "x")} AS w
+    FROM (SELECT r, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM d))
+), judged AS (
+  SELECT *, c > 0 AND (
+      (c < 5 AND NOT regexp_matches(rtrim(x), '{_END}'))
+      OR length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) > 0.3::DOUBLE * c
+      OR length(x) - length(regexp_replace(x, '[!?]{{2,}}', '!', 'g')) > 0.3::DOUBLE * c
+      OR (c >= 5 AND len(list_filter(range(1, c), lambda i: w[i] = w[i + 1])) > 0.3::DOUBLE * c)
+      OR (c >= 5 AND regexp_matches(x, '\p{{Lu}}{{2}}') AND
+          length(x) - length(regexp_replace(x, '\p{{Lu}}', '', 'g'))
+          > 0.7::DOUBLE * (length(x) - length(regexp_replace(x, '\p{{L}}', '', 'g'))))
+      OR (len(list_filter(w, lambda v: regexp_matches(v, '{_SEPARATOR}'))) >= greatest(3, 0.15::DOUBLE * c))
+      OR (c <= 15 AND regexp_matches(lower(x), '{rules.BOILERPLATE}'))
+    ) AS falls FROM l
+), lines AS (
+  SELECT r, (count(*) FILTER (c > 0) - count(DISTINCT x) FILTER (c > 0))::BIGINT AS n_dup_lines,
+    coalesce(sum(length(array_to_string(w, ''))) FILTER (NOT falls), 0) AS left_over
+  FROM judged GROUP BY r
+), words AS (
+  SELECT r, doc_id, t, {_WORDS % ("t", "t")} AS w FROM d
+), windows AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, win) AS times FROM (
+    SELECT r, i, array_to_string(w[i : i + 7], ' ') AS win
+    FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM words))
+), covered AS (
+  SELECT r, count(DISTINCT p)::BIGINT AS n FROM (
+    SELECT r, unnest(range(i, i + 8)) AS p FROM windows WHERE times > 1) GROUP BY r
+), base AS (
+  SELECT words.r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, n_dup_lines,
+    coalesce(covered.n, 0)::BIGINT AS n_repeat_words, left_over
+  FROM words JOIN lines ON words.r = lines.r LEFT JOIN covered ON words.r = covered.r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND left_over >= 0.5::DOUBLE * word_chars AS kept
+FROM base
+"""
+
+
 @query
 def op8_ngram_jaccard(table) -> DataFrame:
     return jaccard.near_duplicates(table("documents"), percent=75)

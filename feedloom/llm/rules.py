@@ -8,8 +8,8 @@ WHITE = r"[\x20\x09-\x0D]+"
 _TRIM = " \t\n\x0b\x0c\r"
 SYMBOLS = r"[#*$%&|<>]"
 #: How a sentence ends, what parts the entries of menus and tables.
-SENTENCE_END = "[.!?…。！？:;][\"'”’»)\\]]*$"
-SEPARATOR = "^[|·•»›>/–—-]+$"
+SENTENCE_END = "[.!?…。！？:;][\"'”’»)\\]]*\\z"
+SEPARATOR = "^[|·•»›>/–—-]+\\z"
 #: Phrases of page furniture, in lower case.
 BOILERPLATE = (
     "all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|"
