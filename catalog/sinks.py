@@ -69,6 +69,37 @@ def upsert_merged_on_read(spark, d):
     return upsert.read_upserts(spark, path, KEYS, _ORDER)
 
 
+_LATE = """WITH e AS (
+    SELECT *, ts < TIMESTAMP '2024-01-15 12:00:00' AS late,
+      bool_or(ts < TIMESTAMP '2024-01-15 12:00:00') OVER w AS has_late,
+      bool_or(ts >= TIMESTAMP '2024-01-15 12:00:00') OVER w AS has_first
+    FROM events WINDOW w AS (PARTITION BY user_id, event_type))
+  SELECT user_id, event_type, arg_max(props, (ts, event_id)) FILTER (late = has_late) AS props,
+    arg_max(value, (ts, event_id)) FILTER (late = has_late) AS value,
+    arg_max(event_id, (ts, event_id)) FILTER (late = has_late) AS event_id,
+    epoch_us(max(ts) FILTER (late = has_late)) // 1000 AS last_modify_ts,
+    epoch_us(min(ts) FILTER ((NOT late) = has_first)) // 1000 AS add_ts
+  FROM e GROUP BY 1, 2"""
+
+
+@query("upsert_late", _LATE)
+def upsert_late(spark, d):
+    """Updates that arrive last win, however old they are; the add time does not move."""
+    late, first = _split_events(spark, d)
+    rows = upsert.last_updates(first, KEYS, _ORDER, "last_modify_ts")
+    return upsert.upsert(rows.withColumnRenamed("_first_seen", "add_ts"), late, KEYS, _ORDER)
+
+
+@query("upsert_late_merged_on_read", _LATE)
+def upsert_late_merged_on_read(spark, d):
+    """The same by folders, the late updates in a run of their own."""
+    path = shared_path(spark, "late")
+    late, first = _split_events(spark, d)
+    upsert.append_updates(first, path, KEYS, _ORDER, 7)
+    upsert.append_updates(late, path, KEYS, _ORDER, 0, run="r000002")
+    return upsert.read_upserts(spark, path, KEYS, _ORDER)
+
+
 @query(
     "upsert_keywords",
     """SELECT doc_id, k AS source_keyword, n_chars, 1::BIGINT AS last_modify_ts, 1::BIGINT AS add_ts FROM documents,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any, Optional
@@ -49,8 +50,8 @@ def upsert(
     ``order`` names ascending columns, a total order of the updates of a key: the last
     one wins. All its payload columns replace the target's, NULLs too. ``add_ts`` is
     kept, or set to the time of a new key's first update. Columns that only the target
-    has are kept as they are. The size of the updates is checked: small ones are
-    broadcast to the target, others are matched by a full outer join.
+    has are kept as they are. NULL keys are keys like others. The size of the updates is
+    checked: small ones are broadcast to the target, others are matched by a full outer join.
     """
     keys = list(keys)
     new = last_updates(updates, keys, order, seen)
@@ -59,11 +60,16 @@ def upsert(
     return _merge_full(target, new, keys)
 
 
+def _key(keys: Sequence[str]) -> Column:
+    """The key as one value: inside a struct NULL equals NULL."""
+    return F.struct(*keys).alias("_k")
+
+
 def _merge_full(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer join of the target with one update per key."""
     rest, fresh = _columns(target, new, keys)
-    old = target.select(*keys, F.struct(*rest, ADDED).alias("_t"))
-    put = new.select(*keys, F.struct(*[c for c in new.columns if c not in keys]).alias("_u"))
+    old = target.select(_key(keys), F.struct(*rest, ADDED).alias("_t"))
+    put = new.select(_key(keys), F.struct(*[c for c in new.columns if c not in keys]).alias("_u"))
     t, u = F.col("_t"), F.col("_u")
 
     def value(name: str) -> Column:
@@ -73,8 +79,8 @@ def _merge_full(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
             return u[name]
         return F.when(u.isNotNull(), u[name]).otherwise(t[name])
 
-    return old.join(put, keys, "full_outer").select(
-        *keys,
+    return old.join(put, "_k", "full_outer").select(
+        *[F.col("_k")[k].alias(k) for k in keys],
         *[value(c).alias(c) for c in [*rest, *fresh]],
         F.coalesce(t[ADDED], u["_first_seen"]).alias(ADDED),
     )
@@ -87,9 +93,11 @@ def _merge_small(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
     """
     rest, fresh = _columns(target, new, keys)
     only_old = [c for c in rest if c not in new.columns]
-    untouched = target.join(new.select(*keys), keys, "left_anti")
-    taken = target.select(*keys, *only_old, ADDED).join(new.select(*keys), keys, "left_semi")
-    put = new.join(taken, keys, "left").withColumn(ADDED, F.coalesce(ADDED, "_first_seen"))
+    wanted = new.select(_key(keys))
+    untouched = target.withColumn("_k", _key(keys)).join(wanted, "_k", "left_anti").drop("_k")
+    taken = target.select(_key(keys), *only_old, ADDED).join(wanted, "_k", "left_semi")
+    put = new.withColumn("_k", _key(keys)).join(taken, "_k", "left").drop("_k")
+    put = put.withColumn(ADDED, F.coalesce(ADDED, "_first_seen"))
     columns = [*keys, *rest, *fresh, ADDED]
     return untouched.unionByName(put.drop("_first_seen"), allowMissingColumns=True).select(*columns)
 
@@ -159,11 +167,14 @@ def upsert_path(
     """Upsert into the newest version of a table folder and write the next version.
 
     ``version`` makes the write repeatable: writing version N again replaces it and
-    reads version N - 1 or older.
+    reads version N - 1 or older. Without it a version that another writer has begun
+    meanwhile is an error, not overwritten; what a writer left that broke off is replaced
+    by naming its version. ``drop_versions`` removes old ones.
     """
     spark = updates.sparkSession
     order = [order] if isinstance(order, str) else list(order)
     done = versions(spark, path)
+    mode = "errorifexists" if version is None else "overwrite"
     version = (done[-1] + 1 if done else 0) if version is None else version
     older = [v for v in done if v < version]
     if older:
@@ -171,12 +182,25 @@ def upsert_path(
         merged = upsert(target, updates, keys, order, seen)
     else:
         merged = last_updates(updates, keys, order, seen).withColumnRenamed("_first_seen", ADDED)
-    writer = merged.write.mode("overwrite")
+    writer = merged.write.mode(mode)
     writer = writer.partitionBy(*partition_by) if partition_by else writer
     writer.parquet(f"{path}/{VERSION}{version:010d}")
 
 
+def drop_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Remove all but the newest complete versions."""
+    jvm = spark.sparkContext._jvm
+    for version in versions(spark, path)[:-max(keep, 1)]:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{VERSION}{version:010d}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 # --- merge on read --------------------------------------------------------
+#
+# A table folder holds run=<name>/batch=<n>: names sort in the order in which runs began.
+
+WRITTEN = "_written"
+FIRST_RUN = "r000001"
 
 
 def append_updates(
@@ -186,29 +210,58 @@ def append_updates(
     order: Sequence[str],
     batch: int,
     seen: str = "last_modify_ts",
+    run: str = FIRST_RUN,
 ) -> None:
     """Upsert without touching the table: one row per key, in the batch's own folder.
 
     Writing a batch again replaces it. ``read_upserts`` folds the folders.
     """
     rows = last_updates(updates, keys, order, seen).withColumnRenamed("_first_seen", ADDED)
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    payload = [c for c in rows.columns if c not in keys and c != ADDED]
+    rows = rows.withColumn(WRITTEN, F.array(*map(F.lit, payload)).cast("array<string>"))
+    rows.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch}")
+
+
+def run_of(spark: SparkSession, path: str, checkpoint: str) -> str:
+    """The run that a checkpoint stands for: the one it had, or the next."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    runs = sorted(n.removeprefix("run=") for n in names if n.startswith("run="))
+    mark = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    for run in runs:
+        if run.endswith(f"-{mark}"):
+            return run
+    last = max((int(r[1:7]) for r in runs), default=int(FIRST_RUN[1:]))
+    return f"r{last + 1:06d}-{mark}"
 
 
 def read_upserts(
-    spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str]
+    spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str] = ()
 ) -> DataFrame:
-    """The table that the batches of updates stand for."""
-    parts = spark.read.parquet(path).drop("batch")
-    return last_updates(parts, keys, order, ADDED).withColumnRenamed("_first_seen", ADDED)
+    """The table that the batches of updates stand for, as ``upsert`` would have made it.
+
+    A key's row is that of its last batch, by arrival; a column that a batch did not have
+    keeps its value; ``add_ts`` is that of the first batch. ``order`` settled updates
+    within their batch already.
+    """
+    parts = spark.read.option("mergeSchema", "true").parquet(path)
+    arrived = F.struct("run", "batch")
+    payload = [c for c in parts.columns if c not in (*keys, ADDED, WRITTEN, "run", "batch")]
+    # an update without the column has no place in the order of its values
+    last = lambda c: F.max_by(c, F.when(F.array_contains(WRITTEN, c), arrived)).alias(c)
+    return parts.groupBy(*keys).agg(*map(last, payload), F.min_by(ADDED, arrived).alias(ADDED))
 
 
 def compact_upserts(
-    spark: SparkSession, path: str, into: str, keys: Sequence[str], order: Sequence[str]
+    spark: SparkSession, path: str, into: str, keys: Sequence[str], order: Sequence[str] = ()
 ) -> None:
     """Fold all batches into one at another path; read and append there from then on."""
     folded = read_upserts(spark, path, keys, order)
-    folded.write.mode("overwrite").parquet(f"{into}/batch=-1")
+    payload = [c for c in folded.columns if c not in keys and c != ADDED]
+    folded = folded.withColumn(WRITTEN, F.array(*map(F.lit, payload)).cast("array<string>"))
+    folded.write.mode("overwrite").parquet(f"{into}/run=r000000/batch=-1")
 
 
 def upsert_catalog(

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from feedloom.functions.text import tokens
 from feedloom.operators.words import drop_stopwords
-from feedloom.sinks.upsert import append_updates
+from feedloom.sinks.upsert import append_updates, run_of
 
 BatchFn = Callable[[DataFrame, int], None]
 
@@ -68,12 +68,14 @@ def stream_upsert(
     """Continuous upsert, merged on read.
 
     A micro-batch costs its own size, not the table's, and a repeated batch replaces
-    itself. ``sinks.upsert.read_upserts`` gives the table.
+    itself; a stream with a new checkpoint is a run of its own, after those before it.
+    ``sinks.upsert.read_upserts`` gives the table.
     """
     keys, order = list(keys), list(order)
+    run = run_of(stream.sparkSession, path, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_updates(batch, path, keys, order, batch_id, seen)
+        append_updates(batch, path, keys, order, batch_id, seen, run)
 
     return stream_ingest(stream, write, checkpoint, available_now)
 

@@ -200,3 +200,63 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
         assert joined.count() == 1000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_all_forms_agree(spark, tmp_path):
+    """Late updates, equal order, NULL keys, columns that come and go, in any number of batches."""
+    rng = random.Random(11)
+    for trial in range(3):
+        table, parts = None, []
+        for batch in range(3):
+            data = [
+                (rng.choice(["a", "b", "c", None]), rng.choice([1, None]), rng.choice(["x", None]), rng.randrange(20), i)
+                for i in range(rng.randrange(0, 9))
+            ]
+            df = spark.createDataFrame(data, "k string, j int, v string, last_modify_ts bigint, seq int")
+            if (batch + trial) % 3 == 1:
+                df = df.withColumn("w", F.concat(F.lit(f"{batch}-"), F.col("seq").cast("string"))).drop("v")
+            parts.append(df)
+        keys, order, path = ["k", "j"], ["last_modify_ts", "seq"], str(tmp_path / f"t{trial}")
+        for batch, df in enumerate([*parts, parts[-1]]):
+            up.append_updates(df, path, keys, order, min(batch, 2))
+            if table is None:
+                table = up.last_updates(df, keys, order, "last_modify_ts").withColumnRenamed("_first_seen", "add_ts")
+            else:
+                merged = up.upsert(table, df, keys, order)
+                new = up.last_updates(df, keys, order, "last_modify_ts")
+                full = up._merge_full(table, new, keys)
+                show = lambda d: sorted(map(str, (r.asDict().items() for r in d.select(sorted(d.columns)).collect())))
+                assert show(merged) == show(full)
+                table = merged
+        read = up.read_upserts(spark, path, keys, order)
+        assert show(read) == show(table)
+        up.compact_upserts(spark, path, path + "-c", keys, order)
+        assert show(up.read_upserts(spark, path + "-c", keys, order)) == show(table)
+
+
+def test_writers_do_not_overwrite_each_other(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    one = spark.createDataFrame([("a", "v", 1, 1, 1)], SCHEMA)
+    up.upsert_path(one, path, KEYS, ORDER)
+    monkeypatch.setattr(up, "versions", lambda *a: [])  # as seen before the other writer was done
+    with pytest.raises(Exception, match="(?i)exist"):
+        up.upsert_path(one, path, KEYS, ORDER)
+
+
+def test_old_versions_go(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for i in range(4):
+        up.upsert_path(spark.createDataFrame([(f"k{i}", "v", 1, i, 1)], SCHEMA), path, KEYS, ORDER)
+    up.drop_versions(spark, path, keep=2)
+    assert up.versions(spark, path) == [2, 3] and up.current(spark, path).count() == 4
+
+
+def test_a_new_checkpoint_is_a_run_of_its_own(spark, tmp_path):
+    path = str(tmp_path / "t")
+    first = up.run_of(spark, path, "/cp/1")
+    one = spark.createDataFrame([("a", "v", 1, 5, 1)], SCHEMA)
+    up.append_updates(one, path, KEYS, ORDER, 0, run=first)
+    assert up.run_of(spark, path, "/cp/1") == first
+    second = up.run_of(spark, path, "/cp/2")
+    up.append_updates(spark.createDataFrame([("b", "w", 1, 1, 1), ("a", "late", 1, 1, 1)], SCHEMA), path, KEYS, ORDER, 0, run=second)
+    assert rows(up.read_upserts(spark, path, KEYS)) == [("a", "late", 1, 1, 5), ("b", "w", 1, 1, 1)]
