@@ -49,28 +49,35 @@ def strip(c: ColumnOrName) -> Column:
     return F.regexp_replace(col(c), _EDGE_BLANKS, "")
 
 
-def _without(c: Column, tag: str) -> Column:
-    """Elements of a tag removed, from an opener to the next closer.
+_MASK = "\ue000"
 
-    Cut at the closers, each part loses what follows its first opener, and a part without
-    one keeps its closer: linear, also where openers never close.
+
+def _without_code(c: Column) -> Column:
+    """Script and style elements removed, each from its opener to the next closer.
+
+    An opener behind the last closer of its tag never closes, and looking for its end would
+    read the rest of the text each time: those are kept from the search, so it is linear.
     """
-    closer = f"</{tag}>"
-    opened = rf"(?s)<{tag}[^>]*+>.*+|(<{tag}[^>]*+)$"
-    parts = F.split(c, closer, -1)
-    last = F.size(parts) - 1
-    cut = F.transform(
-        parts,
-        lambda x, i: F.when(i == last, x)
-        .when(x.rlike(f"<{tag}[^>]*+>"), F.regexp_replace(x, opened, "$1"))
-        .otherwise(F.concat(x, F.lit(closer))),
-    )
-    return F.when(F.contains(c, F.lit(closer)), F.array_join(cut, "")).otherwise(c)
+    ends = {
+        tag: F.when(
+            F.contains(c, F.lit(f"</{tag}>")),
+            F.length(c) - F.length(F.substring_index(c, f"</{tag}>", -1)),
+        ).otherwise(0)
+        for tag in ("script", "style")
+    }
+    low, high = F.least(*ends.values()), F.greatest(*ends.values())
+    between = F.substring(c, low + 1, high - low)
+    first = F.when(ends["script"] <= ends["style"], F.lit("script")).otherwise(F.lit("style"))
+    plain, masked = F.concat(F.lit("<"), first), F.concat(F.lit("<" + _MASK), first)
+    searched = F.concat(F.substring(c, F.lit(1), low), F.replace(between, plain, masked))
+    cleared = F.regexp_replace(searched, r"(?s)<(script|style)[^>]*+>.*?</\1>", "")
+    rest = F.substring(c, high + 1, F.length(c))
+    return F.when(high > 0, F.concat(F.replace(cleared, masked, plain), rest)).otherwise(c)
 
 
 def strip_html(c: ColumnOrName) -> Column:
     """Text of an HTML fragment: no script/style bodies, no tags, trimmed; '' for NULL."""
-    no_code = _without(_without(F.coalesce(col(c), F.lit("")), "script"), "style")
+    no_code = _without_code(F.coalesce(col(c), F.lit("")))
     return strip(F.regexp_replace(no_code, _TAG, "$1"))
 
 

@@ -198,7 +198,7 @@ def test_keyword_search_checks_its_input(spark):
     with pytest.raises(ValueError):
         fl.keyword_search(df, "a", ["t"], mode="first")
     with pytest.raises(ValueError):
-        fl.keyword_search(df, df.select(F.col("t").alias("source_keyword")), ["t"])
+        fl.keyword_search(df, df.select(F.col("t").alias("source_keyword")), ["t"], mode="last")
 
 
 def test_day_filter_reaches_the_scan(spark):

@@ -6,9 +6,10 @@ import pytest
 import catalog
 from compare import DATA
 
-# Global aggregates (a maximum, a count, a merged sketch, at most three lengths).
+# Global aggregates (a maximum, a count, a merged sketch, the keywords' leading grams).
 ONE_ROW = {
     "next_run_ordinal", "run_ordinal_of_files", "update_affected", "keyword_hits_table",
+    "keyword_hits_many", "keyword_hits_many_last",
     "comments_with_parent_salted", "comments_of_hot_content",
 }
 # Top-k reports and the first row of a lookup.
