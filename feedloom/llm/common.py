@@ -25,10 +25,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """The frame as a table in the shared folder, read again: a cut of the lineage that
-    outlives any executor, and whose size Catalyst knows."""
+    outlives any executor, and whose size Catalyst knows. A ``narrow`` table, of a few
+    numbers a row, is written in no more files than there are cores."""
     path = shared_path(df.sparkSession, name)
+    if narrow:
+        df = df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

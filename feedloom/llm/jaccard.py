@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedloom.llm import shingles
 from feedloom.llm.common import bounded, written
@@ -15,8 +15,14 @@ from feedloom.llm.common import bounded, written
 SKETCH_BITS = 18
 #: Most matches that a prefix may ask for.
 MOST_MATCHES = 4
-#: Tokens of a document whose buckets link neighbours in the first round.
-FIRST_TOKENS = 4
+#: Matches asked for beyond those, where the two sizes demand that many.
+MORE_MATCHES = 3
+#: Tokens of a document whose buckets give it partners in the first round, and the most
+#: partners that a document there stands for.
+FIRST_TOKENS = 6
+FAN = 64
+#: Candidates of a component that are compared before the others.
+BEST_CANDIDATES = 4
 
 
 def _counted(documents: DataFrame, text: str) -> DataFrame:
@@ -88,15 +94,17 @@ def prefix(order: np.ndarray, surplus: np.ndarray, percent: int) -> tuple[int, i
 
 
 def _prefixes(documents: DataFrame, text: str, sketch: np.ndarray, percent: int) -> DataFrame:
-    """Rows (tok, sig, size, pos, need): the prefix of each set, once a task. Tokens are
-    ordered by the sketch's surplus over its median and then by themselves."""
-    surplus_of = np.maximum(sketch - 1.2 * np.median(sketch) - 4, 0).astype(np.int64)
+    """Rows (tok, sig, info): the prefix of each set, once a task; ``info`` packs the set's
+    size, the token's position and the matches asked for. Tokens are ordered by the sketch's
+    surplus over what chance puts into its buckets, and then by themselves."""
+    middle = np.median(sketch)
+    surplus_of = np.maximum(sketch - middle - 3 * np.sqrt(middle) - 1, 0).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - SKETCH_BITS)
         seen: set[int] = set()
         for batch in batches:
-            toks, sigs, sizes, poss, needs = [], [], [], [], []
+            toks, sigs, infos = [], [], []
             for own in shingles.sets(batch.column(0)):
                 if not len(own):
                     continue
@@ -110,35 +118,41 @@ def _prefixes(documents: DataFrame, text: str, sketch: np.ndarray, percent: int)
                 toks.append(own[order[:length]])
                 n = len(toks[-1])
                 sigs.append(np.full(n, label, np.int64))
-                sizes.append(np.full(n, len(own), np.int32))
-                poss.append(np.arange(n, dtype=np.int32))
-                needs.append(np.full(n, need, np.int32))
+                infos.append((len(own) << 32) + (np.arange(n) << 3) + need)
             if toks:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(toks).view(np.int64)),
-                        *(pa.array(np.concatenate(c)) for c in (sigs, sizes, poss, needs)),
+                        *(pa.array(np.concatenate(c)) for c in (sigs, infos)),
                     ],
-                    names=["tok", "sig", "size", "pos", "need"],
+                    names=["tok", "sig", "info"],
                 )
 
-    return documents.select(F.col(text)).mapInArrow(
-        run, "tok long, sig long, size int, pos int, need int"
-    )
+    return documents.select(F.col(text)).mapInArrow(run, "tok long, sig long, info long")
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """The prefix rows whose token another set has too. One exchange by token serves the
-    removal of repeats and the count."""
-    dealt = prefixes.repartition("tok")
-    once = dealt.groupBy("tok", "sig").agg(F.min(F.struct("size", "pos", "need")).alias("r"))
-    rows = once.select("tok", "sig", "r.*")
+    """The prefix rows (tok, sig, size, pos, need) whose token another set has too. One
+    exchange by token serves the removal of repeats and the count."""
+    once = prefixes.repartition("tok").groupBy("tok", "sig").agg(F.min("info").alias("info"))
     bucket = Window.partitionBy("tok")
-    return rows.withColumn("df", F.count("*").over(bucket)).filter("df > 1").drop("df")
+    rows = once.withColumn("df", F.count("*").over(bucket)).filter("df > 1")
+    info = F.col("info")
+    return rows.select(
+        "tok",
+        "sig",
+        F.shiftright(info, 32).cast("int").alias("size"),
+        F.shiftright(info.bitwiseAND((1 << 32) - 1), 3).cast("int").alias("pos"),
+        info.bitwiseAND(7).cast("int").alias("need"),
+    )
 
 
-def _sets(documents: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """``sig`` and ``shingles`` (bytes) of the sets named in ``wanted`` (sig, th)."""
+def _sets(documents: DataFrame, text: str, names: DataFrame, members: DataFrame, encode) -> DataFrame:
+    """``sig`` and ``data``, the encoded sets of the names in ``names``. Only texts of one
+    hash for each name reach Python."""
+    wanted = members.join(bounded(names), "sig", "left_semi").groupBy("sig").agg(F.min("th").alias("th"))
+    wanted = written(wanted.select("th").distinct(), "wanted-texts", narrow=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -148,40 +162,51 @@ def _sets(documents: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                 if label not in seen:
                     seen.add(label)
                     labels.append(label)
-                    found.append(own.tobytes())
+                    found.append(encode(own))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(labels, pa.int64()), pa.array(found, pa.binary())], names=["sig", "shingles"]
+                [pa.array(labels, pa.int64()), pa.array(found, pa.binary())], names=["sig", "data"]
             )
 
-    texts = documents.withColumn("th", F.xxhash64(text)).join(bounded(wanted), "th", "left_semi").select(text)
-    return texts.mapInArrow(run, "sig long, shingles binary").groupBy("sig").agg(
-        F.first("shingles").alias("shingles")
-    )
+    texts = documents.withColumn("th", F.xxhash64(text)).join(bounded(wanted), "th", "left_semi")
+    sets = texts.select(text).mapInArrow(run, "sig long, data binary")
+    return sets.groupBy("sig").agg(F.first("data").alias("data"))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def _compared(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
+    """The pairs (a, b) whose encoded sets pass the test."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            keep = pa.array(
-                [
-                    shingles.linked(
-                        np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64), percent
-                    )
-                    for p, q in zip(x, y)
-                ],
-                pa.bool_(),
-            )
+            found = zip(batch.column(2), batch.column(3))
+            keep = pa.array([test(x.as_py(), y.as_py()) for x, y in found], pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], names=["a", "b"])
 
-    left = sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y"))
+    left = sets.select(F.col("sig").alias("a"), F.col("data").alias("x"))
+    right = sets.select(F.col("sig").alias("b"), F.col("data").alias("y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _links(
+    documents: DataFrame, text: str, pairs: DataFrame, members: DataFrame, percent: int
+) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough: first by few bits of each shingle,
+    which can only say no, then by all."""
+
+    def exact(x: bytes, y: bytes) -> bool:
+        return shingles.linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+
+    def rough(x: bytes, y: bytes) -> bool:
+        return shingles.may_link(x, y, percent)
+
+    for encode, test in ((shingles.coarse, rough), (lambda own: own.tobytes(), exact)):
+        pairs = written(pairs, "pairs", narrow=True)
+        names = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        names = written(names, "names", narrow=True)
+        pairs = _compared(pairs, _sets(documents, text, names, members, encode), test)
+    return written(pairs, "links", narrow=True)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the component's smallest node) for every node of the links.
 
@@ -189,11 +214,11 @@ def components(links: DataFrame) -> DataFrame:
     components, and the nodes that stay are fewer by half at least in a connected part.
     """
     edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = written(edges.filter("a <> b").distinct(), "edges")
+    edges = written(edges.filter("a <> b").distinct(), "edges", narrow=True)
     labels = None
     while not edges.isEmpty():
         moves = edges.groupBy("a").agg(F.min("b").alias("m"))
-        moves = written(moves.select("a", F.least("a", "m").alias("m")), "moves")
+        moves = written(moves.select("a", F.least("a", "m").alias("m")), "moves", narrow=True)
         if labels is None:
             labels = moves.select(F.col("a").alias("node"), F.col("m").alias("root"))
         else:
@@ -201,58 +226,91 @@ def components(links: DataFrame) -> DataFrame:
             labels = labels.join(step, "root", "left").select(
                 "node", F.coalesce("m", "root").alias("root")
             )
-        labels = written(labels, "labels")
+        labels = written(labels, "labels", narrow=True)
         to = moves.select(F.col("a").alias("b"), F.col("m").alias("mb"))
         edges = edges.join(moves, "a").join(to, "b").select(F.col("m").alias("a"), F.col("mb").alias("b"))
-        edges = written(edges.filter("a <> b").distinct(), "edges")
+        edges = written(edges.filter("a <> b").distinct(), "edges", narrow=True)
     if labels is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
     return labels
 
 
-def _neighbours(shared: DataFrame) -> DataFrame:
-    """Pairs to try first: a few tokens of each document, by hash, and in each of their
-    buckets the document after it in a mixed order. Only a start: no link depends on it."""
-    own = Window.partitionBy("sig").orderBy(F.xxhash64("tok"), "tok")
-    few = shared.withColumn("k", F.row_number().over(own)).filter(F.col("k") <= FIRST_TOKENS)
-    line = Window.partitionBy("tok").orderBy(F.xxhash64("tok", "sig"), "sig")
-    next_one = F.lead("sig").over(line)
-    next_size = F.lead("size").over(line)
-    pairs = few.select("sig", "size", next_one.alias("o"), next_size.alias("os")).filter("o is not null")
-    return pairs.select(
-        F.least("sig", "o").alias("a"), F.greatest("sig", "o").alias("b"), "size", "os"
-    ).filter("a <> b")
+def _room(percent: int, matches) -> Column:
+    """Whether a match, one of the first ``matches`` of two linked sets, leaves enough behind
+    it: of the least overlap o, with o * (100 + percent) >= percent * (both sizes), all but
+    ``matches`` - 1 lie at it and after it. And whether the sizes can be linked at all."""
+    rest = F.least(F.col("size") - F.col("pos"), F.col("s_size") - F.col("s_pos")) + matches - 1
+    enough = rest * (100 + percent) >= (F.col("size") + F.col("s_size")) * percent
+    sized = F.least("size", "s_size") * 100 >= F.greatest("size", "s_size") * percent
+    return enough & sized
 
 
-def _candidates(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that may be linked.
+def _neighbours(shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs to try first; only a start, no link depends on it.
 
-    They share as many tokens of their prefixes as the less demanding of the two asks for,
-    each at positions that leave enough of both sets behind it. In a bucket the members of
-    its largest component are not paired with each other, so only its other members look for
-    partners.
+    Of tokens that a partner of its own size would share, each document takes a few by hash.
+    In a bucket, documents that share more stand first, and each is compared with the one at
+    its place divided by FAN: those at the head are closest to what a group has in common,
+    and none meets more than FAN others.
+    """
+    near = (F.col("size") - F.col("pos")) * (100 + percent) >= 2 * percent * F.col("size")
+    own = Window.partitionBy("sig")
+    near = shared.filter(near).withColumns(
+        {"k": F.row_number().over(own.orderBy(F.xxhash64("tok"), "tok")), "shares": F.count("*").over(own)}
+    )
+    line = Window.partitionBy("tok").orderBy(F.desc("shares"), F.xxhash64("tok", "sig"), "sig")
+    placed = near.withColumn("place", F.row_number().over(line) - 1)
+    heads = placed.select("tok", F.col("place").alias("head"), *[F.col(c).alias(f"s_{c}") for c in ("sig", "size", "pos")])
+    few = placed.filter((F.col("k") <= FIRST_TOKENS) & (F.col("place") > 0))
+    few = few.withColumn("head", F.floor(F.col("place") / FAN).cast("int"))
+    pairs = few.join(heads, ["tok", "head"]).filter(_room(percent, 1 + MORE_MATCHES))
+    return pairs.select(F.least("sig", "s_sig").alias("a"), F.greatest("sig", "s_sig").alias("b")).distinct()
+
+
+def _candidates(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, the tokens in which they
+    ``met``, and the component that sought, ``seeker``.
+
+    Of two linked sets the one whose prefix ends first has all but size - length of their
+    least overlap in both prefixes. So a pair has to share that many prefix tokens (here up
+    to MORE_MATCHES more than the less demanding of the two asks for), each at positions that
+    leave room for the rest. In a bucket the members of its largest component are not
+    paired with each other, so only its other members look for partners.
     """
     sizes = roots.groupBy("root").agg(F.count("*").alias("members"))
     rows = shared.join(roots, shared.sig == roots.node, "left").drop("node")
     rows = rows.withColumn("root", F.coalesce("root", "sig")).join(sizes, "root", "left")
     bucket = Window.partitionBy("tok")
     large = F.max(F.struct(F.coalesce("members", F.lit(1)).alias("m"), "root")).over(bucket)["root"]
-    rows = rows.withColumn("large", large).withColumn("small", F.min("root").over(bucket) != F.max("root").over(bucket))
-    rows = written(rows.filter("small").drop("small", "members"), "buckets")
-    seek = rows.filter("root <> large").select(
-        "tok", *[F.col(c).alias(f"s_{c}") for c in ("sig", "size", "pos", "need", "root")], "large"
-    )
+    rows = rows.withColumns({"large": large, "other": F.min("root").over(bucket) != F.max("root").over(bucket)})
+    rows = written(rows.filter("other").drop("other", "members"), "buckets")
+    columns = ("sig", "size", "pos", "need", "root")
+    seek = rows.filter("root <> large").select("tok", *[F.col(c).alias(f"s_{c}") for c in columns], "large")
     rows = rows.drop("large")
-    need = F.least("need", "s_need")
-    # with ``o`` the least overlap of two linked sets: o * (100 + percent) >= percent * sizes
-    rest = F.least(F.col("size") - F.col("pos"), F.col("s_size") - F.col("s_pos")) + need - 1
-    enough = rest * (100 + percent) >= (F.col("size") + F.col("s_size")) * percent
-    sized = (100 * F.col("size") >= percent * F.col("s_size")) & (100 * F.col("s_size") >= percent * F.col("size"))
+
+    def outside(prefix: str) -> Column:
+        """Tokens behind a document's prefix."""
+        return F.floor((percent * F.col(f"{prefix}size") + 99) / 100) - F.col(f"{prefix}need")
+
+    overlap = F.floor((percent * (F.col("size") + F.col("s_size")) + 99 + percent) / (100 + percent))
+    full = overlap - F.greatest(outside(""), outside("s_"))
+    matches = F.least(full, F.least("need", "s_need") + MORE_MATCHES).cast("int")
     # of two seekers one does: the one with the larger name
     turn = (F.col("root") == F.col("large")) | (F.col("s_sig") > F.col("sig"))
-    met = seek.join(rows, "tok").filter((F.col("root") != F.col("s_root")) & turn & sized & enough)
+    met = seek.join(rows, "tok").filter((F.col("root") != F.col("s_root")) & turn & _room(percent, matches))
     pairs = met.groupBy(F.least("sig", "s_sig").alias("a"), F.greatest("sig", "s_sig").alias("b"))
-    return pairs.agg(F.count("*").alias("met"), F.min(need).alias("need")).filter("met >= need").select("a", "b")
+    found = pairs.agg(
+        F.count("*").alias("met"), F.min(matches).alias("matches"), F.min("s_root").alias("seeker")
+    )
+    return found.filter("met >= matches").select("a", "b", "met", "seeker")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose components differ."""
+    for side in ("a", "b"):
+        own = roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+        pairs = pairs.join(own, side, "left")
+    return pairs.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
 def near_duplicates(
@@ -270,7 +328,8 @@ def near_duplicates(
 
     Equal sets are one class, and all that follows is between classes. Neighbours in a few
     buckets are compared first, which joins large groups; then the prefix join looks at
-    pairs of different components only, so a group of copies costs its size, not its square.
+    pairs of different components only, and of these at the most promising first, so a group
+    of copies costs its size, not its square.
     """
     docs = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t"))
     counted = written(_counted(docs, "t"), "shingle-counts")
@@ -280,15 +339,13 @@ def near_duplicates(
     sums = counted.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     sketch[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
     shared = written(_shared(_prefixes(docs, "t", sketch, percent)), "shared-prefixes")
-    holders = members.join(shared.select("sig").distinct(), "sig", "left_semi")
-    wanted = written(holders.groupBy("sig").agg(F.min("th").alias("th")), "wanted-sets")
-    sets = written(_sets(docs, "t", wanted.select("th")), "sets")
-    first = _neighbours(shared)
-    close = (100 * F.col("size") >= percent * F.col("os")) & (100 * F.col("os") >= percent * F.col("size"))
-    found = written(_links(first.filter(close).select("a", "b").distinct(), sets, percent), "links")
-    roots = components(found)
-    more = written(_links(_candidates(shared, roots, percent), sets, percent), "links")
-    roots = components(found.union(more))
+    found = _links(docs, "t", _neighbours(shared, percent), members, percent)
+    pairs = written(_candidates(shared, components(found), percent), "candidates")
+    best = Window.partitionBy("seeker").orderBy(F.desc("met"), "a", "b")
+    best = pairs.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= BEST_CANDIDATES)
+    found = found.union(_links(docs, "t", best.select("a", "b"), members, percent))
+    rest = _apart(pairs, components(found))
+    roots = components(found.union(_links(docs, "t", rest, members, percent)))
     rooted = members.join(roots, members.sig == roots.node, "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "sig"))
     least = rooted.filter("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
@@ -302,4 +359,4 @@ def representatives(documents: DataFrame, text: str = "text", id: str = "doc_id"
     and documents without an id stay. Of rows that repeat that id all stay."""
     found = near_duplicates(documents, text, id, percent)
     gone = written(found.filter(F.col(id) != F.col("component_id")).select(id).distinct(), "copies")
-    return documents.join(bounded(gone), id, "left_anti").select(documents.columns)
+    return documents.join(bounded(gone), id, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -126,3 +126,32 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
         return False
     same = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * same >= percent * (len(a) + len(b) - same)
+
+
+#: Sets of up to this size are compared first by 16 bits of each hash, larger ones by 32.
+NARROW = 4096
+
+
+def coarse(shingles: np.ndarray) -> bytes:
+    """The lowest bits of each hash, in order: two or four bytes each."""
+    kind = np.uint16 if len(shingles) <= NARROW else np.uint32
+    return (b"\2" if kind is np.uint16 else b"\4") + np.sort(shingles.astype(kind)).tobytes()
+
+
+def may_link(a: bytes, b: bytes, percent: int) -> bool:
+    """False only where the full sets are not linked: equal hashes have equal low bits, so
+    the matches of the low bits, counted with repeats, are at least the intersection."""
+    kinds = {2: np.uint16, 4: np.uint32}
+    x, y = (np.frombuffer(v, kinds[v[0]], offset=1) for v in (a, b))
+    if x.dtype != y.dtype:
+        x, y = (np.sort(v.astype(np.uint16)) for v in (x, y))
+    same = len(np.intersect1d(_numbered(x), _numbered(y), assume_unique=True))
+    return 100 * same >= percent * (len(x) + len(y) - same)
+
+
+def _numbered(values: np.ndarray) -> np.ndarray:
+    """Sorted values made distinct by how often they were met before."""
+    at = np.arange(len(values))
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values.astype(np.int64) + ((at - np.maximum.accumulate(np.where(new, at, 0))) << 32)
