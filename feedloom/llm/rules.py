@@ -151,7 +151,10 @@ def clean(df: DataFrame, text: str = "text", **limits) -> DataFrame:
     """The documents that are kept, with their own columns: the text without the lines that
     fell, and ``n_chars``, if there is such a column, counted anew."""
     held = df.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    judged = assess(held, text, ("__row",), **limits).filter("kept")
+    judged = assess(held, text, ("__row",), **limits)
+    # a filter would be pushed below the projections and repeat them
+    once = F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    judged = judged.withColumn("__once", F.explode(once))
     columns = {c: F.col("__row").getField(c) for c in df.columns} | {text: F.col("clean_text")}
     if "n_chars" in columns:
         columns["n_chars"] = F.length("clean_text").cast(df.schema["n_chars"].dataType)
