@@ -113,7 +113,6 @@ def sanitise(
     keep: tuple[str, ...] = ("doc_id",),
     generalise_at: float = 0.8,
     remove_at: float = 0.95,
-    support: int = 3,
 ) -> DataFrame:
     """Kept columns, ``base_spans`` and ``all_spans`` (start, kind, end, value, action; places
     in code points), and ``clean_text`` for every text, row by row.
@@ -122,10 +121,12 @@ def sanitise(
     itself from the left; they become placeholders. A word near such a value is measured
     against it over the whole table: its pointwise mutual information with the value, by
     counts of documents, as a share of the value's own information log(N / n(value)), is what
-    it discloses: 1 if it never occurs without. In the documents that hold the value, such a
-    word becomes ``[WORD]`` from ``generalise_at`` and goes from ``remove_at``. What was seen
-    with the value in fewer than ``support`` different contexts is no evidence, so copies of
-    one passage disclose nothing. Of overlapping spans the first is replaced.
+    it discloses: 1 if it never occurs without. The share counts as far as chance does not
+    explain it (``_certain``). In the documents that hold the value, such a word becomes
+    ``[WORD]`` from ``generalise_at`` and goes from ``remove_at``. Documents with equal
+    surroundings of the value are one piece of evidence, and the first piece is where the pair
+    was found: copies of one passage disclose nothing. Of overlapping spans the first is
+    replaced.
 
     NULL and empty texts have no spans and an empty clean text. Repeated rows count as
     documents each and get equal results. A kept column named as an output gives way.
@@ -137,7 +138,7 @@ def sanitise(
     holders = with_base_spans(docs.select("t", "key"), "t", "base").filter(F.size("base") > 0)
     contexts = written(_contexts(holders), "pii-contexts")
     flagged = written(
-        _flagged(docs.select("t"), contexts, generalise_at, remove_at, support), "pii-terms"
+        _flagged(docs.select("t"), contexts, generalise_at, remove_at), "pii-terms"
     )
     by_key = contexts.select("key", "entity").distinct().join(flagged, "entity")
     # a term has one action a text: the stronger
@@ -162,29 +163,30 @@ def sanitise(
     return out.select(*[F.col(f"`{c}`") for c in keep], *made)
 
 
-def _flagged(texts: DataFrame, contexts: DataFrame, generalise_at: float, remove_at: float, support: int) -> DataFrame:
+def _flagged(texts: DataFrame, contexts: DataFrame, generalise_at: float, remove_at: float) -> DataFrame:
     """``entity``, ``term``, ``action``: the terms that give a value away."""
-    seen = contexts.select("entity", "place", F.explode("terms").alias("term"))
-    places = seen.groupBy("entity", "term", "place").count()
-    strong = places.groupBy("entity", "term").agg(F.count("*").alias("places")).filter(F.col("places") >= support)
     # a document may hold a value more than once, and repeated rows have one key each time
     held = contexts.groupBy("entity", "key", "place", "terms").agg(F.count("*").alias("n"))
     held = held.groupBy("entity", "key").agg(
-        F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")
+        F.max("n").alias("n"),
+        F.min("place").alias("place"),
+        F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"),
     )
-    n_e = held.groupBy("entity").agg(F.sum("n").alias("n_e"))
-    seen_in = held.select("entity", "key", "n", F.explode("terms").alias("term"))
-    pairs = seen_in.groupBy("entity", "term").agg(F.sum("n").alias("n_te"))
+    n_e = held.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count_distinct("place").alias("places_e"))
+    seen_in = held.select("entity", "key", "place", "n", F.explode("terms").alias("term"))
+    pairs = seen_in.groupBy("entity", "term", "place").agg(F.sum("n").alias("n"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("places"))
     # documents that have the term near any value: as many have it at least
     least = seen_in.groupBy("key", "term").agg(F.max("n").alias("n")).groupBy("term").agg(F.sum("n").alias("least"))
     total = float(max(texts.count(), 1))
-    pairs = pairs.join(strong.select("entity", "term"), ["entity", "term"]).join(n_e, "entity").join(least, "term")
-    pairs = written(pairs.filter(_told("least", total) >= generalise_at).drop("least"), "pii-pairs")
+    # one place is no evidence: its weight is 0
+    pairs = pairs.filter("places > 1").join(n_e, "entity").join(least, "term")
+    pairs = written(pairs.filter(_weighted("least", total) >= generalise_at).drop("least"), "pii-pairs")
     terms = written(pairs.select("term").distinct(), "pii-candidates")
     words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(_TERM), F.lit(0)))
     words = texts.select(F.explode(words).alias("term")).join(bounded(terms), "term", "left_semi")
     n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    told = pairs.join(n_t, "term").withColumn("told", _told("n_t", total))
+    told = pairs.join(n_t, "term").withColumn("told", _weighted("n_t", total))
     action = F.when(F.col("told") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise"))
     return told.filter(F.col("told") >= generalise_at).select("entity", "term", action.alias("action"))
 
@@ -195,6 +197,21 @@ def _told(n_t: str, total: float) -> Column:
     return F.log(F.col("n_te") * total / (F.col(n_t) * F.col("n_e"))) / information
 
 
+def _certain(n_t: str, total: float) -> Column:
+    """How sure it is that a term does not stand in ``places`` of the value's ``places_e``
+    places by chance: 1 less the Chernoff bound of a binomial tail. The first place is where
+    the pair was found, so it does not count; a pair of one place has certainty 0."""
+    tries, p = F.col("places_e") - 1, F.col(n_t) / total
+    q = (F.col("places") - 1) / F.when(tries > 0, tries)
+    rest = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    return F.when(q > p, 1 - F.exp(-tries * (q * F.log(q / p) + rest))).otherwise(0.0)
+
+
+def _weighted(n_t: str, total: float) -> Column:
+    """What a term tells of a value, as far as it is certain; falls with ``n_t``."""
+    return _told(n_t, total) * _certain(n_t, total)
+
+
 def _replaced() -> Column:
     """The text with its spans replaced."""
     t = F.col("t")

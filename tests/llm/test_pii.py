@@ -74,6 +74,20 @@ def test_disclosing_terms(spark):
     assert [got[10 + i].clean_text for i in range(60)] == other
 
 
+def test_two_documents_are_evidence(spark):
+    """A name in both documents of a value is told from words of one of them, of one text's copies and of many."""
+    other = [f"other words today number {i}, a note from the tail" for i in range(60)]
+    rows = [(0, "first note from Moonraker, pair@example.com, lantern today"), (1, "later words by Moonraker: pair@example.com anchor")]
+    rows += [(2, "single secretive passage, one@example.com")]
+    rows += [(3 + i, "thrice@example.com lonesome, thrice@example.com willow, thrice@example.com") for i in range(3)]
+    rows += [(10 + i, t) for i, t in enumerate(other)]
+    got = {r.doc_id: r for r in pii.sanitise(odd.documents(spark, rows)).collect()}
+    assert got[0].clean_text == "first note from , [EMAIL], lantern today"
+    assert got[1].clean_text == "later words by : [EMAIL] anchor"
+    assert got[2].clean_text == "single secretive passage, [EMAIL]"
+    assert got[3].clean_text == "[EMAIL] lonesome, [EMAIL] willow, [EMAIL]"
+
+
 def test_clean_keeps_columns(spark):
     docs = odd.documents(spark, [(odd.BIG, "at 1.1.1.1"), (2, None), (None, "x")])
     got = pii.clean(docs)
