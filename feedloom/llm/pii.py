@@ -18,8 +18,10 @@ PATTERNS = {
 }
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 GENERAL = "[WORD]"
-_TERM = r"\p{L}{4,}"
-#: Characters on each side of a span that make its context.
+_WORD = r"\p{L}{2,}"
+#: A word that can be a term: shorter ones (Kim, Li) where they do not begin in lower case.
+_TERM = r"^(?:\p{L}{4}|[^\p{Ll}])"
+#: Characters on each side of a span that tell copies of one passage from other evidence.
 CONTEXT = 160
 SPAN = "array<struct<start:int,kind:int,end:int,value:string,action:string>>"
 
@@ -89,10 +91,10 @@ def with_base_spans(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.array_sort(F.concat(*columns))).drop(*columns)
 
 
-def _contexts(df: DataFrame) -> DataFrame:
-    """One row per span: ``entity``, the row's ``key``, a hash of its context and the
-    context's ``terms``: lower-case words of four letters or more, none cut by the edge."""
-    rows = df.select("t", "key", F.explode("base").alias("s"))
+def _holdings(df: DataFrame) -> DataFrame:
+    """One row per value and text: ``entity``, the text's ``key``, its rows ``n``, and ``place``,
+    a hash of the letters around the value (of the smallest hash, if it stands there often)."""
+    rows = df.select("t", "key", F.monotonically_increasing_id().alias("row"), F.explode("base").alias("s"))
     start, end = F.col("s.start"), F.col("s.end")
     a = F.greatest(start - CONTEXT, F.lit(0))
     before = F.substring(F.col("t"), a + 1, start - a)
@@ -100,11 +102,11 @@ def _contexts(df: DataFrame) -> DataFrame:
     after = F.substring(F.col("t"), end + 1, F.lit(CONTEXT))
     after = F.when(F.length(F.col("t")) > end + CONTEXT, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
     around = F.lower(F.concat_ws(" ", before, after))
-    rows = rows.select(
-        F.concat_ws(":", F.col("s.kind").cast("string"), "s.value").alias("entity"), "key", around.alias("around")
-    )
-    terms = F.array_distinct(F.regexp_extract_all("around", F.lit(_TERM), F.lit(0)))
-    return rows.select("entity", "key", F.xxhash64("around").alias("place"), terms.alias("terms"))
+    entity = F.concat_ws(":", F.col("s.kind").cast("string"), "s.value").alias("entity")
+    rows = rows.select(entity, "key", "row", F.xxhash64(around).alias("place"))
+    # a text may hold a value more than once, and repeated rows have one key
+    rows = rows.groupBy("entity", "key", "row").agg(F.min("place").alias("place"))
+    return rows.groupBy("entity", "key").agg(F.count("*").alias("n"), F.min("place").alias("place"))
 
 
 def sanitise(
@@ -118,8 +120,9 @@ def sanitise(
     in code points), and ``clean_text`` for every text, row by row.
 
     Base spans are e-mail addresses, IP addresses, card and phone numbers, each kind by
-    itself from the left; they become placeholders. A word near such a value is measured
-    against it over the whole table: its pointwise mutual information with the value, by
+    itself from the left; they become placeholders. A word anywhere in a text with such a value
+    (of four letters, or two that do not begin in lower case) is measured against it over the
+    whole table: its pointwise mutual information with the value, by
     counts of documents, as a share of the value's own information log(N / n(value)), is what
     it discloses: 1 if it never occurs without. The share counts as far as chance does not
     explain it (``_certain``). In the documents that hold the value, such a word becomes
@@ -136,11 +139,9 @@ def sanitise(
     docs = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     docs = docs.withColumn("key", F.xxhash64("t"))
     holders = with_base_spans(docs.select("t", "key"), "t", "base").filter(F.size("base") > 0)
-    contexts = written(_contexts(holders), "pii-contexts")
-    flagged = written(
-        _flagged(docs.select("t"), contexts, generalise_at, remove_at), "pii-terms"
-    )
-    by_key = contexts.select("key", "entity").distinct().join(flagged, "entity")
+    held = written(_holdings(holders), "pii-values")
+    flagged = written(_flagged(docs.select("t", "key"), held, generalise_at, remove_at), "pii-terms")
+    by_key = held.select("key", "entity").join(bounded(flagged), "entity")
     # a term has one action a text: the stronger
     acts = by_key.groupBy("key", "term").agg(F.max("action").alias("action"))
     acts = acts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("term", "action"))).alias("acts"))
@@ -163,27 +164,34 @@ def sanitise(
     return out.select(*[F.col(f"`{c}`") for c in keep], *made)
 
 
-def _flagged(texts: DataFrame, contexts: DataFrame, generalise_at: float, remove_at: float) -> DataFrame:
+def _flagged(texts: DataFrame, held: DataFrame, generalise_at: float, remove_at: float) -> DataFrame:
     """``entity``, ``term``, ``action``: the terms that give a value away."""
-    # a document may hold a value more than once, and repeated rows have one key each time
-    held = contexts.groupBy("entity", "key", "place", "terms").agg(F.count("*").alias("n"))
-    held = held.groupBy("entity", "key").agg(
-        F.max("n").alias("n"),
-        F.min("place").alias("place"),
-        F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"),
-    )
-    n_e = held.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count_distinct("place").alias("places_e"))
-    seen_in = held.select("entity", "key", "place", "n", F.explode("terms").alias("term"))
-    pairs = seen_in.groupBy("entity", "term", "place").agg(F.sum("n").alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("places"))
-    # documents that have the term near any value: as many have it at least
-    least = seen_in.groupBy("key", "term").agg(F.max("n").alias("n")).groupBy("term").agg(F.sum("n").alias("least"))
     total = float(max(texts.count(), 1))
     # one place is no evidence: its weight is 0
-    pairs = pairs.filter("places > 1").join(n_e, "entity").join(least, "term")
+    entities = held.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count_distinct("place").alias("places_e"))
+    entities = written(entities.filter("places_e > 1"), "pii-repeated", narrow=True)
+    held = written(held.join(bounded(entities.select("entity")), "entity", "left_semi"), "pii-held", narrow=True)
+    keys = written(held.select("key", "n").distinct(), "pii-keys", narrow=True)
+    words = F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(_WORD), F.lit(0))))
+    words = texts.join(bounded(keys.select("key")), "key", "left_semi").select("key", words.alias("w"))
+    words = words.groupBy("key", F.lower("w").alias("term")).agg(F.max(F.col("w").rlike(_TERM)).alias("named"))
+    words = written(words, "pii-words")
+    # documents that have the term beside any value: as many have it at least
+    near = words.join(bounded(keys), "key").groupBy("term").agg(
+        F.sum("n").alias("least"), F.count("*").alias("texts"), F.max("named").alias("named")
+    )
+    # told falls with n_e and is largest where all documents of the value have the term
+    most = float(entities.agg(F.max("n_e")).first()[0] or 1)
+    if most < total:
+        near = near.filter(F.log(total / F.col("least")) >= generalise_at * F.log(F.lit(total / most)))
+    near = written(near.filter("named and texts > 1").select("term", "least"), "pii-near")
+    pairs = words.select("key", "term").join(bounded(near.select("term")), "term", "left_semi").join(held, "key")
+    pairs = pairs.groupBy("entity", "term", "place").agg(F.sum("n").alias("n"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("places"))
+    pairs = pairs.filter("places > 1").join(bounded(entities), "entity").join(bounded(near), "term")
     pairs = written(pairs.filter(_weighted("least", total) >= generalise_at).drop("least"), "pii-pairs")
     terms = written(pairs.select("term").distinct(), "pii-candidates")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(_TERM), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(_WORD), F.lit(0)))
     words = texts.select(F.explode(words).alias("term")).join(bounded(terms), "term", "left_semi")
     n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))
     told = pairs.join(n_t, "term").withColumn("told", _weighted("n_t", total))

@@ -88,6 +88,20 @@ def test_two_documents_are_evidence(spark):
     assert got[3].clean_text == "[EMAIL] lonesome, [EMAIL] willow, [EMAIL]"
 
 
+def test_terms_of_whole_documents(spark):
+    """A short name far from its value goes; so it is counted where it stands far off or in lower case, on both sides."""
+    fill = " other words today, a note by an editor" * 20
+    rows = [(i, f"Li and Moonraker,{fill} {i} end of it li@example.com") for i in range(3)]
+    rows += [(3, f"far@example.com Jo, Beacon{fill} 3"), (4, f"far@example.com {fill} 4 jo: Beacon"), (5, f"Ann {fill} 5")]
+    rows += [(10 + i, f"{fill} {i} end of it and an Ann") for i in range(60)]
+    got = {r.doc_id: r for r in pii.sanitise(odd.documents(spark, rows)).collect()}
+    for i in range(3):
+        assert got[i].clean_text == f" and ,{fill} {i} end of it [EMAIL]"
+    assert got[3].clean_text == f"[EMAIL] , {fill} 3"
+    assert got[4].clean_text == f"[EMAIL] {fill} 4 : "
+    assert got[5].clean_text == f"Ann {fill} 5"
+
+
 def test_clean_keeps_columns(spark):
     docs = odd.documents(spark, [(odd.BIG, "at 1.1.1.1"), (2, None), (None, "x")])
     got = pii.clean(docs)
