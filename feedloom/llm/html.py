@@ -196,6 +196,34 @@ def _density(chars: int, tags: int, link_chars: int, link_tags: int, page_links:
     return chars / tags * math.log(chars / links * tags / max(link_tags, 1)) / math.log(base) if base > 1 else 0.0
 
 
+def _container(tree: Page, core: int) -> int:
+    """The element that holds the whole text around ``core``: the outermost article or main
+    element; without one the nearest that holds a headline too; else the parent. The body is
+    one only if the headline stands right in it. 0 if there is none."""
+    parent, up = tree.parent, [core]
+    while up[-1] > 0:
+        up.append(parent[up[-1]])
+    named = [i for i in up if tree.tag[i] in ("article", "main")]
+    if named:
+        return named[-1]
+    holds = {}  # elements with a headline below, and whether it is their child
+    for i, tag in enumerate(tree.tag):
+        if tag == "h1" and not tree.dropped[i]:
+            holds[parent[i]] = True
+            j = parent[i]
+            while j > 0 and parent[j] not in holds:
+                j = parent[j]
+                holds[j] = False
+    for i in [j for j in up if j in holds] + up[1:2]:
+        return i if i > 0 and (tree.tag[i] not in ("body", "html") or holds.get(i)) else 0
+    return 0
+
+
+def _link_list(chars: int, link_chars: int, link_tags: int) -> bool:
+    """Whether an element is mostly links, and more than one."""
+    return link_tags > 1 and 2 * link_chars > chars
+
+
 def main_text(page: str) -> str:
     """The page's main text: its blocks, one per line.
 
@@ -203,7 +231,8 @@ def main_text(page: str) -> str:
     are left out. Of the others the one with the largest sum of child densities is the text
     (a text of its own counts as a child). The least density on the way from it to the body
     is the threshold: from the body down, an element that reaches it adds the element with
-    the largest sum below it.
+    the largest sum below it. Of the element that holds the text (``_container``) all else is
+    added but blocks that are mostly links.
     """
     tree = Page(page)
     n, parent = len(tree.tag), tree.parent
@@ -252,6 +281,14 @@ def main_text(page: str) -> str:
             marked[best[i]] = True
     for i in range(1, n):
         marked[i] = not tree.dropped[i] and (marked[i] or marked[parent[i]])
+    box = _container(tree, best[0])
+    if box:
+        inside = [False] * n
+        inside[box] = marked[box] = True
+        for i in range(box + 1, n):
+            links = tree.tag[i] in BLOCKS and _link_list(chars[i], link_chars[i], link_tags[i])
+            inside[i] = inside[parent[i]] and not tree.dropped[i] and not links
+            marked[i] = marked[i] or inside[i]
     blocks, block = [], []
     for part in [*tree.texts, None]:
         if part is None:

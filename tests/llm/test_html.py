@@ -35,6 +35,37 @@ def test_link_lists_lose_against_text():
     assert html.main_text(page) == ("word " * 60).strip() + "\n" + ("more " * 50).strip()
 
 
+def _p(n: int, size: int) -> list[str]:
+    return [(f"paragraph {i} " + "word " * size)[:size].strip() for i in range(n)]
+
+
+_TEN, _EIGHT, _FOUR, _LEAD, _HEAD = _p(10, 300), _p(8, 300), _p(4, 120), "lead " * 30, "A headline of sixty characters that stands above the article"
+_LINKS = "<div><p>More</p>" + "".join(f"<p><a href=/{i}>another story, number {i}</a></p>" for i in range(9)) + "</div>"
+
+
+@pytest.mark.parametrize(
+    "page, blocks",
+    [
+        ("<body><article><h1>{h}</h1><p>{l}</p><div>{ten}</div>{links}</article></body>", [_HEAD, _LEAD.strip(), *_TEN]),
+        ("<body><main><h1><a href=/>{h}</a></h1><article><div>{ten}</div><p>{l}</p></article></main></body>", [_HEAD, *_TEN, _LEAD.strip()]),
+        (
+            "<body><article><h1>{h}</h1><section><h2>One</h2>{eight}</section><section><h2>Two</h2>{four}</section></article></body>",
+            [_HEAD, "One", *_EIGHT, "Two", *_FOUR],
+        ),
+        ("<body><div>{links}</div><div><h1>{h}</h1><p>{l}</p><div>{ten}</div></div></body>", [_HEAD, _LEAD.strip(), *_TEN]),
+        ("<body><h1>{h}</h1><p>{l}</p><div>{ten}</div>{links}</body>", [_HEAD, _LEAD.strip(), *_TEN]),
+    ],
+)
+def test_whole_article(page, blocks):
+    parts = {k: "".join(f"<p>{p}</p>" for p in v) for k, v in (("ten", _TEN), ("eight", _EIGHT), ("four", _FOUR))}
+    assert html.main_text(page.format(h=_HEAD, l=_LEAD, links=_LINKS, **parts)) == "\n".join(blocks)
+
+
+@pytest.mark.parametrize("part", ["<h1>", "<div><h1>", "<article><a>x"])
+def test_containers_are_linear(part):
+    test_linear(part)
+
+
 @pytest.mark.parametrize("part", ["<div>", "<a \"x", "<script>", "<!--", "</b", "<p title='", "<b><p>", "& <", "<td><p>"])
 def test_linear(part):
     def seconds(n):
