@@ -36,10 +36,11 @@ ENDS = {
 SCOPE = frozenset("td th caption table button object li dd dt div section article aside main".split())
 #: Never main text.
 DROP_TAGS = frozenset(
-    "head script style noscript template textarea title nav footer aside form button select option "
+    "head script style noscript template textarea title nav footer aside button select option "
     "iframe svg canvas object embed xmp noembed noframes menu dialog".split()
 )
-#: Words of class, id or role that name what surrounds a main text.
+#: A class, id or role of this name surrounds a main text, as a form does, unless the main
+#: text is in it (``Page.decide``).
 DROP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar side "
     "nav navbar navigation menu breadcrumb breadcrumbs footer masthead banner cookie cookies consent "
@@ -47,13 +48,16 @@ DROP_WORDS = frozenset(
     "share sharing social newsletter subscribe subscription signup widget toolbar pagination pager "
     "skip copyright contentinfo complementary search".split()
 )
+#: Those that also name parts of an article: in one they go if they are lists of links.
+PART_WORDS = frozenset("notice notices side share sharing social".split())
+#: What holds most of a page without article and main is no surrounding if it has so many characters.
+LEAST_MAIN = 200
 PAGE_HEADER = frozenset(("header", "hgroup"))
 MAIN = frozenset(("article", "main", "body", "html"))
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _VALUE = re.compile(r"=\s*([\"'])|>")
 _LABEL = re.compile(r"(?:\s|^)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORDS = re.compile(r"[a-z]+")
 
 
 def _tag_end(page: str, at: int, dead: set) -> int:
@@ -75,6 +79,11 @@ def _tag_end(page: str, at: int, dead: set) -> int:
                 at = close + 1
 
 
+def _link_list(chars: int, link_chars: int, link_tags: int) -> bool:
+    """Whether an element is mostly links, and more than one."""
+    return link_tags > 1 and 2 * link_chars > chars
+
+
 class Page:
     """The elements of a page in order, and its texts.
 
@@ -86,11 +95,13 @@ class Page:
         self.tag = ["#page"]
         self.parent = [-1]
         self.dropped = [False]
+        self.doubtful: dict[int, bool] = {}  # surroundings by label or form: whether an article's part
         self.texts: list[tuple[int, str] | None] = []
         self.stack = [0]
         self.open: Counter = Counter()
         self.main = 0  # open elements that hold a main text
         self.read(page)
+        self.decide()
 
     def read(self, page: str) -> None:
         at, size, dead = 0, len(page), set()
@@ -150,10 +161,11 @@ class Page:
             self.texts.append(None)
         up = self.stack[-1]
         dropped = self.dropped[up] or tag in DROP_TAGS or (tag in PAGE_HEADER and not self.main)
-        if not dropped and tag not in MAIN and rest:
-            for m in _LABEL.finditer(rest):
-                if not DROP_WORDS.isdisjoint(_WORDS.findall((m[2] or m[3] or m[4] or "").lower())):
-                    dropped = True
+        if not dropped and tag not in MAIN:
+            names = {w for m in _LABEL.finditer(rest) for w in (m[2] or m[3] or m[4] or "").lower().split()}
+            names &= DROP_WORDS
+            if names or tag == "form":
+                self.doubtful[len(self.tag)] = bool(self.main) and tag != "form" and names <= PART_WORDS
         self.tag.append(tag)
         self.parent.append(up)
         self.dropped.append(dropped)
@@ -162,6 +174,40 @@ class Page:
             self.open[tag] += 1
             self.main += tag in ("article", "main")
 
+    def decide(self) -> None:
+        """Drop the doubtful elements, but not those that hold a main element or, where no
+        article or main element stands outside of all, an article or most of the page's
+        characters outside links."""
+        if not self.doubtful:
+            return
+        n, parent = len(self.tag), self.parent
+        free, links, link_tags = [0] * n, [0] * n, [0] * n
+        in_link, within, article, main = ([False] * n for _ in range(4))
+        outside = False
+        for i in range(1, n):
+            in_link[i] = in_link[parent[i]] or self.tag[i] == "a"
+            within[i] = within[parent[i]] or i in self.doubtful
+            article[i] = self.tag[i] in ("article", "main") and not self.dropped[i]
+            main[i] = article[i] and self.tag[i] == "main"
+            outside = outside or (article[i] and not within[i])
+            link_tags[i] = int(self.tag[i] == "a")
+        for part in self.texts:
+            if part and not self.dropped[part[0]]:
+                (links if in_link[part[0]] else free)[part[0]] += len(" ".join(part[1].split()))
+        for i in range(n - 1, 0, -1):
+            if not self.dropped[i]:
+                for column in (free, links, link_tags, article, main):
+                    column[parent[i]] += column[i]
+        for i in range(1, n):
+            gone = False
+            if i in self.doubtful:
+                most = free[i] >= LEAST_MAIN and 2 * free[i] > free[0]
+                if self.doubtful[i]:
+                    gone = _link_list(free[i] + links[i], links[i], link_tags[i])
+                else:
+                    gone = not (main[i] or not outside and (article[i] or most))
+            self.dropped[i] = self.dropped[i] or gone or self.dropped[parent[i]]
+
     def end_nearest(self, tags: tuple, within) -> None:
         """End the nearest open element of ``tags`` that no element of ``within`` holds."""
         if not any(self.open[t] for t in tags):
@@ -219,16 +265,11 @@ def _container(tree: Page, core: int) -> int:
     return 0
 
 
-def _link_list(chars: int, link_chars: int, link_tags: int) -> bool:
-    """Whether an element is mostly links, and more than one."""
-    return link_tags > 1 and 2 * link_chars > chars
-
-
 def main_text(page: str) -> str:
     """The page's main text: its blocks, one per line.
 
-    Elements that surround a main text by their tag or by a word of their class, id or role
-    are left out. Of the others the one with the largest sum of child densities is the text
+    Elements that surround a main text by their tag or by a name in their class, id or role
+    (``Page.decide``) are left out. Of the others the one with the largest sum of child densities is the text
     (a text of its own counts as a child). The least density on the way from it to the body
     is the threshold: from the body down, an element that reaches it adds the element with
     the largest sum below it. Of the element that holds the text (``_container``) all else is

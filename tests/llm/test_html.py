@@ -61,7 +61,30 @@ def test_whole_article(page, blocks):
     assert html.main_text(page.format(h=_HEAD, l=_LEAD, links=_LINKS, **parts)) == "\n".join(blocks)
 
 
-@pytest.mark.parametrize("part", ["<h1>", "<div><h1>", "<article><a>x"])
+_LONG = "<h1>Head</h1>" + "".join(f"<p>{p}</p>" for p in _FOUR)
+
+
+@pytest.mark.parametrize(
+    "page, more",
+    [
+        ("<div class='content-sidebar-wrap'><article>{}</article></div>", []),
+        ("<body class=x><div class='has-sidebar'>{}</div><div class='wide sidebar'><p>beside</p></div>", []),
+        ("<div id='page' class='no-comments'><main>{}</main></div>", []),
+        ("<div class='search'><article>{}</article></div>", []),
+        ("<div class='search'><div>{}</div></div>", []),
+        ("<form action=/><div class=menu><p>Menu</p></div><div>{}</div></form>", []),
+        ("<form><main>{}</main></form><article><p>a card</p></article>", []),
+        ("<article>{}<p class='notice'>Mind this.</p><div class=side><p>And this.</p></div></article>", ["Mind this.", "And this."]),
+        ("<article>{}<div class=share><a href=a>one</a> <a href=b>two</a></div></article>", []),
+        ("<article>{}</article><div id=comments>" + "<article><p>A long reply. </p></article>" * 99 + "</div>", []),
+        ("<article>{}<form><p>your name</p></form></article>", []),
+    ],
+)
+def test_labels_do_not_drop_the_main_text(page, more):
+    assert html.main_text(page.format(_LONG)) == "\n".join(["Head", *_FOUR, *more])
+
+
+@pytest.mark.parametrize("part", ["<h1>", "<div><h1>", "<article><a>x", "<form>x", "<p class=side>x"])
 def test_containers_are_linear(part):
     test_linear(part)
 
