@@ -355,8 +355,16 @@ def near_duplicates(
 
 
 def representatives(documents: DataFrame, text: str = "text", id: str = "doc_id", percent: int = 75) -> DataFrame:
-    """One document of each component, the one whose id names it; documents with empty sets
-    and documents without an id stay. Of rows that repeat that id all stay."""
-    found = near_duplicates(documents, text, id, percent)
-    gone = written(found.filter(F.col(id) != F.col("component_id")).select(id).distinct(), "copies")
-    return documents.join(bounded(gone), id, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+    """One row of each component: that of the smallest id, rows without an id last, and of
+    rows that repeat it one. Documents with empty sets all stay."""
+    # written once, so that a row keeps its number
+    rows = written(documents.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows, text, "__row", percent).select("__row", "component_id")
+    ids = rows.select("__row", F.col(f"`{id}`").alias("id"))
+    found = written(found.join(ids, "__row"), "named-rows", narrow=True)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row"))["__row"].alias("first")
+    first = found.groupBy("component_id").agg(first, F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = written(first, "first-rows", narrow=True)
+    gone = found.join(bounded(first), "component_id").filter(F.col("__row") != F.col("first"))
+    gone = written(gone.select("__row"), "copies", narrow=True)
+    return rows.join(bounded(gone), "__row", "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])

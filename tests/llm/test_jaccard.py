@@ -79,6 +79,19 @@ def test_representatives(spark):
     assert jaccard.near_duplicates(odd.empty(spark)).collect() == []
 
 
+def test_representatives_are_rows(spark):
+    """Ids that repeat and rows without one: each group keeps one row, and no clean text is lost."""
+    rows = [(1, "a b c d e f"), (2, "A b c d e f"), (2, "another clean text of id two"), (1, "a b c d e f")]
+    rows += [(None, "copies without an id at all"), (None, "Copies without an id at all"), (7, None), (7, None)]
+    rows += [(None, "first in the table but without id"), (9, "first in the table but without id")]
+    got = jaccard.representatives(odd.documents(spark, rows)).collect()
+    found = sorted((str(r.doc_id), (r.text or "").lower()) for r in got)
+    assert found == sorted([
+        ("1", "a b c d e f"), ("2", "another clean text of id two"), ("None", "copies without an id at all"),
+        ("7", ""), ("7", ""), ("9", "first in the table but without id"),
+    ])
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(1)
     nodes = rng.sample(range(10**6), 300)
