@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedloom import configure
-from feedloom.llm import bpe, html, jaccard, language, packing, pii, quality, rules, tokens, topk
+from feedloom.llm import alignment, bpe, html, jaccard, language, packing, pii, quality, rules, tokens, topk
 from feedloom.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,9 @@ def op9_packing(table) -> DataFrame:
 def op10_quality_classifier(table) -> DataFrame:
     scored = quality.classify(table("documents"), table("labels"), learn_from=learned())
     return scored.withColumn("held_out", held_out())
+
+
+@query
+def op13_tokenizer_alignment(table) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table("documents"), *paths, with_groups=False)
