@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedloom import configure
-from feedloom.llm import alignment, bpe, html, jaccard, language, packing, pii, quality, rules, tokens, topk
+from feedloom.llm import (
+    alignment,
+    bpe,
+    centroids,
+    html,
+    jaccard,
+    language,
+    packing,
+    pii,
+    quality,
+    rules,
+    sharding,
+    tokens,
+    topk,
+)
 from feedloom.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,6 +192,50 @@ def op10_quality_classifier(table) -> DataFrame:
     return scored.withColumn("held_out", held_out())
 
 
+@query
+def op11_centroid_clusters(table) -> DataFrame:
+    return centroids.cluster(table("embeddings"), k=16, rounds=3, scale=64, size=64, seed=1)
+
+
+def _cluster_sql(k: int, rounds: int, scale: int, size: int, seed: int) -> str:
+    apart = "list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS (
+  SELECT r, vec_id, e, c, d FROM (
+    SELECT v.*, c.c, {apart} AS d, row_number() OVER (PARTITION BY r ORDER BY {apart}, c.c) AS k FROM v, c{n} c
+  ) WHERE k = 1
+)""")
+        if n < rounds:
+            steps.append(f"""c{n + 1} AS (
+  SELECT old.c, coalesce(new.e, old.e) AS e FROM c{n} old LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e FROM (
+      SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n
+      FROM (SELECT c, unnest(e) AS x, unnest(range({size})) AS i FROM a{n}) GROUP BY c, i
+    ) GROUP BY c
+  ) new USING (c)
+)""")
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT (row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), vec_id, e) - 1)::INTEGER AS c, e FROM v QUALIFY c < {k}
+), {", ".join(steps)}
+SELECT vec_id, c AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+  sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(l.e, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} l USING (c)
+"""
+
+
+SQL["op11_centroid_clusters"] = _cluster_sql(k=16, rounds=3, scale=64, size=64, seed=1)
+
+
+@query
+def op12_histogram_shards(table) -> DataFrame:
+    return sharding.shard(table("documents"), shards=40)
+
+
 @query
 def op13_tokenizer_alignment(table) -> DataFrame:
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
