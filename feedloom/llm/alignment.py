@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -14,12 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from feedloom.llm.bpe import WHITE, byte_letters
+from feedloom.llm.bpe import PATTERN, WHITE, byte_letters
 from feedloom.llm.common import map_arrow, written
 
 SPACE = "▁"  # what the piece vocabulary writes for a space
-#: Chunks that a task remembers; beyond them it forgets all, which costs time only.
-REMEMBERED = 400_000
+#: Chunks that a worker remembers; beyond them it forgets all, which costs time only.
+REMEMBERED = 300_000
 #: Most pairs of ids whose counts every task holds; the counts of rarer pairs are joined.
 HELD_PAIRS = 1 << 20
 #: Words that the libraries encode in one call.
@@ -31,8 +32,6 @@ _CUT = re.compile(f"(?<=[^{WHITE}])(?=\n| [{WHITE}]*[^{WHITE}])")
 _LINE = re.compile(f"(?<=[^{WHITE}])(?=\n)")
 #: White space beyond single spaces and line ends, and the character that marks parts.
 _ODD = re.compile(f"[\0\t\x0b-{WHITE[2]}{WHITE[4:]}]")
-_WORD = re.compile(f"[^\0{WHITE}{SPACE}]+").fullmatch
-_LINE_WORD = re.compile(f"\n[^\0{WHITE}{SPACE}]+").fullmatch
 #: Letters that no pre-token joins with a mark after them, and such marks.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏЀ-ҁҊ-ӿ"
 MARKS = ".,;:!?$*#%&|)"
@@ -73,6 +72,7 @@ class Aligner:
 
     def __init__(self, byte_path: str, piece_path: str):
         from sentencepiece import SentencePieceProcessor
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(byte_path)
@@ -84,6 +84,14 @@ class Aligner:
         self.a_bytes = [b""] * (1 + max(vocab.values()))
         for w, i in vocab.items():
             self.a_bytes[i] = bytes(byte_of[c] for c in w if c in byte_of)
+        ids = {w: i for i, w in enumerate(self.a_bytes) if w}
+        with open(byte_path, encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+        # entries numbered in the order of their merges can be merged by number
+        self.quick = None
+        if made == sorted(made) and len(ids) == 1 + max(ids.values()):
+            self.quick = Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ids, special_tokens={})
         self.b = SentencePieceProcessor(model_file=piece_path)
         self.b_bytes = []
         marks = set(MARKS)
@@ -102,6 +110,7 @@ class Aligner:
         self.a_bar = [f"{i}|" for i in range(len(self.a_bytes))]
         self.b_name = [str(i) for i in range(len(self.b_bytes))]
         self.first = self.b.encode("a")
+        self.known: Known | None = None  # outlives a task, not a worker
 
     def chunks(self, text: str) -> list[str]:
         """The text's chunks; the space before a word is left out, so a chunk that starts
@@ -128,18 +137,26 @@ class Aligner:
         it comes with None. Words, and line ends with a word, are encoded many at once."""
         words, lines, other = [], [], []
         for p in parts:
-            (words if _WORD(p) else lines if _LINE_WORD(p) else other).append(p)
+            if p[0] in " \0" or SPACE in p or p[-1] == "\n" or "\n" in p[1:]:
+                other.append(p)
+            else:
+                (lines if p[0] == "\n" else words).append(p)
         for lot in _lots(words, GROUP):
-            yield from self.joined(lot, [" " + w for w in lot])
+            yield from self.joined(lot, [" " + w for w in lot], True)
         for lot in _lots(lines, GROUP):
             yield from self.joined(lot, lot)
         for p in other:
             whole = p[1:] if p[0] == "\0" else p if p[0] in " \n" else " " + p
             yield from self.joined([p], [whole])
 
-    def joined(self, parts: list[str], whole: list[str]) -> Iterator[tuple[list[str], "Aligned | None"]]:
+    def joined(
+        self, parts: list[str], whole: list[str], words: bool = False
+    ) -> Iterator[tuple[list[str], "Aligned | None"]]:
         text = "".join(whole)
-        a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        if words and self.quick:
+            a = self.quick.encode_ordinary(text)
+        else:
+            a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
         if text[0] == " ":  # the library puts a space before what it is given
             b = self.b.encode(text[1:])
         else:
@@ -147,7 +164,8 @@ class Aligner:
             b = b[len(self.first) :] if b[: len(self.first)] == self.first else []
         raw = text.encode()
         if b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b]):
-            yield parts, self.align([len(w.encode()) for w in whole], a, b)
+            sizes = list(map(len, whole)) if len(raw) == len(text) else [len(w.encode()) for w in whole]
+            yield parts, self.align(sizes, a, b)
         elif len(parts) == 1:
             yield parts, None
         else:
@@ -195,69 +213,90 @@ def aligner(byte_path: str, piece_path: str) -> Aligner:
 FACTS = ("differs", "n_a", "n_b", "n_groups", "n_links")
 
 
+class Codes(dict):
+    """A number for each chunk, in the order met; ``new`` holds those met since it was taken."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        self.new.append(chunk)
+        return n
+
+
 class Known:
-    """What a task has worked out: a number for each chunk and pair, and facts by number."""
+    """What a worker has worked out: a number for each chunk and pair, and facts by number."""
 
     def __init__(self, model: Aligner):
         self.model = model
-        self.code: dict[str, int] = {}
+        self.code = Codes()
         self.pair: dict[int, int] = {}
         self.texts: list[str] = []
         self.facts = np.zeros((len(FACTS), 1024), np.int32)
-        self.start = np.zeros(1025, np.int64)  # of a chunk's links
+        self.start = np.zeros(1024, np.int64)  # of a chunk's links; their number is its last fact
         self.links = np.zeros(4096, np.int32)  # numbers of their pairs
+        self.used = 0
 
     def codes(self, chunks: list[str]) -> np.ndarray:
-        found = list(map(self.code.get, chunks))
-        if None in found:
-            holes = [i for i, k in enumerate(found) if k is None]
-            self.learn(list(dict.fromkeys(chunks[i] for i in holes)))
-            for i in holes:
-                found[i] = self.code[chunks[i]]
-        return np.array(found, np.int64)
-
-    def learn(self, chunks: list[str]) -> None:
+        found = np.array(list(map(self.code.__getitem__, chunks)), np.int64)
+        if self.code.new:
+            self.learn()
+        return found
+
+    def taken(self) -> list[str]:
+        new, self.code.new = self.code.new, []
+        return new
+
+    def learn(self) -> None:
         """Parts first; a chunk of several is put together from theirs."""
-        made = {c: p for c in chunks if len(p := self.model.parts(c)) > 1}
-        simple = dict.fromkeys(c for c in chunks if c not in made)
-        simple |= dict.fromkeys(p for own in made.values() for p in own if p not in self.code)
-        for parts, found in self.model.work_out(list(simple)):
+        simple, made = [], []
+        for chunk in self.taken():
+            parts = self.model.parts(chunk)
+            if len(parts) == 1:
+                simple.append(chunk)
+            else:
+                made.append((self.code[chunk], list(map(self.code.__getitem__, parts))))
+        simple += self.taken()  # parts that were not met as chunks
+        n = len(self.code)
+        self.texts += [""] * (n - len(self.texts))
+        if n > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros(n, np.int64)])
+            self.facts = np.concatenate([self.facts, np.zeros((len(FACTS), n), np.int32)], axis=1)
+        for parts, found in self.model.work_out(simple):
+            at = list(map(self.code.__getitem__, parts))
             if found is None:
-                none = np.zeros((len(FACTS), 1), np.int64)
-                none[0] = 1
-                found = [""], none, np.zeros(0, np.int64)
+                self.facts[0, at] = 1
+                continue
             texts, facts, pairs = found
-            self.texts += texts
-            pairs, at = np.unique(pairs, return_inverse=True)
-            for pair in pairs.tolist():
+            for k, text in zip(at, texts):
+                self.texts[k] = text
+            pairs, place = np.unique(pairs, return_inverse=True)
+            pairs = pairs.tolist()
+            for pair in pairs:
                 if pair not in self.pair:
                     self.pair[pair] = len(self.pair)
-            numbers = np.array(list(map(self.pair.__getitem__, pairs.tolist())), np.int32)
-            self.add(parts, facts, numbers[at])
+            numbers = np.array(list(map(self.pair.__getitem__, pairs)), np.int32)
+            self.put(at, facts, numbers[place])
         if made:
-            sizes = np.array(list(map(len, made.values())))
-            flat = np.array([self.code[p] for own in made.values() for p in own])
-            names = list(map(self.texts.__getitem__, flat.tolist()))
-            ends = np.cumsum(sizes)
-            self.texts += [";".join(names[a:b]) for a, b in zip((ends - sizes).tolist(), ends.tolist())]
-            facts = np.add.reduceat(self.facts[:, flat], ends - sizes, axis=1)
-            self.add(list(made), facts, self.links[self.spread(flat)[0]])
-
-    def add(self, chunks: list[str], facts: np.ndarray, pairs: np.ndarray) -> None:
-        at = len(self.code)
-        self.code.update(zip(chunks, range(at, at + len(chunks))))
-        last = self.start[at]
-        self.start = _put(self.start, at + 1, last + np.cumsum(facts[-1]))
-        self.links = _put(self.links, last, pairs)
-        if at + len(chunks) > self.facts.shape[1]:
-            grown = np.zeros((len(FACTS), 2 * (at + len(chunks))), np.int32)
-            grown[:, :at] = self.facts[:, :at]
-            self.facts = grown
-        self.facts[:, at : at + len(chunks)] = facts
+            sizes = np.array([len(own) for _, own in made])
+            flat = np.array([k for _, own in made for k in own])
+            for k, own in made:
+                self.texts[k] = ";".join([self.texts[p] for p in own])
+            facts = np.add.reduceat(self.facts[:, flat], np.cumsum(sizes) - sizes, axis=1)
+            self.put([k for k, _ in made], facts, self.links[self.spread(flat)[0]])
+
+    def put(self, at: list[int], facts: np.ndarray, pairs: np.ndarray) -> None:
+        self.facts[:, at] = facts
+        self.start[at] = self.used + np.cumsum(facts[-1]) - facts[-1]
+        if self.used + len(pairs) > len(self.links):
+            self.links = np.concatenate([self.links, np.zeros(self.used + len(pairs), np.int32)])
+        self.links[self.used : self.used + len(pairs)] = pairs
+        self.used += len(pairs)
 
     def spread(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``links`` of the links of chunks, and the index in ``codes`` of each."""
-        sizes = self.start[codes + 1] - self.start[codes]
+        sizes = self.facts[-1, codes].astype(np.int64)
         owner = np.repeat(np.arange(len(codes)), sizes)
         ahead = np.cumsum(sizes) - sizes
         return np.arange(len(owner)) + (self.start[codes] - ahead)[owner], owner
@@ -267,13 +306,6 @@ def _lots(items: list, size: int) -> Iterator[list]:
     return (items[k : k + size] for k in range(0, len(items), size))
 
 
-def _put(into: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
-    if at + len(values) > len(into):
-        into = np.concatenate([into, np.zeros((at + len(values)) // 2, into.dtype), np.zeros_like(into, shape=len(values))])
-    into[at : at + len(values)] = values
-    return into
-
-
 #: Columns of the rows of texts, and of pairs, in one table; the latter have no ``__pairs``.
 _FOUND = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 _COUNTED = "__pairs array<long>, __times array<int>, __pair long, __n long"
@@ -287,7 +319,8 @@ def _aligned(
 
     def rows(batches: Iterator[list]):
         model = aligner(byte_path, piece_path)
-        known, sums = Known(model), np.zeros(0, np.int64)
+        known, sums = model.known or Known(model), np.zeros(0, np.int64)
+        model.known = known
 
         def counted():
             at = np.flatnonzero(sums)
@@ -328,7 +361,8 @@ def _aligned(
             yield [*new, *lists, none, none], None
             if len(known.code) > REMEMBERED:
                 yield counted()
-                known, sums = Known(model), np.zeros(0, np.int64)
+                model.known = known = Known(model)
+                sums = np.zeros(0, np.int64)
         if sums.any():
             yield counted()
 
@@ -368,7 +402,7 @@ def align(
     not spell (U+2581 inside), have zeros and empty strings. Repeated rows are documents of
     their own; an empty table gives an empty one; kept columns named as an output give way.
 
-    Chunks of a text are aligned once a task. Texts and their pairs are written once. The
+    A worker aligns a chunk once while it remembers it. Texts and their pairs are written once. The
     counts of at most ``held_pairs`` pairs, the most frequent, go to every task; those of the
     others, of which none has more documents than any of these, are joined by pair.
     """

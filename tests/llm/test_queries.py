@@ -1,0 +1,13 @@
+"""Queries against their SQL at the smallest scale."""
+
+import pytest
+from compare import DATA, arrow, difference, oracle
+from feedloom.llm import queries
+
+SF = "0.001"
+
+
+@pytest.mark.parametrize("name", list(queries.SQL))
+def test_query(spark, name):
+    got = queries.QUERIES[name](spark, f"{DATA}/sf{SF}").toArrow()
+    assert got.num_rows and difference(got, arrow(oracle(SF), queries.SQL[name])) == ""
