@@ -49,30 +49,21 @@ def strip(c: ColumnOrName) -> Column:
     return F.regexp_replace(col(c), _EDGE_BLANKS, "")
 
 
-_MASK = "\ue000"
+# Stands where an element was, so that what adjoined it is not read as a tag.
+_GONE = "\ue000\uf8ff\ue000"
 
 
 def _without_code(c: Column) -> Column:
     """Script and style elements removed, each from its opener to the next closer.
 
-    An opener behind the last closer of its tag never closes, and looking for its end would
-    read the rest of the text each time: those are kept from the search, so it is linear.
+    An opener that never closes takes the rest of the text with it and gives it back ($1),
+    so the rest is searched for a closer once. Only elements of the other tag can stand in
+    that rest, and a search for each tag alone finds them. Every search is linear.
     """
-    ends = {
-        tag: F.when(
-            F.contains(c, F.lit(f"</{tag}>")),
-            F.length(c) - F.length(F.substring_index(c, f"</{tag}>", -1)),
-        ).otherwise(0)
-        for tag in ("script", "style")
-    }
-    low, high = F.least(*ends.values()), F.greatest(*ends.values())
-    between = F.substring(c, low + 1, high - low)
-    first = F.when(ends["script"] <= ends["style"], F.lit("script")).otherwise(F.lit("style"))
-    plain, masked = F.concat(F.lit("<"), first), F.concat(F.lit("<" + _MASK), first)
-    searched = F.concat(F.substring(c, F.lit(1), low), F.replace(between, plain, masked))
-    cleared = F.regexp_replace(searched, r"(?s)<(script|style)[^>]*+>.*?</\1>", "")
-    rest = F.substring(c, high + 1, F.length(c))
-    return F.when(high > 0, F.concat(F.replace(cleared, masked, plain), rest)).otherwise(c)
+    for tags in (("script", "style"), ("script",), ("style",)):
+        whole = "|".join(f"<{tag}[^>]*+>.*?</{tag}>" for tag in tags)
+        c = F.regexp_replace(c, f"(?s){whole}|(<(?:{'|'.join(tags)}).*+)", f"{_GONE}$1")
+    return F.replace(c, F.lit(_GONE), F.lit(""))
 
 
 def strip_html(c: ColumnOrName) -> Column:
