@@ -8,7 +8,7 @@ from feedloom.operators import media
 from feedloom.operators.aggregates import next_run_ordinal
 from feedloom.operators.joins import comments_of
 from feedloom.session import shared_path
-from feedloom.sinks import files, upsert
+from feedloom.sinks import buckets, files, upsert
 
 KEYS = ["user_id", "event_type"]
 
@@ -100,6 +100,52 @@ def upsert_late_merged_on_read(spark, d):
     return upsert.read_upserts(spark, path, KEYS, _ORDER)
 
 
+#: Arrival of the events: the middle of the month first, then its end, then its start.
+_ARRIVAL = "CASE WHEN ts < TIMESTAMP '2024-01-08 00:00:00' THEN 2 WHEN ts < TIMESTAMP '2024-01-20 00:00:00' THEN 0 ELSE 1 END"
+_IN_TURN = f"""WITH e AS (
+    SELECT *, {_ARRIVAL} AS arrival FROM events
+  ), w AS (
+    SELECT *, max(arrival) OVER k AS last, min(arrival) OVER k AS first FROM e WINDOW k AS (PARTITION BY user_id, event_type))
+  SELECT user_id, event_type, arg_max(props, (ts, event_id)) FILTER (arrival = last) AS props,
+    arg_max(value, (ts, event_id)) FILTER (arrival = last) AS value,
+    arg_max(event_id, (ts, event_id)) FILTER (arrival = last) AS event_id,
+    epoch_us(max(ts) FILTER (arrival = last)) // 1000 AS last_modify_ts,
+    epoch_us(min(ts) FILTER (arrival = first)) // 1000 AS add_ts
+  FROM w GROUP BY 1, 2"""
+
+
+def _arriving(spark, d):
+    """The three parts of the events in the order in which they arrive."""
+    events = table(spark, d, "events").select(
+        "user_id", "event_type", "props", "value", "event_id",
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("last_modify_ts"),
+    )
+    t = F.col("last_modify_ts")
+    start, end = 1704672000000, 1705708800000  # 8 and 20 January
+    return [events.where((t >= start) & (t < end)), events.where(t >= end), events.where(t < start)]
+
+
+@query("upsert_buckets_in_turn", _IN_TURN)
+def upsert_buckets_in_turn(spark, d):
+    """Two writers in turn into a bucketed table, each batch handed over twice."""
+    path = shared_path(spark, "buckets")
+    for number, (writer, rows) in enumerate(zip(("search", "creator", "search"), _arriving(spark, d))):
+        for _ in range(2):
+            buckets.upsert_buckets(rows, path, KEYS, _ORDER, buckets=16, writer=writer, batch=number)
+    return buckets.read_buckets(spark, path)
+
+
+@query("upsert_folders_in_turn", _IN_TURN)
+def upsert_folders_in_turn(spark, d):
+    """The same merged on read: batches of a run, of a stream's checkpoint, of the run again."""
+    path = shared_path(spark, "folders")
+    first, second, third = _arriving(spark, d)
+    upsert.append_updates(first, path, KEYS, _ORDER, 0)
+    upsert.append_updates(second, path, KEYS, _ORDER, 0, run=upsert.run_of(spark, path, "checkpoint"))
+    upsert.append_updates(third, path, KEYS, _ORDER, 1)
+    return upsert.read_upserts(spark, path, KEYS, _ORDER)
+
+
 @query(
     "upsert_keywords",
     """SELECT doc_id, k AS source_keyword, n_chars, 1::BIGINT AS last_modify_ts, 1::BIGINT AS add_ts FROM documents,

@@ -44,6 +44,7 @@ def upsert(
     keys: Sequence[str],
     order: Sequence[str],
     seen: str = "last_modify_ts",
+    reduced: bool = False,
 ) -> DataFrame:
     """Target after the updates.
 
@@ -52,9 +53,10 @@ def upsert(
     kept, or set to the time of a new key's first update. Columns that only the target
     has are kept as they are. NULL keys are keys like others. The size of the updates is
     checked: small ones are broadcast to the target, others are matched by a full outer join.
+    ``reduced`` updates come from ``last_updates``.
     """
     keys = list(keys)
-    new = last_updates(updates, keys, order, seen)
+    new = updates if reduced else last_updates(updates, keys, order, seen)
     if is_small(new):
         return _merge_small(target, new, keys)
     return _merge_full(target, new, keys)
@@ -197,12 +199,24 @@ def drop_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
 
 # --- merge on read --------------------------------------------------------
 #
-# A table folder holds run=<name>/batch=<n>: names sort in the order in which runs began.
+# A table folder holds arrival=<n>/run=<name>/batch=<n>: arrivals count up over all writers.
 
 WRITTEN = "_written"
 FIRST_RUN = "r000001"
 
 
+def _arrivals(spark: SparkSession, path: str) -> dict[tuple[str, str], int]:
+    """The arrival of each (run, batch) that the table has."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = {}
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "arrival=*/run=*/batch=*")) or []:
+        arrival, run, batch = status.getPath().toString().split("/")[-3:]
+        found[run.removeprefix("run="), batch.removeprefix("batch=")] = int(arrival.removeprefix("arrival="))
+    return found
+
+
 def append_updates(
     updates: DataFrame,
     path: str,
@@ -214,21 +228,21 @@ def append_updates(
 ) -> None:
     """Upsert without touching the table: one row per key, in the batch's own folder.
 
-    Writing a batch again replaces it. ``read_upserts`` folds the folders.
+    A batch arrives after all that are there, whatever their runs; writing a batch of a run
+    again replaces it where it stands. ``read_upserts`` folds the folders.
     """
+    spark = updates.sparkSession
     rows = last_updates(updates, keys, order, seen).withColumnRenamed("_first_seen", ADDED)
     payload = [c for c in rows.columns if c not in keys and c != ADDED]
     rows = rows.withColumn(WRITTEN, F.array(*map(F.lit, payload)).cast("array<string>"))
-    rows.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch}")
+    there = _arrivals(spark, path)
+    arrival = there.get((run, str(batch)), 1 + max(there.values(), default=0))
+    rows.write.mode("overwrite").parquet(f"{path}/arrival={arrival:010d}/run={run}/batch={batch}")
 
 
 def run_of(spark: SparkSession, path: str, checkpoint: str) -> str:
     """The run that a checkpoint stands for: the one it had, or the next."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-    runs = sorted(n.removeprefix("run=") for n in names if n.startswith("run="))
+    runs = sorted({run for run, _ in _arrivals(spark, path)})
     mark = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
     for run in runs:
         if run.endswith(f"-{mark}"):
@@ -247,8 +261,8 @@ def read_upserts(
     within their batch already.
     """
     parts = spark.read.option("mergeSchema", "true").parquet(path)
-    arrived = F.struct("run", "batch")
-    payload = [c for c in parts.columns if c not in (*keys, ADDED, WRITTEN, "run", "batch")]
+    arrived = F.struct("arrival", "run", "batch")
+    payload = [c for c in parts.columns if c not in (*keys, ADDED, WRITTEN, "arrival", "run", "batch")]
     # an update without the column has no place in the order of its values
     last = lambda c: F.max_by(c, F.when(F.array_contains(WRITTEN, c), arrived)).alias(c)
     return parts.groupBy(*keys).agg(*map(last, payload), F.min_by(ADDED, arrived).alias(ADDED))
@@ -261,7 +275,7 @@ def compact_upserts(
     folded = read_upserts(spark, path, keys, order)
     payload = [c for c in folded.columns if c not in keys and c != ADDED]
     folded = folded.withColumn(WRITTEN, F.array(*map(F.lit, payload)).cast("array<string>"))
-    folded.write.mode("overwrite").parquet(f"{into}/run=r000000/batch=-1")
+    folded.write.mode("overwrite").parquet(f"{into}/arrival={0:010d}/run=r000000/batch=-1")
 
 
 def upsert_catalog(
@@ -270,7 +284,7 @@ def upsert_catalog(
     """The same on a table whose format supports row-level MERGE."""
     new = last_updates(updates, keys, order, seen).alias("u")
     payload = [c for c in updates.columns if c not in keys and c != ADDED]
-    match = reduce(lambda a, b: a & b, [F.col(f"{table}.{k}") == F.col(f"u.{k}") for k in keys])
+    match = reduce(lambda a, b: a & b, [F.col(f"{table}.{k}").eqNullSafe(F.col(f"u.{k}")) for k in keys])
     sets = {c: F.col(f"u.{c}") for c in payload}
     (
         new.mergeInto(table, match)

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from feedloom.functions.text import tokens
 from feedloom.operators.words import drop_stopwords
+from feedloom.sinks.buckets import upsert_buckets
 from feedloom.sinks.upsert import append_updates, run_of
 
 BatchFn = Callable[[DataFrame, int], None]
@@ -80,6 +81,30 @@ def stream_upsert(
     return stream_ingest(stream, write, checkpoint, available_now)
 
 
+def stream_upsert_buckets(
+    stream: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    order: Sequence[str],
+    checkpoint: str,
+    seen: str = "last_modify_ts",
+    buckets: int = 256,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Continuous upsert into a bucketed table, which is up to date after each micro-batch.
+
+    A micro-batch rewrites the buckets that its keys fall into; one that is handed over
+    again is known by its number and changes nothing. Other streams and batch writers may
+    upsert into the same table meanwhile.
+    """
+    keys, order = list(keys), list(order)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        upsert_buckets(batch, path, keys, order, seen, buckets, checkpoint, batch_id)
+
+    return stream_ingest(stream, write, checkpoint, available_now)
+
+
 def event_time(df: DataFrame, ts: str) -> DataFrame:
     """Watermarks need an instant; zone-less timestamps are read as UTC."""
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
