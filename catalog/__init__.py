@@ -7,10 +7,12 @@ from catalog import (  # noqa: F401
     joins,
     normalize,
     ranking,
+    records,
     scalars,
     sinks,
     sources,
     streams,
+    trees,
 )
 from catalog.base import QUERIES, SQL
 

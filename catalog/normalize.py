@@ -889,6 +889,86 @@ def canonical_creators(spark, d):
     )
 
 
+@query(
+    "canonical_keeps_lists",
+    r"""SELECT 'xhs' AS platform, 'n' || doc_id AS content_id, [lang || ', ' || source, '话题'] AS tags,
+         CASE WHEN doc_id % 4 = 0 THEN [] ELSE ['https://h/a,' || doc_id || '.jpg', 'b'] END AS image_urls, [] AS media_urls,
+         CASE WHEN doc_id % 2 = 0 THEN n_chars END AS like_count,
+         CASE WHEN doc_id % 2 = 1 THEN n_chars || '.2万' END AS raw_likes FROM documents
+       UNION ALL SELECT 'dy', doc_id::VARCHAR, NULL, ['https://h/i,' || doc_id || '.jpg', 'j'], ['https://v/a,' || doc_id || '.mp4'],
+         n_chars, NULL FROM documents
+       UNION ALL SELECT 'ks', doc_id::VARCHAR, NULL, NULL, ['https://v/k,' || doc_id || '.mp4'],
+         CASE WHEN doc_id % 3 > 0 THEN n_chars END, CASE WHEN doc_id % 3 = 0 THEN n_chars || '万+' END FROM documents""",
+)
+def canonical_keeps_lists(spark, d):
+    """Tags and URLs that hold commas, and counters that are no numbers, in canonical rows."""
+    doc = c("doc_id")
+    tags = F.array(
+        record(name=text(c("lang"), ", ", c("source")), type=F.lit("topic")), record(name=F.lit("话题"), type=F.lit("topic"))
+    )
+    images = F.array(
+        record(url=F.lit(""), url_default=text("https://h/a,", doc, ".jpg")), record(url=F.lit("b"), url_default=F.lit("")),
+        record(url=F.lit(""), url_default=F.lit("")),
+    )
+    likes = F.when(every(2), c("n_chars").cast("string")).otherwise(text(c("n_chars"), ".2万"))
+    notes = landed(
+        docs(spark, d), note_id=text("n", doc), tag_list=tags, image_list=F.when(~every(4), images),
+        interact_info=record(liked_count=likes),
+    )
+    links = lambda *urls: record(url_list=F.array(*urls))
+    posts = landed(
+        docs(spark, d), aweme_id=doc, statistics=record(digg_count=c("n_chars")),
+        images=F.array(links(F.lit("x"), text("https://h/i,", doc, ".jpg")), links(F.lit("y"), F.lit("j"))),
+        video=record(play_addr=links(F.lit("x"), text("https://v/a,", doc, ".mp4"))),
+    )
+    likes = F.when(every(3), text(c("n_chars"), "万+")).otherwise(c("n_chars").cast("string"))
+    videos = landed(
+        docs(spark, d), photo=record(id=doc, viewCount=likes, photoUrl=text("https://v/k,", doc, ".mp4"))
+    )
+    content = union_platforms(
+        canonical.canonical_content(xhs.normalize_note(notes, SEEN, extras=True), "xhs"),
+        canonical.canonical_content(dy.normalize_post(posts, SEEN, extras=True), "dy"),
+        canonical.canonical_content(ks.normalize_video(videos, SEEN), "ks"),
+    )
+    count = F.when(c("platform") == "ks", c("view_count")).otherwise(c("like_count"))
+    raw = F.coalesce(
+        F.try_element_at("extra", F.lit("liked_count")), F.try_element_at("extra", F.lit("viewd_count"))
+    )
+    return content.select(
+        "platform", "content_id", "tags", "image_urls", "media_urls", count.alias("like_count"), raw.alias("raw_likes")
+    )
+
+
+@query(
+    "canonical_genders",
+    """SELECT 'bili' AS platform, c_custkey::VARCHAR AS user_id,
+         CASE c_nationkey % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'F' ELSE 'unknown' END AS gender,
+         CASE c_nationkey % 3 WHEN 0 THEN '男' WHEN 1 THEN '女' ELSE '保密' END AS gender_code FROM customer
+       UNION ALL SELECT 'dy', c_custkey::VARCHAR, CASE c_nationkey % 3 WHEN 1 THEN 'M' WHEN 2 THEN 'F' ELSE 'unknown' END,
+         (c_nationkey % 3)::VARCHAR FROM customer
+       UNION ALL SELECT 'wb', c_custkey::VARCHAR, CASE WHEN c_nationkey % 3 = 1 THEN 'F' ELSE 'M' END,
+         CASE WHEN c_nationkey % 3 = 1 THEN 'f' ELSE 'm' END FROM customer""",
+)
+def canonical_genders(spark, d):
+    """Genders decoded, and the platforms' own codes beside them."""
+    rows = table(spark, d, "customer").withColumn("user_id", c("c_custkey"))
+    kind = c("c_nationkey") % 3
+    sex = F.when(kind == 0, "男").when(kind == 1, "女").otherwise("保密")
+    cards = landed(rows, Card=record(card=record(mid=c("c_custkey"), sex=sex)))
+    everyone = union_platforms(
+        canonical.canonical_creator(bili.normalize_creator(cards, SEEN), "bili"),
+        canonical.canonical_creator(
+            dy.normalize_creator(landed(rows, "user_id", user=record(gender=kind)), SEEN, extras=True), "dy"
+        ),
+        canonical.canonical_creator(
+            wb.normalize_creator(landed(rows, "user_id", gender=F.when(kind == 1, "f").otherwise("m")), SEEN, extras=True), "wb"
+        ),
+    )
+    return everyone.select(
+        "platform", "user_id", "gender", F.try_element_at("extra", F.lit("gender_code")).alias("gender_code")
+    )
+
+
 @query(
     "canonical_activity",
     """SELECT 'bili' AS platform, event_id::VARCHAR AS activity_id, user_id::VARCHAR AS user_id,

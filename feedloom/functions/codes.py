@@ -17,6 +17,7 @@ GENDER_CODES = {
     "dy": {"0": "unknown", "1": "M", "2": "F", None: "unknown"},
     "ks": {"F": "F", None: "M"},
     "wb": {"f": "F", None: "M"},
+    "bili": {"男": "M", "女": "F", None: "unknown"},
 }
 
 

@@ -7,7 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, MapType, TimestampType
 
+from feedloom.functions.codes import gender
 from feedloom.functions.times import epoch_timestamp
+from feedloom.normalize.common import CODE, ITEMS
 from feedloom.schemas import ACTIVITY, COMMENT, CONTACT_EDGE, CONTENT, CREATOR, struct
 
 _ARTICLE_KEYS = {
@@ -120,6 +122,8 @@ CREATOR_MAP: dict[str, dict[str, str]] = {
 # Edges and activity posts have their canonical names already, but for one.
 ACTIVITY_MAP = {"activity_id": "dynamic_id"}
 
+# Platform columns that hold one URL, also where the canonical column is a list.
+_ONE_URL = ("video_download_url", "video_play_url")
 # Platform texts that stand for "no parent".
 _NO_PARENT = ("", "0")
 _ROOT_IS_SELF = ("wb",)
@@ -154,10 +158,21 @@ def _converted(c: Column, source_type: str, target) -> Column:
 def _mapped(
     df: DataFrame, platform: str, ddl: str, names: Mapping[str, str]
 ) -> DataFrame:
+    """Columns without a canonical place go to ``extra``, and so do texts of counters that
+    are no numbers. An array comes from the normaliser's ``_items`` column if it has one;
+    a joined text is split, which cuts elements that hold a comma.
+    """
     schema = struct(ddl)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     has_extra = "extra" in schema.names
     used = set(names.values()) | {"add_ts", "last_modify_ts", "source_keyword", "platform"}
+    used |= {c for c in types if c.endswith(ITEMS)}
+    raw = {
+        names[f.name]: F.col(names[f.name])
+        for f in schema.fields
+        if isinstance(f.dataType, LongType) and types.get(names.get(f.name)) == "string"
+    }
+    raw = {c: F.when((F.length(F.trim(x)) > 0) & x.try_cast("bigint").isNull(), x) for c, x in raw.items()}
     out = []
     for f in schema.fields:
         source = names.get(f.name, f.name if f.name in used or not has_extra else None)
@@ -166,11 +181,16 @@ def _mapped(
         elif f.name == "extra":
             rest = [c for c in df.columns if c not in used]
             pairs = [x for c in rest for x in (F.lit(c), F.col(c).cast("string"))]
+            pairs += [x for c, value in raw.items() for x in (F.lit(c), value)]
             value = (
                 F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
                 if pairs
                 else F.create_map().cast("map<string,string>")
             )
+        elif isinstance(f.dataType, ArrayType) and f"{source}{ITEMS}" in types:
+            value = F.col(f"{source}{ITEMS}").cast(f.dataType)
+        elif source in types and source in _ONE_URL:
+            value = F.filter(F.array(source), lambda x: F.length(x) > 0)
         elif source in types:
             value = _converted(F.col(source), types[source], f.dataType)
         else:
@@ -180,8 +200,8 @@ def _mapped(
 
 
 def canonical_content(df: DataFrame, platform: str) -> DataFrame:
-    """Counters are parsed to BIGINT (text such as ``1.2万`` gives NULL, its raw form
-    stays in the platform table); columns without a canonical place go to ``extra``."""
+    """Counters are parsed to BIGINT (text such as ``1.2万`` gives NULL and goes to ``extra``
+    under its platform name); columns without a canonical place go to ``extra``."""
     return _mapped(df, platform, CONTENT, CONTENT_MAP[platform])
 
 
@@ -195,7 +215,16 @@ def canonical_comment(df: DataFrame, platform: str) -> DataFrame:
     return out.withColumn("parent_comment_id", F.when(~none, parent))
 
 
+#: Platforms whose tables hold the gender as the platform writes it.
+_RAW_GENDER = ("bili",)
+
+
 def canonical_creator(df: DataFrame, platform: str) -> DataFrame:
+    """Genders are ``M`` / ``F`` / ``unknown``; where a platform table holds the platform's
+    own code, or the normaliser gave it, ``extra`` has it as ``gender_code``."""
+    source = CREATOR_MAP[platform]["gender"] if "gender" in CREATOR_MAP[platform] else None
+    if platform in _RAW_GENDER and source in df.columns:
+        df = df.withColumns({f"gender{CODE}": F.col(source), source: gender(platform, source)})
     return _mapped(df, platform, CREATOR, CREATOR_MAP[platform])
 
 

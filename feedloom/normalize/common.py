@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from feedloom.functions.nested import present
 from feedloom.functions.times import now_ms
+from feedloom.operators.sets import flatten_comments
 from feedloom.schemas import struct
 
 PAYLOAD = "payload"
@@ -51,3 +52,36 @@ def seen(as_of: Seen) -> Column:
 def text(c: Union[str, Column], default: Optional[str] = None) -> Column:
     out = (F.col(c) if isinstance(c, str) else c).cast("string")
     return out if default is None else F.coalesce(out, F.lit(default))
+
+
+#: Ends of the names of columns that a platform table has no room for.
+ITEMS, CODE = "_items", "_code"
+
+
+def extra(wanted: bool, items: Optional[dict[str, Column]] = None, code: Optional[Column] = None) -> list[Column]:
+    """What a normaliser adds with ``extras``: the arrays behind joined texts, without
+    empty elements, as ``<column>_items``, and a gender as the platform codes it."""
+    if not wanted:
+        return []
+    filled = {
+        name: F.coalesce(
+            F.filter(arr.cast("array<string>"), lambda x: F.length(x) > 0), F.array().cast("array<string>")
+        )
+        for name, arr in (items or {}).items()
+    }
+    out = [arr.alias(name + ITEMS) for name, arr in filled.items()]
+    return out if code is None else [*out, code.cast("string").alias("gender" + CODE)]
+
+
+def with_replies(df: DataFrame, ddl: str, child_field: str, id_col: str) -> DataFrame:
+    """Level-1 comments and the replies they carry, as payload fields of one list, each with
+    its ``level`` and ``top_id``, the id of its level-1 comment."""
+    df = opened(df, ddl).withColumn("top_id", F.col(id_col))
+    fields = {f.name for f in struct(ddl).fields}
+    return flatten_comments(df, child_field, [c for c in df.columns if c not in fields])
+
+
+def reply_to(named: Column) -> Column:
+    """The comment that a row of ``with_replies`` answers: the one it names, else, as a
+    reply, its level-1 comment."""
+    return F.coalesce(F.nullif(named, F.lit("")), F.when(F.col("level") > 1, F.col("top_id")))

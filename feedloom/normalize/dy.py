@@ -15,7 +15,7 @@ from feedloom.functions.nested import (
 )
 from feedloom.functions.text import content_url
 from feedloom.normalize import payloads
-from feedloom.normalize.common import Seen, context, opened, seen, text
+from feedloom.normalize.common import Seen, context, extra, opened, seen, text
 
 
 def search_records(df: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def _account(source: str) -> list[Column]:
     return [F.col(f"{source}.{field}").alias(name) for name, field in names.items()]
 
 
-def normalize_post(df: DataFrame, as_of: Seen = None) -> DataFrame:
+def normalize_post(df: DataFrame, as_of: Seen = None, extras: bool = False) -> DataFrame:
     df = opened(df, payloads.DY_AWEME)
     return df.select(
         "aweme_id",
@@ -84,10 +84,11 @@ def normalize_post(df: DataFrame, as_of: Seen = None) -> DataFrame:
         text("music.play_url.uri", "").alias("music_download_url"),
         join_list(image_urls()).alias("note_download_url"),
         context(df, "source_keyword").alias("source_keyword"),
+        *extra(extras, {"note_download_url": image_urls()}),
     )
 
 
-def normalize_comment(df: DataFrame, as_of: Seen = None) -> DataFrame:
+def normalize_comment(df: DataFrame, as_of: Seen = None, extras: bool = False) -> DataFrame:
     """Comments; see ``consistent_children`` for those of another post."""
     df = opened(df, payloads.DY_COMMENT)
     sizes = ("avatar_medium", "avatar_300x300", "avatar_168x168", "avatar_thumb")
@@ -105,10 +106,11 @@ def normalize_comment(df: DataFrame, as_of: Seen = None) -> DataFrame:
         seen(as_of),
         text("reply_id", "0").alias("parent_comment_id"),
         join_list(comment_images()).alias("pictures"),
+        *extra(extras, {"pictures": comment_images()}),
     )
 
 
-def normalize_creator(df: DataFrame, as_of: Seen = None) -> DataFrame:
+def normalize_creator(df: DataFrame, as_of: Seen = None, extras: bool = False) -> DataFrame:
     df = opened(df, payloads.DY_CREATOR)
     zero = F.lit(0).cast("bigint")
     return df.select(
@@ -127,4 +129,5 @@ def normalize_creator(df: DataFrame, as_of: Seen = None) -> DataFrame:
         F.coalesce("user.total_favorited", zero).alias("interaction"),
         F.coalesce("user.aweme_count", zero).alias("videos_count"),
         seen(as_of),
+        *extra(extras, code=F.col("user.gender")),
     )

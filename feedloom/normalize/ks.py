@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from feedloom.functions.codes import gender
 from feedloom.functions.text import content_url, truncate
 from feedloom.normalize import payloads
-from feedloom.normalize.common import Seen, context, opened, seen, text
+from feedloom.normalize.common import Seen, context, extra, opened, reply_to, seen, text, with_replies
 
 
 def normalize_video(df: DataFrame, as_of: Seen = None) -> DataFrame:
@@ -34,7 +34,16 @@ def normalize_video(df: DataFrame, as_of: Seen = None) -> DataFrame:
 
 
 def normalize_comment(df: DataFrame, as_of: Seen = None) -> DataFrame:
-    df = opened(df, payloads.KS_COMMENT)
+    return _comments(opened(df, payloads.KS_COMMENT), as_of)
+
+
+def normalize_comment_tree(df: DataFrame, as_of: Seen = None) -> DataFrame:
+    """Comments and the replies inside them, which answer their level-1 comment."""
+    rows = with_replies(df, payloads.KS_COMMENT_TREE, "subComments", "commentId")
+    return _comments(rows, as_of, text(reply_to(F.lit(None).cast("string")), "").alias("parent_comment_id"))
+
+
+def _comments(df: DataFrame, as_of: Seen, *more: Column) -> DataFrame:
     return df.select(
         F.col("commentId").alias("comment_id"),
         F.col("timestamp").alias("create_time"),
@@ -45,10 +54,11 @@ def normalize_comment(df: DataFrame, as_of: Seen = None) -> DataFrame:
         F.col("headurl").alias("avatar"),
         text("subCommentCount", "0").alias("sub_comment_count"),
         seen(as_of),
+        *more,
     )
 
 
-def normalize_creator(df: DataFrame, as_of: Seen = None) -> DataFrame:
+def normalize_creator(df: DataFrame, as_of: Seen = None, extras: bool = False) -> DataFrame:
     df = opened(df, payloads.KS_CREATOR)
     return df.select(
         context(df, "user_id").cast("string").alias("user_id"),
@@ -61,4 +71,5 @@ def normalize_creator(df: DataFrame, as_of: Seen = None) -> DataFrame:
         F.col("ownerCount.fan").alias("fans"),
         F.col("ownerCount.photo_public").alias("interaction"),
         seen(as_of),
+        *extra(extras, code=F.col("profile.gender")),
     )

@@ -9,7 +9,7 @@ from feedloom.functions.nested import present
 from feedloom.functions.text import content_url, drop_text, strip_tags_short
 from feedloom.functions.times import mail_china_text, mail_wallclock_epoch
 from feedloom.normalize import payloads
-from feedloom.normalize.common import Seen, context, opened, seen, text
+from feedloom.normalize.common import Seen, context, extra, opened, reply_to, seen, text, with_replies
 from feedloom.operators.filters import select_cards
 from feedloom.sources.embedded import wb_note_payload
 
@@ -78,7 +78,13 @@ def normalize_comment(df: DataFrame, as_of: Seen = None) -> DataFrame:
     )
 
 
-def normalize_creator(df: DataFrame, as_of: Seen = None) -> DataFrame:
+def normalize_comment_tree(df: DataFrame, as_of: Seen = None) -> DataFrame:
+    """Comments and the replies inside them; a reply without a root has its level-1 comment."""
+    rows = with_replies(df, payloads.WB_COMMENT_TREE, "comments", "id")
+    return normalize_comment(rows.withColumn("rootid", reply_to(F.col("rootid"))), as_of)
+
+
+def normalize_creator(df: DataFrame, as_of: Seen = None, extras: bool = False) -> DataFrame:
     df = opened(df, payloads.WB_CREATOR)
     return df.select(
         context(df, "user_id").cast("string").alias("user_id"),
@@ -91,4 +97,5 @@ def normalize_creator(df: DataFrame, as_of: Seen = None) -> DataFrame:
         text("followers_count", "").alias("fans"),
         F.lit("").alias("tag_list"),
         seen(as_of),
+        *extra(extras, code=F.col("gender")),
     )

@@ -16,7 +16,7 @@ from feedloom.functions.nested import (
 )
 from feedloom.functions.text import VIDEO_HOST, content_url, truncate
 from feedloom.normalize import payloads
-from feedloom.normalize.common import Seen, context, opened, seen, text
+from feedloom.normalize.common import Seen, context, extra, opened, reply_to, seen, text, with_replies
 from feedloom.schemas import struct
 from feedloom.sources.embedded import xhs_creator_payload, xhs_note_payload
 
@@ -42,11 +42,12 @@ def video_urls() -> Column:
     ).otherwise(none)
 
 
-def normalize_note(df: DataFrame, as_of: Seen = None) -> DataFrame:
+def normalize_note(df: DataFrame, as_of: Seen = None, extras: bool = False) -> DataFrame:
     df = opened(df, payloads.XHS_NOTE)
     topics = F.transform(
         F.filter("tag_list", lambda t: t["type"] == "topic"), lambda t: t["name"]
     )
+    images = F.transform("image_list", image_url)
     return df.select(
         "note_id",
         "type",
@@ -63,7 +64,7 @@ def normalize_note(df: DataFrame, as_of: Seen = None) -> DataFrame:
         F.col("interact_info.comment_count").alias("comment_count"),
         F.col("interact_info.share_count").alias("share_count"),
         text("ip_location", "").alias("ip_location"),
-        join_list(F.transform("image_list", image_url)).alias("image_list"),
+        join_list(images).alias("image_list"),
         join_list(topics).alias("tag_list"),
         seen(as_of),
         F.concat(
@@ -74,6 +75,7 @@ def normalize_note(df: DataFrame, as_of: Seen = None) -> DataFrame:
         ).alias("note_url"),
         context(df, "source_keyword").alias("source_keyword"),
         "xsec_token",
+        *extra(extras, {"video_url": video_urls(), "image_list": images, "tag_list": topics}),
     )
 
 
@@ -91,10 +93,11 @@ def page_creators(df: DataFrame, html_col: str = "html") -> DataFrame:
     return df.select(*keep, F.explode(present(xhs_creator_payload(html_col))).alias("payload"))
 
 
-def normalize_comment(df: DataFrame, as_of: Seen = None) -> DataFrame:
+def normalize_comment(df: DataFrame, as_of: Seen = None, extras: bool = False) -> DataFrame:
     """Comments; the note they were requested for (``requested_id``) is their note."""
     df = opened(df, payloads.XHS_COMMENT)
     note = F.coalesce(context(df, "requested_id").cast("string"), F.col("note_id"))
+    pictures = F.transform("pictures", lambda p: p["url_default"])
     return df.select(
         F.col("id").alias("comment_id"),
         "create_time",
@@ -105,14 +108,23 @@ def normalize_comment(df: DataFrame, as_of: Seen = None) -> DataFrame:
         F.col("user_info.nickname").alias("nickname"),
         F.col("user_info.image").alias("avatar"),
         text("sub_comment_count", "0").alias("sub_comment_count"),
-        join_list(F.transform("pictures", lambda p: p["url_default"])).alias("pictures"),
+        join_list(pictures).alias("pictures"),
         text("target_comment.id", "0").alias("parent_comment_id"),
         seen(as_of),
         text("like_count", "0").alias("like_count"),
+        *extra(extras, {"pictures": pictures}),
     )
 
 
-def normalize_creator(df: DataFrame, as_of: Seen = None) -> DataFrame:
+def normalize_comment_tree(df: DataFrame, as_of: Seen = None, extras: bool = False) -> DataFrame:
+    """Comments and the replies inside them; a reply that names no target answers its
+    level-1 comment, whose note it shares."""
+    rows = with_replies(df, payloads.XHS_COMMENT_TREE, "sub_comments", "id")
+    target = F.struct(reply_to(F.col("target_comment.id")).alias("id"))
+    return normalize_comment(rows.withColumn("target_comment", target), as_of, extras)
+
+
+def normalize_creator(df: DataFrame, as_of: Seen = None, extras: bool = False) -> DataFrame:
     """Creators; ``user_id`` comes from the request, not from the payload."""
     df = opened(df, payloads.XHS_CREATOR)
 
@@ -131,4 +143,5 @@ def normalize_creator(df: DataFrame, as_of: Seen = None) -> DataFrame:
         interaction("interaction").alias("interaction"),
         map_json(entries_to_map("tags", "tagType", "name")).alias("tag_list"),
         seen(as_of),
+        *extra(extras, code=F.col("basicInfo.gender")),
     )

@@ -18,7 +18,7 @@ from feedloom.functions.nested import (
 )
 from feedloom.functions.text import ZHIHU_ARTICLE_HOST, ZHIHU_HOST, strip_html
 from feedloom.normalize import payloads
-from feedloom.normalize.common import Seen, context, opened, seen, text
+from feedloom.normalize.common import Seen, context, extra, opened, seen, text
 from feedloom.operators.filters import route_by_type
 from feedloom.schemas import struct
 from feedloom.sources.embedded import embedded_json
@@ -147,7 +147,9 @@ def page_state(df: DataFrame, html_col: str = "html") -> DataFrame:
     return df.withColumn("_entities", state["initialState"]["entities"])
 
 
-def normalize_creator(df: DataFrame, html_col: str = "html", as_of: Seen = None) -> DataFrame:
+def normalize_creator(
+    df: DataFrame, html_col: str = "html", as_of: Seen = None, extras: bool = False
+) -> DataFrame:
     """Creators from their pages; ``url_token`` names the page's owner."""
     owner = F.try_element_at("_entities.users", F.col("url_token"))
     df = page_state(df, html_col).select("url_token", F.explode(present(owner)).alias("_user"))
@@ -171,6 +173,7 @@ def normalize_creator(df: DataFrame, html_col: str = "html", as_of: Seen = None)
         text("_user.ipInfo", "").alias("ip_location"),
         *[number_or_zero(f"_user.{field}").alias(name) for name, field in counts.items()],
         seen(as_of),
+        *extra(extras, code=F.col("_user.gender")),
     )
 
 

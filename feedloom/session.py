@@ -54,6 +54,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """The frame as a table at ``path``, read again: a cut of the lineage that any executor
+    can lose and whose size Catalyst knows (a checkpoint keeps the estimate of its plan,
+    which grows beyond all bounds where it is joined round by round)."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate files."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimized plan (no job is run)."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
