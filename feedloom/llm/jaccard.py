@@ -21,8 +21,10 @@ MORE_MATCHES = 3
 #: partners that a document there stands for.
 FIRST_TOKENS = 6
 FAN = 64
-#: Candidates of a component that are compared before the others.
-BEST_CANDIDATES = 4
+#: Pairs of a component in a round of heads, and of how many pairs one must be a link for
+#: another round.
+BEST_HEADS = 3
+FEW_LINKS = 50
 
 
 def _counted(documents: DataFrame, text: str) -> DataFrame:
@@ -132,19 +134,22 @@ def _prefixes(documents: DataFrame, text: str, sketch: np.ndarray, percent: int)
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """The prefix rows (tok, sig, size, pos, need) whose token another set has too. One
-    exchange by token serves the removal of repeats and the count."""
+    """The prefix rows (tok, sig, size, pos, need, rank) whose prefix token another set has
+    too; ``rank`` counts such rows of the set before this one. One exchange by token serves
+    the removal of repeats and the count."""
     once = prefixes.repartition("tok").groupBy("tok", "sig").agg(F.min("info").alias("info"))
     bucket = Window.partitionBy("tok")
     rows = once.withColumn("df", F.count("*").over(bucket)).filter("df > 1")
     info = F.col("info")
-    return rows.select(
+    before = Window.partitionBy("sig").orderBy("pos")
+    rows = rows.select(
         "tok",
         "sig",
         F.shiftright(info, 32).cast("int").alias("size"),
         F.shiftright(info.bitwiseAND((1 << 32) - 1), 3).cast("int").alias("pos"),
         info.bitwiseAND(7).cast("int").alias("need"),
     )
+    return rows.withColumn("rank", F.row_number().over(before) - 1)
 
 
 def _sets(documents: DataFrame, text: str, names: DataFrame, members: DataFrame, encode) -> DataFrame:
@@ -238,8 +243,11 @@ def components(links: DataFrame) -> DataFrame:
 def _room(percent: int, matches) -> Column:
     """Whether a match, one of the first ``matches`` of two linked sets, leaves enough behind
     it: of the least overlap o, with o * (100 + percent) >= percent * (both sizes), all but
-    ``matches`` - 1 lie at it and after it. And whether the sizes can be linked at all."""
-    rest = F.least(F.col("size") - F.col("pos"), F.col("s_size") - F.col("s_pos")) + matches - 1
+    ``matches`` - 1 lie at it and after it; and of those before it, which are in both prefixes,
+    there are no more than either ``rank``. And whether the sizes can be linked at all."""
+    matches = F.lit(matches) if isinstance(matches, int) else matches
+    rest = F.least(F.col("size") - F.col("pos"), F.col("s_size") - F.col("s_pos"))
+    rest = rest + F.least(matches - 1, F.col("rank"), F.col("s_rank"))
     enough = rest * (100 + percent) >= (F.col("size") + F.col("s_size")) * percent
     sized = F.least("size", "s_size") * 100 >= F.greatest("size", "s_size") * percent
     return enough & sized
@@ -260,16 +268,47 @@ def _neighbours(shared: DataFrame, percent: int) -> DataFrame:
     )
     line = Window.partitionBy("tok").orderBy(F.desc("shares"), F.xxhash64("tok", "sig"), "sig")
     placed = near.withColumn("place", F.row_number().over(line) - 1)
-    heads = placed.select("tok", F.col("place").alias("head"), *[F.col(c).alias(f"s_{c}") for c in ("sig", "size", "pos")])
+    heads = placed.select("tok", F.col("place").alias("head"), *[F.col(c).alias(f"s_{c}") for c in ("sig", "size", "pos", "rank")])
     few = placed.filter((F.col("k") <= FIRST_TOKENS) & (F.col("place") > 0))
     few = few.withColumn("head", F.floor(F.col("place") / FAN).cast("int"))
     pairs = few.join(heads, ["tok", "head"]).filter(_room(percent, 1 + MORE_MATCHES))
     return pairs.select(F.least("sig", "s_sig").alias("a"), F.greatest("sig", "s_sig").alias("b")).distinct()
 
 
-def _candidates(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that may be linked, the tokens in which they
-    ``met``, and the component that sought, ``seeker``.
+def _buckets(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of the buckets (tokens) in which several components meet, with their ``root``
+    and the bucket's largest component, ``large``. Buckets are summed up a component at a
+    time, so one of very many rows is no task's."""
+    sizes = roots.groupBy("root").agg(F.count("*").alias("members"))
+    rows = shared.join(roots, shared.sig == roots.node, "left").drop("node")
+    rows = rows.withColumn("root", F.coalesce("root", "sig")).join(sizes, "root", "left")
+    parts = rows.groupBy("tok", "root").agg(F.coalesce(F.max("members"), F.lit(1)).alias("m"))
+    largest = F.max(F.struct("m", "root"))["root"].alias("large")
+    met = parts.groupBy("tok").agg(largest, F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    return rows.drop("members").join(met, "tok")
+
+
+def _heads(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) to try before the exact round; no link depends on it.
+
+    In a bucket every component sends the one member for which most can still match, and
+    those of the others meet that of the largest. A component tries the few it met most.
+    """
+    first = F.max(F.struct((F.col("size") - F.col("pos") + F.col("rank")).alias("rest"), "sig", "size", "pos", "rank"))
+    sent = buckets.groupBy("tok", "root", "large").agg(first.alias("f"))
+    lead = sent.filter("root = large").select("tok", *[F.col("f")[c].alias(c) for c in ("sig", "size", "pos", "rank")])
+    seek = sent.filter("root <> large").select("tok", "root", *[F.col("f")[c].alias(f"s_{c}") for c in ("sig", "size", "pos", "rank")])
+    met = seek.join(lead, "tok").filter(_room(percent, 1 + MORE_MATCHES))
+    pairs = met.groupBy("root", F.least("sig", "s_sig").alias("a"), F.greatest("sig", "s_sig").alias("b"))
+    pairs = pairs.agg(F.count("*").alias("met"))
+    most = Window.partitionBy("root").orderBy(F.desc("met"), "a", "b")
+    pairs = pairs.withColumn("k", F.row_number().over(most)).filter(F.col("k") <= BEST_HEADS)
+    return pairs.select("a", "b").distinct()
+
+
+def _met(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of different components, once for each of their tokens that
+    leaves room for a link, and the ``matches`` such a pair needs.
 
     Of two linked sets the one whose prefix ends first has all but size - length of their
     least overlap in both prefixes. So a pair has to share that many prefix tokens (here up
@@ -277,16 +316,9 @@ def _candidates(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     leave room for the rest. In a bucket the members of its largest component are not
     paired with each other, so only its other members look for partners.
     """
-    sizes = roots.groupBy("root").agg(F.count("*").alias("members"))
-    rows = shared.join(roots, shared.sig == roots.node, "left").drop("node")
-    rows = rows.withColumn("root", F.coalesce("root", "sig")).join(sizes, "root", "left")
-    bucket = Window.partitionBy("tok")
-    large = F.max(F.struct(F.coalesce("members", F.lit(1)).alias("m"), "root")).over(bucket)["root"]
-    rows = rows.withColumns({"large": large, "other": F.min("root").over(bucket) != F.max("root").over(bucket)})
-    rows = written(rows.filter("other").drop("other", "members"), "buckets")
-    columns = ("sig", "size", "pos", "need", "root")
-    seek = rows.filter("root <> large").select("tok", *[F.col(c).alias(f"s_{c}") for c in columns], "large")
-    rows = rows.drop("large")
+    columns = ("sig", "size", "pos", "need", "rank", "root")
+    seek = buckets.filter("root <> large").select("tok", *[F.col(c).alias(f"s_{c}") for c in columns], "large")
+    rows = buckets.drop("large")
 
     def outside(prefix: str) -> Column:
         """Tokens behind a document's prefix."""
@@ -298,19 +330,37 @@ def _candidates(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     # of two seekers one does: the one with the larger name
     turn = (F.col("root") == F.col("large")) | (F.col("s_sig") > F.col("sig"))
     met = seek.join(rows, "tok").filter((F.col("root") != F.col("s_root")) & turn & _room(percent, matches))
-    pairs = met.groupBy(F.least("sig", "s_sig").alias("a"), F.greatest("sig", "s_sig").alias("b"))
-    found = pairs.agg(
-        F.count("*").alias("met"), F.min(matches).alias("matches"), F.min("s_root").alias("seeker")
-    )
-    return found.filter("met >= matches").select("a", "b", "met", "seeker")
+    return met.select(F.least("sig", "s_sig").alias("a"), F.greatest("sig", "s_sig").alias("b"), matches.alias("matches"))
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose components differ."""
-    for side in ("a", "b"):
-        own = roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
-        pairs = pairs.join(own, side, "left")
-    return pairs.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+def _candidates(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share enough tokens to be linked."""
+    found = _met(buckets, percent).groupBy("a", "b").agg(F.count("*").alias("met"), F.min("matches").alias("matches"))
+    return found.filter("met >= matches").select("a", "b")
+
+
+def _contracted(
+    documents: DataFrame, text: str, shared: DataFrame, found: DataFrame, members: DataFrame, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """The links (a, b) after rounds of heads, and the buckets that are left.
+
+    Each round joins what its heads link, so a group of near copies is one component, or
+    nearly, before members are paired. Rounds end when one links few of the pairs it tried.
+    """
+    tried = None
+    while True:
+        buckets = written(_buckets(shared, components(found)), "buckets")
+        pairs = _heads(buckets, percent)
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = written(pairs, "heads", narrow=True)
+        links = _links(documents, text, pairs, members, percent)
+        n = links.count()
+        if not n:
+            return found, buckets
+        found = found.union(links)
+        tried = pairs if tried is None else tried.union(pairs)
+        if n * FEW_LINKS < pairs.count():
+            return found, written(_buckets(shared, components(found)), "buckets")
 
 
 def near_duplicates(
@@ -327,9 +377,9 @@ def near_duplicates(
     compared by 64-bit hashes, whole sets by a 64-bit name.
 
     Equal sets are one class, and all that follows is between classes. Neighbours in a few
-    buckets are compared first, which joins large groups; then the prefix join looks at
-    pairs of different components only, and of these at the most promising first, so a group
-    of copies costs its size, not its square.
+    buckets are compared first, which joins large groups, then one head of each component in
+    every bucket, round by round; the prefix join looks at pairs of different components
+    only, so a group of near copies costs its size, not its square.
     """
     docs = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t"))
     counted = written(_counted(docs, "t"), "shingle-counts")
@@ -340,12 +390,9 @@ def near_duplicates(
     sketch[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
     shared = written(_shared(_prefixes(docs, "t", sketch, percent)), "shared-prefixes")
     found = _links(docs, "t", _neighbours(shared, percent), members, percent)
-    pairs = written(_candidates(shared, components(found), percent), "candidates")
-    best = Window.partitionBy("seeker").orderBy(F.desc("met"), "a", "b")
-    best = pairs.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= BEST_CANDIDATES)
-    found = found.union(_links(docs, "t", best.select("a", "b"), members, percent))
-    rest = _apart(pairs, components(found))
-    roots = components(found.union(_links(docs, "t", rest, members, percent)))
+    found, buckets = _contracted(docs, "t", shared, found, members, percent)
+    rest = _links(docs, "t", _candidates(buckets, percent), members, percent)
+    roots = components(found.union(rest))
     rooted = members.join(roots, members.sig == roots.node, "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "sig"))
     least = rooted.filter("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))

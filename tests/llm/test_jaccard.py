@@ -117,3 +117,30 @@ def test_coarse_never_says_no_wrongly():
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, rng.integers(1, 20), np.uint64)]))
         if shingles.linked(a, b, 75):
             assert shingles.may_link(shingles.coarse(a), shingles.coarse(b), 75)
+
+
+def test_near_copies_cost_their_number(spark, monkeypatch):
+    """Rows of the join that pairs members grow with a group of near copies, not its square."""
+    rows_met = []
+    met = jaccard._met
+
+    def counted(buckets, percent):
+        found = met(buckets, percent)
+        rows_met.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "_met", counted)
+    for n in (200, 400, 800):
+        rng = random.Random(n)
+        word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+        base = [word() for _ in range(150)]
+        rows = []
+        for i in range(n):
+            own = list(base)
+            for _ in range(rng.randint(0, 12)):
+                own[rng.randrange(len(own))] = word()
+            rows.append((i, " ".join(own)))
+        got = sorted(map(tuple, jaccard.near_duplicates(odd.documents(spark, rows)).collect()), key=repr)
+        if n <= 400:
+            assert got == reference(rows)
+    assert rows_met[2] <= 3 * max(rows_met[1], n) <= 9 * max(rows_met[0], n)
