@@ -7,7 +7,6 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate, count
 from operator import add
 
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from feedloom.llm.bpe import PATTERN, WHITE, byte_letters
-from feedloom.llm.common import map_arrow, written
+from feedloom.llm.common import held, map_arrow, written
 
 SPACE = "▁"  # what the piece vocabulary writes for a space
 #: Chunks that a worker remembers; beyond them it forgets all, which costs time only.
@@ -203,10 +202,9 @@ class Aligner:
 Aligned = tuple[list[str], np.ndarray, np.ndarray]
 
 
-@lru_cache(maxsize=2)
 def aligner(byte_path: str, piece_path: str) -> Aligner:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are parallel already
-    return Aligner(byte_path, piece_path)
+    return held(Aligner, byte_path, piece_path)
 
 
 #: Of each chunk: whether tokens spell something else, numbers of tokens, groups and links.

@@ -6,7 +6,6 @@ import hashlib
 import json
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -14,7 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from feedloom.llm.common import Memo, map_arrow
+from feedloom.llm.common import Memo, held, map_arrow
 
 #: The pre-token pattern of this family of vocabularies, and white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -139,9 +138,8 @@ def _chunks(text: str) -> list[str]:
     return [head, *chunks] if head else chunks
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> ByteBpe:
-    return ByteBpe(path)
+    return held(ByteBpe, path)
 
 
 def encode(

@@ -7,12 +7,11 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from feedloom.llm.common import Memo, map_arrow
+from feedloom.llm.common import Memo, held, map_arrow
 
 #: Words that the library encodes in one call.
 GROUP = 64
@@ -94,10 +93,9 @@ class Words:
         return [b"".join(found) for found in self.memo.values(cut)]
 
 
-@lru_cache(maxsize=2)
 def words(path: str) -> Words:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are parallel already
-    return Words(path)
+    return held(Words, path)
 
 
 def piece_lengths(n: int, largest: int) -> list[int]:
@@ -115,6 +113,7 @@ def pack(
     size: int = 4096,
     end_id: int | None = 2,
     with_ids: bool = True,
+    at_once: int = 2000,
 ) -> DataFrame:
     """One row per piece: kept columns, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``,
     ``bucket`` (its length's logarithm), ``ids``, ``sequence_id`` and ``offset``.
@@ -125,7 +124,7 @@ def pack(
     A NULL or empty text is a document of ``end_id`` alone, or without one has no piece.
     Repeated rows are documents of their own; kept columns named as an output give way.
     ``sequence_id`` numbers the rows within their input split; it is the same in each run
-    over the same files.
+    over the same files. ``at_once`` documents are worked on together: fewer take less memory.
     """
     if size < 1 or size & (size - 1):
         raise ValueError("size must be a power of two")
@@ -133,9 +132,9 @@ def pack(
 
     def rows(batches: Iterator[list]):
         model = words(path)
-        for (texts,) in batches:
+        for texts, first in ((t.slice(k, at_once), k) for (t,) in batches for k in range(0, len(t), at_once)):
             origin, start, length, crc, total, ids = [], [], [], [], [], []
-            for k, packed in enumerate(model.encode([t or "" for t in texts.to_pylist()])):
+            for k, packed in enumerate(model.encode([t or "" for t in texts.to_pylist()]), first):
                 packed += tail
                 at, n = 0, len(packed) // 4
                 for piece in piece_lengths(n, size):

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from feedloom.llm.common import Memo, map_arrow
+from feedloom.llm.common import Memo, held, map_arrow
 
 SPACE = "▁"  # what the vocabulary writes for a space
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
@@ -173,9 +172,8 @@ def _chunks(text: str) -> list[str]:
     return text.split(" ")
 
 
-@lru_cache(maxsize=2)
 def merger(path: str) -> PieceMerger:
-    return PieceMerger(path)
+    return held(PieceMerger, path)
 
 
 def token_counts(
