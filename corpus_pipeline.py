@@ -33,7 +33,8 @@ def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of power-of-two length, with their ids."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # workers hold what earlier stages took of their memory
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), at_once=400)
 
 
 STAGES = [
