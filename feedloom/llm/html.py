@@ -50,6 +50,15 @@ DROP_WORDS = frozenset(
 )
 #: Those that also name parts of an article: in one they go if they are lists of links.
 PART_WORDS = frozenset("notice notices side share sharing social".split())
+#: Of a name of several parts (comment-list, siteFooter) one of these is enough, unless another
+#: part says that it is about the main text or that such a thing is there or not.
+COMPOUND_WORDS = DROP_WORDS - frozenset("side search notice notices skip complementary copyright toolbar".split())
+NO_COMPOUND = frozenset(
+    "no not has have with without is content article main post entry page story wrap wrapper container layout".split()
+)
+#: Names that begin or end with one of these are of readers whatever else they say.
+READERS = frozenset("comment comments disqus".split())
+HAVING = frozenset("no not has have with without is closed count".split())
 #: What holds most of a page without article and main is no surrounding if it has so many characters.
 LEAST_MAIN = 200
 PAGE_HEADER = frozenset(("header", "hgroup"))
@@ -57,6 +66,7 @@ MAIN = frozenset(("article", "main", "body", "html"))
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _VALUE = re.compile(r"=\s*([\"'])|>")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _LABEL = re.compile(r"(?:\s|^)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
@@ -84,6 +94,17 @@ def _link_list(chars: int, link_chars: int, link_tags: int) -> bool:
     return link_tags > 1 and 2 * link_chars > chars
 
 
+def _compound(name: str) -> int:
+    """Whether a name of several parts tells a surrounding: 2 for readers' comments, 1 for
+    others, 0 for none."""
+    parts = [p.lower() for p in _PARTS.findall(name)]
+    if len(parts) < 2:
+        return 0
+    if not HAVING & set(parts) and (parts[0] in READERS or parts[-1] in READERS):
+        return 2
+    return int(bool(COMPOUND_WORDS & set(parts)) and not NO_COMPOUND & set(parts))
+
+
 class Page:
     """The elements of a page in order, and its texts.
 
@@ -96,6 +117,7 @@ class Page:
         self.parent = [-1]
         self.dropped = [False]
         self.doubtful: dict[int, bool] = {}  # surroundings by label or form: whether an article's part
+        self.compound: dict[int, int] = {}  # those by a name of several parts (``_compound``)
         self.texts: list[tuple[int, str] | None] = []
         self.stack = [0]
         self.open: Counter = Counter()
@@ -162,10 +184,14 @@ class Page:
         up = self.stack[-1]
         dropped = self.dropped[up] or tag in DROP_TAGS or (tag in PAGE_HEADER and not self.main)
         if not dropped and tag not in MAIN:
-            names = {w for m in _LABEL.finditer(rest) for w in (m[2] or m[3] or m[4] or "").lower().split()}
-            names &= DROP_WORDS
+            given = [w for m in _LABEL.finditer(rest) for w in (m[2] or m[3] or m[4] or "").split()]
+            names = {w.lower() for w in given} & DROP_WORDS
             if names or tag == "form":
                 self.doubtful[len(self.tag)] = bool(self.main) and tag != "form" and names <= PART_WORDS
+            elif given:
+                kind = max(map(_compound, given))
+                if kind:
+                    self.compound[len(self.tag)] = kind
         self.tag.append(tag)
         self.parent.append(up)
         self.dropped.append(dropped)
@@ -177,14 +203,18 @@ class Page:
     def decide(self) -> None:
         """Drop the doubtful elements, but not those that hold a main element or, where no
         article or main element stands outside of all, an article or most of the page's
-        characters outside links."""
-        if not self.doubtful:
+        characters outside links. One with a name of several parts goes if it holds no article
+        and no more than half of the characters of the article, main element or page around
+        it; if it is of readers' comments, also where enough is left without it."""
+        if not self.doubtful and not self.compound:
             return
         n, parent = len(self.tag), self.parent
         free, links, link_tags = [0] * n, [0] * n, [0] * n
         in_link, within, article, main = ([False] * n for _ in range(4))
         outside = False
+        box = [0] * n
         for i in range(1, n):
+            box[i] = parent[i] if self.tag[parent[i]] in ("article", "main") else box[parent[i]]
             in_link[i] = in_link[parent[i]] or self.tag[i] == "a"
             within[i] = within[parent[i]] or i in self.doubtful
             article[i] = self.tag[i] in ("article", "main") and not self.dropped[i]
@@ -206,6 +236,9 @@ class Page:
                     gone = _link_list(free[i] + links[i], links[i], link_tags[i])
                 else:
                     gone = not (main[i] or not outside and (article[i] or most))
+            elif i in self.compound and not article[i]:
+                rest = free[box[i]] - free[i]
+                gone = rest >= free[i] or (self.compound[i] == 2 and rest >= LEAST_MAIN)
             self.dropped[i] = self.dropped[i] or gone or self.dropped[parent[i]]
 
     def end_nearest(self, tags: tuple, within) -> None:
@@ -349,7 +382,8 @@ def extract(
 
     Character references are decoded, white space inside a block becomes one space, blocks
     follow in page order, one per line; ``<br>`` is white space. NULL, empty or text-free
-    pages give an empty text. A tag, comment or raw element that never closes takes the rest
+    pages give an empty text. Of elements with equal sums of densities the outer one is the
+    text, else the later one. A tag, comment or raw element that never closes takes the rest
     of the page with it. Repeated rows give repeated results; a kept column named as an
     output gives way.
     """
