@@ -6,9 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Vectors of a slice, queries of a block, queries whose scores are held at once.
+#: Vectors of a slice, queries of a block, queries whose scores are held at once. Every
+#: vector is copied once a block and every query once a slice, so tiles are square.
 SLICE = 8192
-BLOCK = 1024
+BLOCK = 8192
 HELD = 64
 
 
@@ -72,12 +73,12 @@ def search(
     id: str = "vec_id",
     vector: str = "embedding",
 ) -> DataFrame:
-    """``query_id``, ``rank``, ``vec_id``, ``score``: for each query row the ``k`` rows of
-    another id with the largest inner product of floor(scale * x), ties to the smaller id.
+    """``query_id``, ``rank``, ``vec_id``, ``score``: for each query row the ``k`` other rows
+    with the largest inner product of floor(scale * x), ties to the smaller id.
 
     Rows without an id, and vectors that are NULL or hold a NULL or non-finite component,
     take no part; an empty vector scores 0; shorter vectors end in zeros. Repeated rows are
-    candidates each, and repeated query rows have a list each. A query has fewer rows where
+    candidates each, also for each other, and repeated query rows have a list each. A query has fewer rows where
     there are fewer candidates, none if there is none. Scores beyond 64 bits count as the
     largest 64-bit value of their sign.
 
@@ -85,23 +86,25 @@ def search(
     each slice in a task of its own, and the best of the slices are merged.
     """
     usable = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
-    rows = df.select(F.col(id).alias("vec_id"), F.col(vector).alias("v"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & df[vector].isNotNull() & usable)
-    asked = df.filter(is_query).select(F.col(id).alias("query_id"), F.col(vector).alias("v"))
-    asked = asked.filter(F.col("query_id").isNotNull() & F.col("v").isNotNull())
-    asked = asked.filter(F.forall("v", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))))
-    slices = max(1, -(-rows.count() // SLICE))
-    blocks = max(1, -(-asked.count() // BLOCK))
+    known = F.col(id).isNotNull() & F.col(vector).isNotNull() & usable
+    asks = F.coalesce(is_query, F.lit(False))
+    # numbered once for both sides: a query is not its own candidate
+    rows = df.select(F.col(id).alias("vec_id"), F.col(vector).alias("v"), asks.alias("asks"), known.alias("known"))
+    rows = rows.withColumn("n", F.monotonically_increasing_id()).filter("known").drop("known")
+    count = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
+    blocks = max(1, -(-count.q // BLOCK))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    slices = max(1, -(-count.n // SLICE), min(-(-cores // blocks), -(-count.n // HELD)))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    row = F.monotonically_increasing_id()
-    rows = rows.withColumn("s", (row % slices).cast("int")).withColumn("b", numbers(blocks))
-    asked = asked.withColumn("n", row).withColumn("b", (F.col("n") % blocks).cast("int"))
-    asked = asked.withColumn("s", numbers(slices))
+    asked = rows.filter("asks").select(F.col("vec_id").alias("query_id"), "v", "n")
+    rows = rows.select("vec_id", "v", "n")
+    rows = rows.withColumn("s", (F.col("n") % slices).cast("int")).withColumn("b", numbers(blocks))
+    asked = asked.withColumn("b", F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int")).withColumn("s", numbers(slices))
 
     def meet(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         ids = vectors["vec_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
-        ids = ids[order]
+        ids, own = ids[order], vectors["n"].to_numpy()[order]
         matrix = quantised(vectors["v"], scale)[order]
         asked_ids = queries["query_id"].to_numpy()
         asked_n = queries["n"].to_numpy()
@@ -120,7 +123,7 @@ def search(
             found = scores(postings, weights[a : a + HELD], len(ids), kind)
             if kind is object:
                 found = np.clip(found, -(2**63), 2**63 - 1).astype(np.int64)
-            q, v = best(found, ids[:, None] == asked_ids[a : a + HELD], k)
+            q, v = best(found, own[:, None] == asked_n[a : a + HELD], k)
             score = found[v, q]
             parts.append((asked_n[a + q], asked_ids[a + q], ids[v], score.astype(np.int64)))
         columns = [np.concatenate(c) if parts else np.array([], np.int64) for c in zip(*parts)] or [[]] * 4

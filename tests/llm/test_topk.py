@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 def reference(rows, k=5, scale=256):
     ok = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, q in ok:
+    for at, (i, q) in enumerate(ok):
         if i % 50 == 0:
             held = lambda s: max(-(2**63), min(2**63 - 1, s))
-            scores = sorted((-held(sum(a * b for a, b in zip(q, v))), j) for j, v in ok if j != i)[:k]
+            scores = sorted((-held(sum(a * b for a, b in zip(q, v))), j) for other, (j, v) in enumerate(ok) if other != at)[:k]
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
     return sorted(out)
 
@@ -44,7 +44,8 @@ def test_few_rows(spark):
 
 
 def test_repeated_queries_have_lists_each(spark):
-    assert found(spark, [(0, [1.0]), (0, [1.0]), (1, [2.0])]) == [(0, 1, 1, 131072)] * 2
+    twins = [(0, 1, 1, 131072), (0, 2, 0, 65536)]  # a twin is another row
+    assert found(spark, [(0, [1.0]), (0, [1.0]), (1, [2.0])]) == sorted(twins * 2)
 
 
 def test_large_components(spark):
