@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedloom.llm.common import map_arrow
 
-#: Bounds of the training sample: languages, documents of each, words of each document.
-LANGUAGES = 64
+#: Bounds of the training sample: languages, documents of each and of all, pieces of words
+#: of each document; a piece has LONGEST characters at most.
+LANGUAGES = 2048
 DOCUMENTS = 300
+ALL_DOCUMENTS = 20_000
 SAMPLE_WORDS = 120
 #: Bytes of a sequence: a word, or a piece of a longer one.
 LONGEST = 24
@@ -206,9 +208,11 @@ def train(
 ) -> Network | None:
     """A network for the languages of the documents that meet ``learn_from`` and have one.
 
-    Of the LANGUAGES most frequent languages DOCUMENTS documents each, by a hash of the id,
-    give up to SAMPLE_WORDS words each, evenly over the whole text: the bound of what comes
-    to the driver. None without labelled documents.
+    Of the LANGUAGES most frequent languages DOCUMENTS documents each (fewer where that were
+    more than ALL_DOCUMENTS), by a hash of the id, give up to SAMPLE_WORDS words each, evenly
+    over the whole text; a word longer than LONGEST counts as several. That bounds the bytes
+    that come to the driver, also from texts without white space. Documents without a text
+    or a language teach nothing. None without labelled documents.
     """
     known = df.filter(learn_from & F.col(lang).isNotNull() & F.col(text).isNotNull())
     known = known.select(F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(id).alias("h"))
@@ -216,18 +220,17 @@ def train(
     if not rows:
         return None
     languages = sorted(r["lang"] for r in rows)
-    # enough hashes to hold DOCUMENTS of each, so that few rows are sorted
-    shares = {r["lang"]: min(1.0, (2 * DOCUMENTS + 50) / r["count"]) for r in rows}
-    drawn = F.lit(False)
-    for name, share in shares.items():
-        drawn = drawn | ((F.col("lang") == name) & (F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))))
-    words = F.split(F.trim("t"), r"\s+")
-    known = known.filter(drawn).withColumn("w", words)
+    each = max(1, min(DOCUMENTS, ALL_DOCUMENTS // len(rows)))
+    # enough hashes to hold so many of each, so that few rows are sorted
+    shares = [(r["lang"], int(min(1.0, (2 * each + 50) / r["count"]) * (1 << 30))) for r in rows]
+    shares = df.sparkSession.createDataFrame(shares, "lang string, share long")  # LANGUAGES rows at most
+    known = known.join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share"))
+    known = known.withColumn("w", F.regexp_extract_all("t", F.lit(rf"\S{{1,{LONGEST}}}"), F.lit(0)))
     step = F.greatest(F.lit(1), F.ceil(F.size("w") / SAMPLE_WORDS).cast("int"))
     known = known.withColumn("step", step)
     known = known.select("lang", "h", F.filter("w", lambda w, i: i % F.col("step") == 0).alias("w"))
     order = Window.partitionBy("lang").orderBy("h", F.xxhash64("w"))
-    few = known.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= DOCUMENTS)
+    few = known.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= each)
     sample = sorted((r["lang"], r["k"], r["w"]) for r in few.select("lang", "k", "w").collect())
     own: dict[str, list[bytes]] = {name: [] for name in languages}
     for name, _, found in sample:
