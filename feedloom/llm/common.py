@@ -88,19 +88,6 @@ def map_arrow(
     return source.mapInArrow(run, schema).toDF(*keep, *made.names)
 
 
-_HELD: dict = {}
-
-
-def held(make: Callable, *args):
-    """``make(*args)``, made once a worker and kept until it needs another model: what one
-    stage has learnt does not stay in memory through the next."""
-    key = (make, *args)
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = make(*args)
-    return _HELD[key]
-
-
 class Memo:
     """What was computed for a key, for the keys met last: two generations of at most about
     ``size`` entries. Forgetting costs time only: a key is computed anew."""

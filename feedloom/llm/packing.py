@@ -7,11 +7,12 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from feedloom.llm.common import Memo, held, map_arrow
+from feedloom.llm.common import Memo, map_arrow
 
 #: Words that the library encodes in one call.
 GROUP = 64
@@ -93,9 +94,10 @@ class Words:
         return [b"".join(found) for found in self.memo.values(cut)]
 
 
+@lru_cache(maxsize=2)
 def words(path: str) -> Words:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are parallel already
-    return held(Words, path)
+    return Words(path)
 
 
 def piece_lengths(n: int, largest: int) -> list[int]:
