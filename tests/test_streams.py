@@ -128,3 +128,51 @@ def test_ids_keep_every_bit(spark, tmp_path):
     held = state.expiring_state(stream(), ["k"], "id", ["id"], 3600)
     out = run(spark, held, "update", tmp_path / "e")
     assert {(r.k, r.id, r.previous) for r in out.collect()} == {("a", None, None), ("b", big + 2, None), ("b", None, big + 2)}
+
+
+def swept(rows, ttl, delay=0):
+    """What ``sweeping_state`` says, by the rows of each batch: (t, key, value)."""
+    held, out, mark = {}, [], None
+    for batch in rows:
+        last = {}
+        for t, k, v in sorted(batch):
+            last[k] = (t, v)
+        for k, (t, v) in last.items():
+            before = None
+            if k in held:
+                t0, v0 = held[k]
+                if (t, v) < (t0, v0):
+                    continue
+                if t0 + ttl <= t:
+                    out.append((k, v0, None, "expired", t0 + ttl))
+                else:
+                    before = v0
+            held[k] = (t, v)
+            out.append((k, v, before, "set", t))
+        for k, (t, v) in list(held.items()):
+            if mark is not None and t + ttl < mark:
+                out.append((k, v, None, "expired", t + ttl))
+                del held[k]
+        mark = max([mark or 0, *(t - delay for t, _, _ in batch)])
+    return sorted(map(str, out)), held
+
+
+@pytest.mark.parametrize("ttl, delay", [(300, 0), (40, 0), (2000, 30), (90, 100)])
+def test_expired_values_are_told(spark, tmp_path, ttl, delay):
+    rng = random.Random(ttl)
+    batches = []
+    for part in range(6):
+        rows = [(rng.randrange(part * 100, part * 100 + 100), f"k{rng.randrange(6 if part % 2 else 12)}", rng.choice("abc")) for _ in range(25)]
+        batches.append(rows + [(5, "k1", "late")])
+        frame = spark.createDataFrame([(k, v, t) for t, k, v in batches[-1]], "k string, v string, t long")
+        frame.withColumn("ts", F.timestamp_millis(F.col("t") * 1000)).drop("t").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = ingest.read_stream(spark, str(tmp_path / "in"), "k string, v string, ts timestamp", files_per_trigger=1)
+    out = run(spark, state.sweeping_state(stream, ["k"], "v", "ts", ttl, f"{delay} seconds", ["v"]), "update", tmp_path)
+    got = sorted(str((r.k, r.v, r.previous, r.event, r["at"] // 1000)) for r in out.collect())
+    want, held = swept(batches, ttl, delay)
+    assert got == want
+    keys = {r.key.k for r in state.held_keys(spark, str(tmp_path / "cp")).collect()}
+    assert keys == set(held)
+    assert {r.key.k for r in state.held_keys(spark, str(tmp_path / "cp"), "*k1*").collect()} == {k for k in held if "k1" in k}
+    with pytest.raises(ValueError):
+        state.sweeping_state(stream, ["k"], "v", "ts", 0)
