@@ -243,7 +243,8 @@ def keyword_hits_many_last(spark, d):
     return hits.groupBy("id", "source_keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
-_OWN_WORDS = r"SELECT DISTINCT regexp_extract(text, '^([A-Za-z]{4,8}) ', 1) AS k FROM benchmark"
+_FIRST_WORD = "([^ \\t\\n]+)"
+_OWN_WORDS = f"SELECT DISTINCT regexp_extract(text, '{_FIRST_WORD}', 1) AS k FROM benchmark"
 
 
 @query(
@@ -252,8 +253,8 @@ _OWN_WORDS = r"SELECT DISTINCT regexp_extract(text, '^([A-Za-z]{4,8}) ', 1) AS k
         AND contains(lower(text), lower(k))""",
 )
 def keyword_hits_table(spark, d):
-    """Keywords from a table, of any number: the equi-join on grams."""
-    first = F.regexp_extract("text", "^([A-Za-z]{4,8}) ", 1)
+    """Keywords from a table, the first word of every benchmark text: the equi-join on grams."""
+    first = F.regexp_extract("text", _FIRST_WORD, 1)
     keywords = table(spark, d, "benchmark").select(first.alias("source_keyword")).where("source_keyword <> ''")
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     hits = fl.keyword_search(docs, keywords.distinct(), ["text"], key=["doc_id"])

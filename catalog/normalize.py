@@ -891,13 +891,13 @@ def canonical_creators(spark, d):
 
 @query(
     "canonical_keeps_lists",
-    r"""SELECT 'xhs' AS platform, 'n' || doc_id AS content_id, [lang || ', ' || source, '话题'] AS tags,
-         CASE WHEN doc_id % 4 = 0 THEN [] ELSE ['https://h/a,' || doc_id || '.jpg', 'b'] END AS image_urls, [] AS media_urls,
+    r"""SELECT 'xhs' AS platform, 'n' || doc_id AS content_id, lang || ', ' || source || '|话题' AS tags,
+         CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'https://h/a,' || doc_id || '.jpg|b' END AS image_urls, '' AS media_urls,
          CASE WHEN doc_id % 2 = 0 THEN n_chars END AS like_count,
          CASE WHEN doc_id % 2 = 1 THEN n_chars || '.2万' END AS raw_likes FROM documents
-       UNION ALL SELECT 'dy', doc_id::VARCHAR, NULL, ['https://h/i,' || doc_id || '.jpg', 'j'], ['https://v/a,' || doc_id || '.mp4'],
+       UNION ALL SELECT 'dy', doc_id::VARCHAR, NULL, 'https://h/i,' || doc_id || '.jpg|j', 'https://v/a,' || doc_id || '.mp4',
          n_chars, NULL FROM documents
-       UNION ALL SELECT 'ks', doc_id::VARCHAR, NULL, NULL, ['https://v/k,' || doc_id || '.mp4'],
+       UNION ALL SELECT 'ks', doc_id::VARCHAR, NULL, NULL, 'https://v/k,' || doc_id || '.mp4',
          CASE WHEN doc_id % 3 > 0 THEN n_chars END, CASE WHEN doc_id % 3 = 0 THEN n_chars || '万+' END FROM documents""",
 )
 def canonical_keeps_lists(spark, d):
@@ -935,7 +935,8 @@ def canonical_keeps_lists(spark, d):
         F.try_element_at("extra", F.lit("liked_count")), F.try_element_at("extra", F.lit("viewd_count"))
     )
     return content.select(
-        "platform", "content_id", "tags", "image_urls", "media_urls", count.alias("like_count"), raw.alias("raw_likes")
+        "platform", "content_id", *[F.array_join(x, "|").alias(x) for x in ("tags", "image_urls", "media_urls")],
+        count.alias("like_count"), raw.alias("raw_likes"),
     )
 
 

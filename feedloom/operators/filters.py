@@ -12,11 +12,16 @@ from pyspark.sql.types import DataType, StructType
 from feedloom.functions.codes import KIND_CODES, PUBLISH_WINDOWS, WINDOW_CODES
 from feedloom.functions.nested import ColumnOrName, col, present
 from feedloom.functions.times import check_days
+from feedloom.operators.bloom import semi_filtered
+from feedloom.operators.dictionary import containing
 from feedloom.operators.skew import balanced_join
 
 # Up to this many keywords are tested in one projection, without any join.
 INLINE_KEYWORDS = 200
 GRAM = 3
+# Counters of the sketch of gram frequencies, and of how many texts one is counted.
+GRAM_COUNTERS = 1 << 15
+SAMPLED = 64
 
 
 # --- by type --------------------------------------------------------------
@@ -194,9 +199,10 @@ def keyword_search(
     ``mode='all'`` gives one row per hit, ``mode='last'`` one row per input row with
     the last keyword that hits; either way the input's columns and the keyword. A short
     list is tested inside one projection: no join, no shuffle. A long list or a DataFrame
-    (columns ``source_keyword`` and, for 'last', ``keyword_pos``) goes through an equi-join
-    on character grams. The rows are the same: repeated rows are rows each, and ``key``,
-    the columns that identify a row, is not needed for either.
+    (columns ``source_keyword`` and, for 'last', ``keyword_pos``) of any size goes through an
+    equi-join on character grams; on a stream, where that would be state, through a trie that
+    every worker holds. The rows are the same: repeated rows are rows each, and ``key``, the
+    columns that identify a row, is not needed for either.
     """
     if mode not in ("all", "last"):
         raise ValueError(f"unknown keyword mode {mode!r}")
@@ -208,7 +214,8 @@ def keyword_search(
         keywords = df.sparkSession.createDataFrame(rows, "source_keyword string, keyword_pos int")
     if mode == "last" and "keyword_pos" not in keywords.columns:
         raise ValueError("mode 'last' needs keyword_pos, the keywords' order")
-    return _gram_search(df, keywords, text_cols, mode)
+    search = _trie_search if df.isStreaming else _gram_search
+    return search(df, keywords, text_cols, mode)
 
 
 def _haystack(text_cols: Sequence[str]) -> Column:
@@ -234,40 +241,84 @@ def _inline_search(
     return spotted.withColumn("source_keyword", every).drop("_text")
 
 
-def _gram_search(df: DataFrame, keywords: DataFrame, text_cols: Sequence[str], mode: str) -> DataFrame:
-    """A text that holds a keyword holds the keyword's leading gram.
-
-    Each row meets the keywords once for each of its grams that begins one, and is checked
-    where it meets them: texts are not joined back.
-    """
+def _unique(keywords: DataFrame) -> DataFrame:
+    """Each keyword once, with its last place in the list if it has any."""
     if "keyword_pos" in keywords.columns:
         unique = keywords.groupBy("source_keyword").agg(F.max("keyword_pos").alias("keyword_pos"))
     else:
         unique = keywords.select("source_keyword").distinct()
-    needles = unique.where(F.length("source_keyword") > 0).withColumns(
-        {
-            "_needle": F.lower("source_keyword"),
-            "_gram": F.substring(F.lower("source_keyword"), 1, GRAM),
-        }
+    return unique.where(F.length("source_keyword") > 0)
+
+
+def _trie_search(df: DataFrame, keywords: DataFrame, text_cols: Sequence[str], mode: str) -> DataFrame:
+    """Keywords looked up text by text: no join, no state."""
+    unique = _unique(keywords)
+    pos = F.col("keyword_pos") if "keyword_pos" in unique.columns else F.lit(0)
+    found = containing(
+        df.sparkSession, unique.select("source_keyword", F.lower("source_keyword").alias("needle"), pos.alias("pos"))
     )
+    spotted = df.withColumn("_hits", found(_haystack(text_cols)))
+    if mode == "last":
+        tagged = spotted.withColumn("source_keyword", F.try_element_at("_hits", F.lit(-1)))
+        return tagged.where(F.col("source_keyword").isNotNull()).drop("_hits")
+    return spotted.withColumn("source_keyword", F.explode("_hits")).drop("_hits")
+
+
+def _gram_counts(body: DataFrame) -> Column:
+    """How often grams occur in a sample of the texts, by GRAM_COUNTERS counters: one bounded
+    value. It serves to choose grams only; results do not depend on it."""
+    sample = body.where(F.pmod(F.xxhash64("_text"), F.lit(SAMPLED)) == 0)
+    cut = F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+    grams = sample.select(F.explode(cut).alias("g"))
+    counts = grams.groupBy(_counter(F.col("g")).alias("c")).agg(F.count("*").alias("n"))
+    every = body.sparkSession.range(GRAM_COUNTERS).select(F.col("id").alias("c"))
+    dense = every.join(counts, "c", "left").select("c", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+    listed = dense.agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("l"))
+    return listed.select(F.transform("l", lambda x: x["n"]).alias("n")).scalar()
+
+
+def _counter(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(GRAM_COUNTERS))
+
+
+def _rarest_gram(needle: Column, counts: Column) -> Column:
+    """The gram of a keyword that the sampled texts hold least often, the first of equals; all
+    of a keyword shorter than a gram."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(needle) - GRAM + 1, F.lit(1)))
+
+    def weighed(i: Column) -> Column:
+        gram = F.substring(needle, i, F.lit(GRAM))
+        return F.struct(F.element_at(counts, (_counter(gram) + 1).cast("int")).alias("n"), i.alias("i"), gram.alias("g"))
+
+    return F.array_min(F.transform(places, weighed))["g"]
+
+
+def _gram_search(df: DataFrame, keywords: DataFrame, text_cols: Sequence[str], mode: str) -> DataFrame:
+    """A text that holds a keyword holds each of its grams, also the one that texts hold least.
+
+    Each row meets the keywords once for each of its grams that stands for one, and is
+    checked where it meets them: texts are not joined back. A Bloom filter of those grams,
+    a bounded value, drops the others before they are exchanged.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     body = df.select(row.alias("_row"), _haystack(text_cols).alias("_text"))
     if mode == "last":
         body = body.withColumn("_id", F.monotonically_increasing_id())
+    unique = _unique(keywords).withColumn("_needle", F.lower("source_keyword"))
+    # a column first: a subquery cannot stand inside a lambda
+    counted = unique.withColumn("_counts", _gram_counts(body))
+    needles = counted.withColumn("_gram", _rarest_gram(F.col("_needle"), F.col("_counts"))).drop("_counts")
+    grams_of = needles.agg(F.count("*").alias("n"), F.collect_set(F.length("_gram")).alias("lengths")).first()
+    lengths = [n for n in range(1, GRAM + 1) if n in grams_of.lengths]  # GRAM at most
+    if not lengths:
+        return df.withColumn("source_keyword", F.lit(None).cast("string")).where(F.lit(False))
 
-    # At most as many values as there are texts of GRAM characters.
-    leading = needles.agg(F.collect_set("_gram").alias("g")).scalar()
-    lengths = needles.agg(F.collect_set(F.length("_gram")).alias("n")).scalar()
-
-    def grams(n: int) -> Column:
-        # A look-ahead matches at every character: one pass gives overlapping grams.
-        # Lengths that no keyword needs are not cut at all.
-        cut = F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-        none = F.array().cast("array<string>")
-        return F.when(F.array_contains(lengths, F.lit(n)), cut).otherwise(none)
-
-    all_grams = F.concat(*[grams(n) for n in range(1, GRAM + 1)])
-    met = body.withColumn("_gram", F.explode(F.array_intersect(all_grams, leading)))
+    # A look-ahead matches at every character: one pass gives overlapping grams. Lengths
+    # that no keyword needs are not cut at all.
+    cuts = [F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
+    grams = F.array_distinct(F.concat(*cuts) if len(cuts) > 1 else cuts[0])
+    met = body.withColumn("_gram", F.explode(grams))
+    met = semi_filtered(met, needles.select("_gram").distinct(), ["_gram"], grams_of.n)
     checked = balanced_join(met, needles, ["_gram"]).where(F.contains(F.col("_text"), F.col("_needle")))
     if mode == "last":
         checked = checked.groupBy("_id").agg(

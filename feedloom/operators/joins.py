@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from feedloom.functions.nested import ColumnOrName, col, zip_columns
 from feedloom.functions.text import IMAGE_HOSTS
+from feedloom.operators.bloom import semi_filtered
 from feedloom.operators.ranking import first_n
 from feedloom.operators.skew import balanced_join
+from feedloom.session import is_small
 
 
 def details(content: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
@@ -21,10 +23,24 @@ def details(content: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
 def missing(seeds: DataFrame, content: DataFrame, key: str) -> DataFrame:
     """Seeds without a content.
 
-    Only the key column of the contents is read, and each mapper sends a key once: a
-    creator with very many contents costs no task much. The join reuses that shuffle.
+    Only the key column of the contents is read, and of its rows only those that may be a
+    seed's are exchanged, each mapper sending a key once: a creator with very many contents
+    costs no task much. Seeds that Catalyst can broadcast, and streams, need no filter; a
+    seed without a key is missing.
     """
-    return seeds.join(content.select(key).distinct(), [key], "left_anti")
+    keys = wanted_only(content.select(key), seeds.select(key), key)
+    return seeds.join(keys.distinct(), [key], "left_anti")
+
+
+def wanted_only(content: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
+    """The contents whose ``key`` is a seed's, and few others: small seeds are joined where the
+    contents are read, larger ones become a Bloom filter there."""
+    if content.isStreaming or seeds.isStreaming:
+        return content
+    distinct = seeds.select(key).na.drop().distinct()
+    if is_small(seeds):
+        return content.join(F.broadcast(distinct), [key], "left_semi")
+    return semi_filtered(content, distinct, [key], distinct.count())
 
 
 def contents_of(
@@ -42,10 +58,14 @@ def contents_of(
 
     ``scatter_by`` is the content id: it spreads the contents of a hot creator.
 
-    The cap comes first: it is pruned map-side, so the join sees the survivors only.
+    Contents of other creators are dropped where they are read, as far as a filter of the
+    creators can tell them; then the cap is pruned map-side, so the join sees the survivors.
     """
     if kinds:
         content = content.where(F.col(kind_col).isin(*kinds))
+    if limit:
+        named = creators.select(F.col(creator_key).alias(content_creator))
+        content = wanted_only(content, named, content_creator)
     if limit:
         if not order:
             raise ValueError("a cap needs an order")

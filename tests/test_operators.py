@@ -271,3 +271,48 @@ def test_sort_codes_of_platforms(spark):
     df = spark.createDataFrame([("a", 1, 5), ("b", 9, 1)], "content_id string, like_count int, created_ts int")
     first = {code: od.order_content(df, code).first().content_id for code in (("xhs", "popularity_descending"), ("tieba", "1"), ("tieba", "0"))}
     assert first == {("xhs", "popularity_descending"): "b", ("tieba", "1"): "a", ("tieba", "0"): "b"}
+
+
+@pytest.mark.parametrize("mode", ["all", "last"])
+def test_many_keywords_on_batch_and_stream(spark, tmp_path, mode):
+    """More keywords than one projection tests: the same rows from grams and from the trie."""
+    import random
+
+    from feedloom.operators import filters as fl
+    from feedloom.streaming import ingest
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdé的 ") for _ in range(rng.randint(1, n)))
+    keywords = list(dict.fromkeys(word(6).upper() for _ in range(400)))
+    rows = [(i, word(40)) for i in range(300)] + [(300, None), (301, "")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    path = str(tmp_path / "in")
+    df.repartition(3).write.parquet(path)
+    want = []
+    for i, t in rows:
+        hits = [k for k in keywords if t and k.lower() in t.lower()]
+        want += [(i, k) for k in (hits if mode == "all" else hits[-1:])]
+    assert len([k for k in keywords if k]) > fl.INLINE_KEYWORDS
+    batch = fl.keyword_search(df, keywords, ["text"], mode).select("id", "source_keyword")
+    assert sorted(map(tuple, batch.collect())) == sorted(want)
+    stream = ingest.read_stream(spark, path, "id int, text string", files_per_trigger=1)
+    found = []
+    tagged = fl.keyword_search(stream, keywords, ["text"], mode).select("id", "source_keyword")
+    ingest.stream_ingest(tagged, lambda b, _: found.extend(map(tuple, b.collect())), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(found) == sorted(want)
+
+
+def test_very_many_keywords(spark):
+    """Two hundred thousand keywords: one exchange by gram, and the sketch's size is fixed."""
+    from feedloom.operators import filters as fl
+
+    keywords = spark.range(200_000).select(F.concat(F.lit("the key "), F.hex(F.col("id") * 7919)).alias("source_keyword"))
+    texts = spark.range(400).select("id", F.concat(F.lit("x the key "), F.hex(F.col("id") * 7919 * 400), F.lit(" end")).alias("text"))
+    hits = fl.keyword_search(texts, keywords, ["text"])
+    got = {(r.id, r.source_keyword) for r in hits.select("id", "source_keyword").collect()}
+    names = {f"the key {i * 7919:X}" for i in range(200_000)}
+    want = set()
+    for i in range(400):
+        code = f"{i * 7919 * 400:X}"
+        want |= {(i, f"the key {code[:n]}") for n in range(1, len(code) + 1) if f"the key {code[:n]}" in names}
+    assert got == want
