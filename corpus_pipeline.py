@@ -12,27 +12,32 @@ from feedloom.llm.queries import learned
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without the lines that failed."""
+    """Documents that the rules keep, without the lines that failed. NULL texts and texts
+    without words are rejected; repeated rows are judged each; no documents give none."""
     return rules.clean(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
+    """Documents whose language can be told. NULL texts and texts without a letter have none
+    and go, as do all where no language can be learnt; repeated rows stay each."""
     return language.keep_known(docs, learned())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the smallest id; of rows that repeat
+    it one. Texts without words, NULL too, are copies of none and stay."""
     return jaccard.representatives(docs)
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without personal data and what discloses it."""
+    """Texts without personal data and what discloses it. All documents stay; a NULL text
+    stays NULL, and repeated rows count once as evidence."""
     return pii.clean(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of power-of-two length, with their ids."""
+    """Sequences of power-of-two length, with their ids. A NULL or empty text is a sequence of
+    the end id alone; repeated rows are documents each; no documents give no sequence."""
     # workers hold what earlier stages took of their memory
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), at_once=400)
 
