@@ -96,6 +96,16 @@ def in_day_range(spark, d):
     return fl.in_day_range(table(spark, d, "events"), "ts", "2024-01-05", "2024-01-12").select("event_id", "ts")
 
 
+@query(
+    "in_day_range_of_zone",
+    """SELECT event_id, ts FROM events
+       WHERE ts >= TIMESTAMP '2024-01-04 16:00:00' AND ts < TIMESTAMP '2024-01-12 16:00:00'""",
+)
+def in_day_range_of_zone(spark, d):
+    events = table(spark, d, "events")
+    return fl.in_day_range(events, "ts", "2024-01-05", "2024-01-12", "Asia/Shanghai").select("event_id", "ts")
+
+
 @query(
     "published_within",
     """SELECT o_orderkey, 'three_months' AS span FROM orders

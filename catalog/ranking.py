@@ -1,5 +1,7 @@
 """Caps, pages, quotas, named orders."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from catalog.base import query, table
@@ -235,3 +237,63 @@ def comment_orders(spark, d):
         )
         out = part if out is None else out.unionByName(part)
     return out
+
+
+_MORE_ORDERS = {
+    "general": "hits DESC, o_orderdate DESC", "most_clicked": "o_custkey DESC", "most_danmaku": "danmaku DESC",
+    "most_collected": "collected DESC",
+}
+_MORE_SQL = " UNION ALL ".join(
+    f"""SELECT '{name}' AS how, o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (
+      PARTITION BY o_orderpriority ORDER BY {by}, o_orderkey) AS rn FROM o) WHERE rn <= 30"""
+    for name, by in _MORE_ORDERS.items()
+)
+
+
+@query(
+    "content_orders_more",
+    f"""WITH o AS (SELECT *, o_orderkey % 89 AS danmaku, o_orderkey % 97 AS collected,
+      (len(body) - len(replace(body, '1', ''))) AS hits FROM (SELECT *, o_orderkey::VARCHAR AS body FROM orders)) {_MORE_SQL}""",
+)
+def content_orders_more(spark, d):
+    """The first contents of each group in the orders that the query above leaves out."""
+    key = F.col("o_orderkey")
+    orders = table(spark, d, "orders").withColumns(
+        {"danmaku": key % 89, "collected": key % 97, "body": key.cast("string"), "source_keyword": F.lit("1")}
+    )
+    columns = {
+        "created_ts": "o_orderdate", "view_count": "o_custkey", "danmaku_count": "danmaku", "collect_count": "collected",
+    }
+    parts = [
+        rk.first_n(orders, ["o_orderpriority"], od.content_order(ContentOrder(name), "o_orderkey", columns), 30).select(
+            F.lit(name).alias("how"), "o_orderpriority", "o_orderkey"
+        )
+        for name in _MORE_ORDERS
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query(
+    "comments_by_heat_then_time",
+    """SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
+         ORDER BY l_quantity DESC, l_shipdate DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem)
+       WHERE rn <= 2""",
+)
+def comments_by_heat_then_time(spark, d):
+    columns = {"like_count": "l_quantity", "created_ts": "l_shipdate"}
+    order = od.comment_order(CommentOrder.HEAT_THEN_TIME, "l_linenumber", columns)
+    tie = [F.col(c) for c in ("l_partkey", "l_suppkey", "l_extendedprice")]
+    return rk.first_n(table(spark, d, "lineitem"), ["l_orderkey"], [*order, *tie], 2).select(
+        "l_orderkey", "l_linenumber", "l_partkey"
+    )
+
+
+@query(
+    "first_n_in_pieces",
+    """SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn
+       FROM events) WHERE rn <= 600""",
+)
+def first_n_in_pieces(spark, d):
+    """A cap between 201 and 1000: salted pieces first."""
+    events = table(spark, d, "events").select("event_type", "event_id", "ts")
+    return rk.first_n(events, ["event_type"], [F.col("ts"), F.col("event_id")], 600).drop("ts")

@@ -69,16 +69,16 @@ def records_quarantine(spark, d):
 
 @query(
     "tieba_quarantine",
-    """SELECT '' AS note_id, 'missing:note_id,missing:title,missing:tieba_name' AS problems, count(*)::BIGINT AS n
+    """SELECT '' AS forum, 'missing:note_id,missing:title,missing:tieba_name' AS problems, count(*)::BIGINT AS n
        FROM orders WHERE o_orderstatus = 'P' HAVING count(*) > 0
-       UNION ALL SELECT 'valid', '', count(*) FROM orders""",
+       UNION ALL SELECT 'bar' || o_orderstatus, '', count(*) FROM orders GROUP BY 1""",
 )
 def tieba_quarantine(spark, d):
     """Search results of pages: blocks without an id, a title or a forum are no notes."""
     path = shared_path(spark, "tieba-checked")
     notes = tieba_search.__wrapped__(spark, d)
     rec.land_checked(rec.check_columns(notes, rec.TIEBA_REQUIRED["note"]), path)
-    bad = rec.read_quarantine(spark, path, ["note_id"]).withColumn("problems", F.array_join("problems", ","))
-    bad = bad.groupBy("note_id", "problems").agg(F.count("*").alias("n"))
-    good = rec.read_valid(spark, path).agg(F.count("*").alias("n"))
-    return bad.unionByName(good.select(F.lit("valid").alias("note_id"), F.lit("").alias("problems"), "n"))
+    forum = F.col("tieba_name").alias("forum")
+    bad = rec.read_quarantine(spark, path, ["tieba_name"]).select(forum, F.array_join("problems", ",").alias("problems"))
+    good = rec.read_valid(spark, path).select(forum, F.lit("").alias("problems"))
+    return bad.unionByName(good).groupBy("forum", "problems").agg(F.count("*").alias("n"))

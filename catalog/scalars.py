@@ -368,6 +368,20 @@ def day_bounds(spark, d):
     )
 
 
+@query(
+    "day_bounds_of_zones",
+    """SELECT o_orderkey, epoch(o_orderdate::DATE)::BIGINT - 28800 AS china_begin, epoch(o_orderdate::DATE)::BIGINT + 57599 AS china_end,
+         epoch(o_orderdate::DATE)::BIGINT - 19800 AS india_begin FROM orders""",
+)
+def day_bounds_of_zones(spark, d):
+    return table(spark, d, "orders").select(
+        "o_orderkey",
+        times.day_begin("o_orderdate", "+08:00").alias("china_begin"),
+        times.day_end("o_orderdate", "+08:00").alias("china_end"),
+        times.day_begin("o_orderdate", "Asia/Kolkata").alias("india_begin"),
+    )
+
+
 @query(
     "day_series",
     """SELECT x::DATE AS day, count(event_id)::BIGINT AS n

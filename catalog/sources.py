@@ -9,7 +9,7 @@ from feedloom.operators.sets import union_sources
 from feedloom.session import shared_path
 from feedloom.sources.pages import PageSpec, Take, at, parse_html
 from feedloom.sources.responses import explode_payload, read_responses, unwrap_envelope
-from feedloom.sources.tables import first_row, lookup, read_json_array, read_table
+from feedloom.sources.tables import first_row, lookup, read_json_array, read_pages, read_table
 
 
 def _body(platform):
@@ -186,3 +186,11 @@ def json_arrays(spark, d):
 )
 def tokens_per_document(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(tokens("text")).alias("n"))
+
+
+@query("pages_read", "SELECT page_id, url, length(html)::BIGINT AS n_chars FROM pages")
+def pages_read(spark, d):
+    """The page table through its reader."""
+    return read_pages(spark, f"{d}/pages.parquet").select(
+        "page_id", "url", F.length("html").cast("bigint").alias("n_chars")
+    )

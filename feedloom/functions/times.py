@@ -88,14 +88,17 @@ def check_days(start: str, end: str) -> tuple[str, str]:
     return start, end
 
 
-def day_begin(c: ColumnOrName) -> Column:
-    """Epoch seconds of the first second of a day."""
-    return F.unix_date(col(c).cast("date")).cast("bigint") * 86400
+def day_begin(c: ColumnOrName, zone: str = "UTC") -> Column:
+    """Epoch seconds of the first second of a day in a zone."""
+    midnight = F.unix_date(col(c).cast("date")).cast("bigint") * 86400
+    if zone == "UTC":
+        return midnight
+    return F.unix_timestamp(F.to_utc_timestamp(F.timestamp_seconds(midnight), zone))
 
 
-def day_end(c: ColumnOrName) -> Column:
-    """Epoch seconds of the last second of a day."""
-    return day_begin(c) + 86399
+def day_end(c: ColumnOrName, zone: str = "UTC") -> Column:
+    """Epoch seconds of the last second of a day in a zone, also where clocks change on it."""
+    return day_begin(F.date_add(col(c).cast("date"), 1), zone) - 1
 
 
 def day_series(start: str, end: str) -> Column:

@@ -40,7 +40,7 @@ class Bloom:
         # one row a word, at most 2 ** (MOST_BITS - 6); words without a bit are filled in
         every = df.sparkSession.range(1 << (self.bits - 6)).select(F.col("id").alias("w"))
         dense = every.join(words, "w", "left").select("w", F.coalesce("v", F.lit(0).cast("bigint")).alias("v"))
-        listed = dense.agg(F.array_sort(F.collect_list(F.struct("w", "v"))).alias("l"))
+        listed = dense.agg(F.array_sort(F.collect_set(F.struct("w", "v"))).alias("l"))
         self.frame = listed.select(F.transform("l", lambda x: x["v"]).alias("words"))
 
     def share(self) -> float:

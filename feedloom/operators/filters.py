@@ -11,7 +11,7 @@ from pyspark.sql.types import DataType, StructType
 
 from feedloom.functions.codes import KIND_CODES, PUBLISH_WINDOWS, WINDOW_CODES
 from feedloom.functions.nested import ColumnOrName, col, present
-from feedloom.functions.times import check_days
+from feedloom.functions.times import check_days, day_begin
 from feedloom.operators.bloom import semi_filtered
 from feedloom.operators.dictionary import containing
 from feedloom.operators.skew import balanced_join
@@ -142,15 +142,19 @@ def conform(
 # --- by time --------------------------------------------------------------
 
 
-def in_day_range(df: DataFrame, ts: ColumnOrName, start: str, end: str) -> DataFrame:
-    """Rows of the days from start to end, both whole.
+def in_day_range(df: DataFrame, ts: ColumnOrName, start: str, end: str, zone: str = "UTC") -> DataFrame:
+    """Rows of the days from start to end, both whole, as days of a zone.
 
-    Bounds are typed literals, so the predicate reaches the scan.
+    Bounds fold to typed literals, so the predicate reaches the scan. Zone-less timestamps
+    are read as UTC.
     """
     check_days(start, end)
     kind = _timestamp_type(df, ts)
-    low = F.lit(f"{start} 00:00:00").cast(kind)
-    high = F.date_add(F.lit(end).cast("date"), 1).cast(kind)
+
+    def bound(day: Column) -> Column:
+        return F.timestamp_seconds(day_begin(day, zone)).cast(kind)
+
+    low, high = bound(F.lit(start).cast("date")), bound(F.date_add(F.lit(end).cast("date"), 1))
     return df.where((col(ts) >= low) & (col(ts) < high))
 
 
@@ -273,7 +277,7 @@ def _gram_counts(body: DataFrame) -> Column:
     counts = grams.groupBy(_counter(F.col("g")).alias("c")).agg(F.count("*").alias("n"))
     every = body.sparkSession.range(GRAM_COUNTERS).select(F.col("id").alias("c"))
     dense = every.join(counts, "c", "left").select("c", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
-    listed = dense.agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("l"))
+    listed = dense.agg(F.array_sort(F.collect_set(F.struct("c", "n"))).alias("l"))
     return listed.select(F.transform("l", lambda x: x["n"]).alias("n")).scalar()
 
 

@@ -164,9 +164,12 @@ def daily_quota(
     end: str,
     per_day: Optional[int] = None,
     total: Optional[int] = None,
+    zone: str = "UTC",
 ) -> DataFrame:
-    """Rows of a day range, at most ``per_day`` per day and ``total`` per key, day by day."""
-    out = in_day_range(df, ts, start, end).withColumn("_day", F.to_date(F.col(ts)))
+    """Rows of a day range, at most ``per_day`` per day and ``total`` per key, day by day; days
+    are those of ``zone``."""
+    day = F.to_date(F.col(ts) if zone == "UTC" else F.from_utc_timestamp(F.col(ts), zone))
+    out = in_day_range(df, ts, start, end, zone).withColumn("_day", day)
     if per_day is not None:
         out = ranked(out, [*keys, "_day"], order, per_day, "_rank").drop("_rank")
     if total is not None:

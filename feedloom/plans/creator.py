@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
-from typing import Optional
+from typing import Optional, Union
 
 from pyspark.sql import DataFrame, functions as F
 
-from feedloom.operators.joins import contents_of, missing
+from feedloom.operators.joins import contents_of, details, missing
 from feedloom.operators.ranking import first_n
 from feedloom.operators.sets import contact_edges
+from feedloom.operators.skew import balanced_join
+from feedloom.plans.comments import Discussion, discussion
 
 
 @dataclass(frozen=True)
@@ -19,6 +22,8 @@ class CreatorCaps:
     contents: int = 0
     contacts: int = 100
     activities: int = 50
+    comments_per_content: int = 10
+    replies: bool = False
 
 
 @dataclass(frozen=True)
@@ -27,11 +32,13 @@ class CreatorResult:
     not_found: DataFrame
     edges: Optional[DataFrame]
     activity: Optional[DataFrame]
+    creator: Optional[DataFrame] = None
+    discussion: Optional[Discussion] = None
 
 
 def _of(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """The rows of the wanted authors."""
-    return df.join(wanted.select(F.col("author_id").alias(column)), column, "left_semi")
+    """The rows of the wanted authors; those of a hot one are spread."""
+    return balanced_join(df, wanted.select(F.col("author_id").alias(column)), [column], "left_semi")
 
 
 def creator_run(
@@ -41,9 +48,13 @@ def creator_run(
     followings: Optional[DataFrame] = None,
     activity: Optional[DataFrame] = None,
     caps: CreatorCaps = CreatorCaps(),
+    creator: Optional[DataFrame] = None,
+    comment: Optional[DataFrame] = None,
+    stop: Union[Iterable[str], DataFrame] = (),
 ) -> CreatorResult:
     """``seeds(author_id)``; canonical contents; fan and following edges and activity
-    posts of the seeds."""
+    posts of the seeds; with canonical ``creator`` rows the seeds' profiles (``user_id``), with
+    canonical ``comment`` rows the comments and words of their contents."""
     wanted = seeds.select("author_id").distinct()
     newest = [F.desc("created_ts"), F.col("platform"), F.col("content_id")]
     mine = contents_of(
@@ -62,4 +73,10 @@ def creator_run(
         posts = first_n(
             _of(activity, "user_id", wanted), ["user_id"], [F.desc("pub_ts"), F.col("activity_id")], caps.activities
         )
-    return CreatorResult(mine, missing(wanted, content, "author_id"), edges, posts)
+    profiles = None
+    if creator is not None:
+        profiles = details(creator, wanted.select(F.col("author_id").alias("user_id")), "user_id")
+    said = None
+    if comment is not None:
+        said = discussion(mine, comment, caps.comments_per_content, replies=caps.replies, stop=stop)
+    return CreatorResult(mine, missing(wanted, content, "author_id"), edges, posts, profiles, said)

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
-from typing import Union
+from typing import Optional, Union
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedloom.functions.codes import PAGE_SIZES, REPLIES_COUNT
 from feedloom.operators.filters import keyword_search, split_keywords
-from feedloom.operators.joins import comments_of
-from feedloom.operators.ranking import first_n, first_pages
-from feedloom.operators.words import top_words, word_freq
+from feedloom.operators.ranking import daily_quota, first_pages
+from feedloom.plans.comments import KEYS, discussion
 
 
 BROADCAST_ROWS = 100_000  # most content keys sent to every executor
@@ -27,6 +26,10 @@ class SearchCaps:
     start_page: int = 1
     comments_per_content: int = 10
     count_replies: bool = False
+    replies: bool = False
+    days: Optional[tuple[str, str]] = None
+    contents_per_day: Optional[int] = None
+    zone: str = "UTC"
     top_words: int = 20
 
     @classmethod
@@ -45,6 +48,7 @@ class SearchResult:
     comment: DataFrame
     words: DataFrame
     top: DataFrame
+    replies: Optional[DataFrame] = None
 
 
 def search(
@@ -57,31 +61,33 @@ def search(
     stop: Union[Iterable[str], DataFrame] = (),
     caps: SearchCaps = SearchCaps(),
 ) -> SearchResult:
-    """Canonical content and comment tables in, four result tables out (all lazy).
+    """Canonical content and comment tables in, result tables out (lazy but for replies).
+
+    With ``caps.days`` (first and last day) the contents are those of each day in turn, at
+    most ``contents_per_day`` a day, instead of pages. ``caps.replies`` adds what answers the
+    kept comments, at any depth.
 
     Shuffles: one for the keyword cap, one for the comment cap and one for the counts,
     all pruned or partly aggregated before; the join broadcasts the capped contents
     while the caps keep them few.
     """
-    keys = ["platform", "content_id"]
     order = list(order) or [F.desc("created_ts"), F.col("platform"), F.col("content_id")]
-    comment_order = list(comment_order) or [F.col("created_ts"), F.col("comment_id")]
-    tagged = keyword_search(content, keywords, text_cols, key=keys)
-    capped = first_pages(
-        tagged, ["source_keyword"], order, caps.page_size, caps.contents_per_keyword,
-        caps.start_page,
-    )
-    wanted = capped.select(*keys).distinct()
-    level1 = comment.where(F.col("parent_comment_id").isNull())
-    pages = max(caps.contents_per_keyword, caps.page_size)
-    if pages * len(split_keywords(keywords)) <= BROADCAST_ROWS:
-        # The caps bound the wanted contents, so the comments need not move for the join.
-        found = level1.join(F.broadcast(wanted), keys, "left_semi")
+    tagged = keyword_search(content, keywords, text_cols, key=KEYS)
+    if caps.days:
+        capped = daily_quota(
+            tagged, ["source_keyword"], "created_ts", order, *caps.days, caps.contents_per_day,
+            caps.contents_per_keyword, caps.zone,
+        )
     else:
-        found = comments_of(wanted, level1, keys, scatter_by=["comment_id"])
-    kept = first_n(
-        found, keys, comment_order, caps.comments_per_content,
-        "sub_comment_count" if caps.count_replies else None,
+        capped = first_pages(
+            tagged, ["source_keyword"], order, caps.page_size, caps.contents_per_keyword,
+            caps.start_page,
+        )
+    pages = max(caps.contents_per_keyword, caps.page_size)
+    # The caps bound the wanted contents, so the comments need not move for the join.
+    few = pages * len(split_keywords(keywords)) <= BROADCAST_ROWS
+    found = discussion(
+        capped, comment, caps.comments_per_content, caps.count_replies, caps.replies, comment_order, stop,
+        caps.top_words, few,
     )
-    words = word_freq(kept, "body", stop)
-    return SearchResult(capped, kept, words, top_words(words, caps.top_words))
+    return SearchResult(capped, found.comment, found.words, found.top, found.replies)

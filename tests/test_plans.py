@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from feedloom.plans.creator import CreatorCaps, creator_run
+from feedloom.plans.detail import detail_run
 from feedloom.plans.search import SearchCaps, search
 
 
@@ -55,3 +56,33 @@ def test_caps_of_platforms():
     assert SearchCaps.of("xhs") == SearchCaps(page_size=20, count_replies=True)
     assert SearchCaps.of("tieba", contents_per_keyword=5) == SearchCaps(contents_per_keyword=5, page_size=10)
     assert SearchCaps.of("zhihu").comments_per_content == 0
+
+
+def test_search_by_days_and_with_replies(spark):
+    days = content(spark).withColumn("created_ts", F.timestamp_seconds(F.col("n") * 3600 + 1704067200))
+    caps = SearchCaps(contents_per_keyword=7, days=("2024-01-01", "2024-01-02"), contents_per_day=4, comments_per_content=1, replies=True)
+    result = search(days, comments(spark), "cats", caps=caps, stop=["the"])
+    # the newest four of the first day, then three of the second
+    assert sorted(int(r.content_id[1:]) for r in result.content.collect()) == [20, 21, 22, 23, 45, 46, 47]
+    assert sorted(r.comment_id for r in result.comment.collect()) == sorted(f"m{n}-0" for n in (20, 21, 22, 23, 45, 46, 47))
+    below = result.replies.collect()
+    assert len(below) == 7 * 4 and {(r.depth, r.root_id.endswith("-0")) for r in below} == {(2, True)}
+    assert {r.word: r.n for r in result.words.collect()} == {"word0": 7, "word1": 7, "word3": 7, "word5": 7, "word7": 7}
+
+
+def test_creator_with_comments_and_profile(spark):
+    seeds = spark.createDataFrame([("a1",), ("nobody",)], "author_id string")
+    people = spark.createDataFrame([("a1", "One"), ("a2", "Two")], "user_id string, name string")
+    result = creator_run(seeds, content(spark), caps=CreatorCaps(contents=2, comments_per_content=3), creator=people, comment=comments(spark))
+    assert [r.name for r in result.creator.collect()] == ["One"]
+    assert {r.content_id for r in result.discussion.comment.collect()} == {"c49", "c46"}
+    assert result.discussion.comment.count() == 6 and result.discussion.replies is None
+
+
+def test_detail_run(spark):
+    seeds = spark.createDataFrame([("x", "c1"), ("x", "c1"), ("x", "gone")], "platform string, content_id string")
+    result = detail_run(seeds, content(spark), comments(spark), 2, replies=True)
+    assert [r.content_id for r in result.content.collect()] == ["c1"]
+    assert [tuple(r) for r in result.not_found.collect()] == [("x", "gone")]
+    assert sorted(r.comment_id for r in result.discussion.comment.collect()) == ["m1-0", "m1-2"]
+    assert sorted(r.comment_id for r in result.discussion.replies.collect()) == ["m1-1", "m1-3", "m1-5", "m1-7"]
