@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from decimal import Decimal
 from itertools import combinations

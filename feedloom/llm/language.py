@@ -21,8 +21,9 @@ LONGEST = 24
 HIDDEN = 16
 BATCHES = 900
 BATCH_WORDS = 256
-#: Words whose labels a task remembers.
-REMEMBERED = 500_000
+#: Words whose labels a task remembers, and documents that it works on together.
+REMEMBERED = 300_000
+AT_ONCE = 400
 
 #: Letters of ASCII are lowered, its other characters part words.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -254,16 +255,17 @@ def predict(
 
     def rows(batches: Iterator[list]):
         labeller = Labeller(network) if network is not None else None
-        for (texts,) in batches:
+        for texts, first in ((t.slice(k, AT_ONCE), k) for (t,) in batches for k in range(0, len(t), AT_ONCE)):
             texts = [t or "" for t in texts.to_pylist()]
+            at = list(range(first, first + len(texts)))
             if labeller is None:
-                yield [["und"] * len(texts), [0.0] * len(texts)], None
+                yield [["und"] * len(texts), [0.0] * len(texts)], at
                 continue
             pooled = labeller.pool(texts)
             best, score = pooled.argmax(1).tolist(), pooled.max(1).tolist()
             sure = [s > 0 and has_letter(t) for t, s in zip(texts, score)]
             names = [network.languages[b] if ok else "und" for b, ok in zip(best, sure)]
-            yield [names, [min(1.0, s) if ok else 0.0 for s, ok in zip(score, sure)]], None
+            yield [names, [min(1.0, s) if ok else 0.0 for s, ok in zip(score, sure)]], at
 
     return map_arrow(df, [text], list(keep), "lang_pred string, score double", rows)
 

@@ -116,6 +116,7 @@ def pack(
     end_id: int | None = 2,
     with_ids: bool = True,
     at_once: int = 2000,
+    lasting: bool = True,
 ) -> DataFrame:
     """One row per piece: kept columns, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``,
     ``bucket`` (its length's logarithm), ``ids``, ``sequence_id`` and ``offset``.
@@ -126,7 +127,8 @@ def pack(
     A NULL or empty text is a document of ``end_id`` alone, or without one has no piece.
     Repeated rows are documents of their own; kept columns named as an output give way.
     ``sequence_id`` numbers the rows within their input split; it is the same in each run
-    over the same files. ``at_once`` documents are worked on together: fewer take less memory.
+    over the same files. ``at_once`` documents are worked on together: fewer take less memory;
+    what a worker has learnt outlives a task unless ``lasting`` is False.
     """
     if size < 1 or size & (size - 1):
         raise ValueError("size must be a power of two")
@@ -151,6 +153,8 @@ def pack(
                     at += piece
             bucket = [n.bit_length() - 1 for n in length]
             yield [start, length, crc, total, bucket, *[ids] * with_ids], origin
+        if not lasting:
+            words.cache_clear()
 
     outputs = "start long, length long, ids_crc32 long, doc_tokens long, bucket int"
     keep = tuple(c for c in keep if c not in ("sequence_id", "offset"))
