@@ -38,8 +38,8 @@ def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of power-of-two length, with their ids. A NULL or empty text is a sequence of
     the end id alone; repeated rows are documents each; no documents give no sequence."""
-    # workers hold what earlier stages took of their memory
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), at_once=400)
+    # one application runs all stages, so each leaves little behind in its workers
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), at_once=400, lasting=False)
 
 
 STAGES = [
