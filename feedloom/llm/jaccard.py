@@ -27,6 +27,14 @@ BEST_HEADS = 3
 FEW_LINKS = 50
 
 
+#: Documents whose words are hashed together: a bound of the arrays that a task holds.
+AT_ONCE = 500
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(k, AT_ONCE) for batch in batches for k in range(0, batch.num_rows, AT_ONCE))
+
+
 def _counted(documents: DataFrame, text: str) -> DataFrame:
     """One row a document: ``th`` (hash of the text), ``n_shingles`` and ``sig``, the name of
     its set (NULL for an empty one); and rows of the frequency sketch, ``bucket`` and ``n``."""
@@ -36,7 +44,7 @@ def _counted(documents: DataFrame, text: str) -> DataFrame:
         shift = np.uint64(64 - SKETCH_BITS)
         seen: set[int] = set()
         names = ["id", "th", "n_shingles", "sig", "bucket", "n"]
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, labels = [], []
             for own in shingles.sets(batch.column(2)):
                 label = shingles.label(own) if len(own) else None
@@ -105,7 +113,7 @@ def _prefixes(documents: DataFrame, text: str, sketch: np.ndarray, percent: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - SKETCH_BITS)
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             toks, sigs, infos = [], [], []
             for own in shingles.sets(batch.column(0)):
                 if not len(own):
@@ -160,7 +168,7 @@ def _sets(documents: DataFrame, text: str, names: DataFrame, members: DataFrame,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             labels, found = [], []
             for own in shingles.sets(batch.column(0)):
                 label = shingles.label(own)

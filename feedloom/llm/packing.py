@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from feedloom.llm.common import Memo, map_arrow
 
+#: Words that a memo holds at least where it lasts for one task only.
+SMALL_MEMO = 60_000
 #: Words that the library encodes in one call.
 GROUP = 64
 #: A word of plain Latin letters and marks after it: two tokens of the pre-tokenizer, in
@@ -136,6 +138,8 @@ def pack(
 
     def rows(batches: Iterator[list]):
         model = words(path)
+        if not lasting:
+            model.plain.size = model.memo.size = SMALL_MEMO
         for texts, first in ((t.slice(k, at_once), k) for (t,) in batches for k in range(0, len(t), at_once)):
             origin, start, length, crc, total, ids = [], [], [], [], [], []
             for k, packed in enumerate(model.encode([t or "" for t in texts.to_pylist()]), first):
