@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from operator import add
 from typing import Union
 
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Characters of all entries together, at most: what every worker holds.
 MOST_CHARACTERS = 64 << 20
+#: Up to so many entries that begin alike are sought one by one in a text that has their beginning.
+FEW_ALIKE = 4
 
 _HAN = r"\p{Han}"
 _WORD_CLASS = rf"[[\p{{L}}\p{{N}}]--{_HAN}]"
@@ -41,6 +44,10 @@ class Trie:
                 self.pairs.setdefault(entry[:2], []).append(entry)
         for own in self.pairs.values():
             own.sort(key=lambda w: (-len(w), w))
+        # of many that begin alike: themselves and their lengths
+        self.alike = {
+            at: (set(own), sorted({len(w) for w in own})) for at, own in self.pairs.items() if len(own) > FEW_ALIKE
+        }
         heads = {e[0] for e in (*self.pairs, *self.singles)}
         # places where a token can begin: a word, a Han character, an entry
         odd = "".join(sorted(c for c in heads if not (_WORD_CHAR.match(c) or _HAN_CHAR.match(c))))
@@ -58,9 +65,15 @@ class Trie:
     def found(self, text: str) -> set[str]:
         """All entries that the text contains, wherever they stand."""
         hits = {c for c in self.singles if c in text}
-        pairs = self.pairs
-        for at in {text[i : i + 2] for i in range(len(text) - 1)} & pairs.keys():
-            hits.update(e for e in pairs[at] if e in text)
+        for at in self.pairs.keys() & set(map(add, text, text[1:])):
+            if at not in self.alike:
+                hits.update(e for e in self.pairs[at] if e in text)
+                continue
+            own, lengths = self.alike[at]
+            i = text.find(at)
+            while i >= 0:
+                hits.update(own.intersection([text[i : i + n] for n in lengths]))
+                i = text.find(at, i + 1)
         return hits
 
     def tokens(self, text: str, bigrams: bool) -> list[str]:

@@ -18,6 +18,10 @@ from feedloom.operators.skew import balanced_join
 
 # Up to this many keywords are tested in one projection, without any join.
 INLINE_KEYWORDS = 200
+# Up to so many characters of all keywords every worker holds them, and texts stay where they are.
+TRIE_CHARACTERS = 1 << 20
+# Up to so many the keywords are sent to the texts, not both to each other.
+SENT_CHARACTERS = 8 << 20
 GRAM = 3
 # Counters of the sketch of gram frequencies, and of how many texts one is counted.
 GRAM_COUNTERS = 1 << 15
@@ -202,11 +206,12 @@ def keyword_search(
 
     ``mode='all'`` gives one row per hit, ``mode='last'`` one row per input row with
     the last keyword that hits; either way the input's columns and the keyword. A short
-    list is tested inside one projection: no join, no shuffle. A long list or a DataFrame
-    (columns ``source_keyword`` and, for 'last', ``keyword_pos``) of any size goes through an
-    equi-join on character grams; on a stream, where that would be state, through a trie that
-    every worker holds. The rows are the same: repeated rows are rows each, and ``key``, the
-    columns that identify a row, is not needed for either.
+    list is tested inside one projection: no join, no shuffle. A longer list or a DataFrame
+    (columns ``source_keyword`` and, for 'last', ``keyword_pos``) goes through a trie that every
+    worker holds: no shuffle either. Above TRIE_CHARACTERS it goes, at any size, through an
+    equi-join on character grams, but not on a stream, where that would be state. The rows are
+    the same: repeated rows are rows each, and ``key``, the columns that identify a row, is not
+    needed for either.
     """
     if mode not in ("all", "last"):
         raise ValueError(f"unknown keyword mode {mode!r}")
@@ -218,8 +223,14 @@ def keyword_search(
         keywords = df.sparkSession.createDataFrame(rows, "source_keyword string, keyword_pos int")
     if mode == "last" and "keyword_pos" not in keywords.columns:
         raise ValueError("mode 'last' needs keyword_pos, the keywords' order")
-    search = _trie_search if df.isStreaming else _gram_search
-    return search(df, keywords, text_cols, mode)
+    unique = _unique(keywords)
+    if df.isStreaming or _characters(unique) <= TRIE_CHARACTERS:
+        return _trie_search(df, unique, text_cols, mode)
+    return _gram_search(df, unique, text_cols, mode)
+
+
+def _characters(unique: DataFrame) -> int:
+    return unique.agg(F.coalesce(F.sum(F.length("source_keyword")), F.lit(0))).first()[0]
 
 
 def _haystack(text_cols: Sequence[str]) -> Column:
@@ -254,10 +265,11 @@ def _unique(keywords: DataFrame) -> DataFrame:
     return unique.where(F.length("source_keyword") > 0)
 
 
-def _trie_search(df: DataFrame, keywords: DataFrame, text_cols: Sequence[str], mode: str) -> DataFrame:
+def _trie_search(df: DataFrame, unique: DataFrame, text_cols: Sequence[str], mode: str) -> DataFrame:
     """Keywords looked up text by text: no join, no state."""
-    unique = _unique(keywords)
-    pos = F.col("keyword_pos") if "keyword_pos" in unique.columns else F.lit(0)
+    if mode == "last":
+        unique = unique.where(F.col("keyword_pos").isNotNull())
+    pos = F.col("keyword_pos") if mode == "last" else F.lit(0)
     found = containing(
         df.sparkSession, unique.select("source_keyword", F.lower("source_keyword").alias("needle"), pos.alias("pos"))
     )
@@ -297,20 +309,21 @@ def _rarest_gram(needle: Column, counts: Column) -> Column:
     return F.array_min(F.transform(places, weighed))["g"]
 
 
-def _gram_search(df: DataFrame, keywords: DataFrame, text_cols: Sequence[str], mode: str) -> DataFrame:
+def _gram_search(df: DataFrame, unique: DataFrame, text_cols: Sequence[str], mode: str) -> DataFrame:
     """A text that holds a keyword holds each of its grams, also the one that texts hold least.
 
     Each row meets the keywords once for each of its grams that stands for one, and is
     checked where it meets them: texts are not joined back. A Bloom filter of those grams,
-    a bounded value, drops the others before they are exchanged.
+    a bounded value, drops the others before they are exchanged. Up to SENT_CHARACTERS the
+    keywords are sent to the rows instead, which are not exchanged.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     body = df.select(row.alias("_row"), _haystack(text_cols).alias("_text"))
     if mode == "last":
         body = body.withColumn("_id", F.monotonically_increasing_id())
-    unique = _unique(keywords).withColumn("_needle", F.lower("source_keyword"))
+    named = unique.withColumn("_needle", F.lower("source_keyword"))
     # a column first: a subquery cannot stand inside a lambda
-    counted = unique.withColumn("_counts", _gram_counts(body))
+    counted = named.withColumn("_counts", _gram_counts(body))
     needles = counted.withColumn("_gram", _rarest_gram(F.col("_needle"), F.col("_counts"))).drop("_counts")
     grams_of = needles.agg(F.count("*").alias("n"), F.collect_set(F.length("_gram")).alias("lengths")).first()
     lengths = [n for n in range(1, GRAM + 1) if n in grams_of.lengths]  # GRAM at most
@@ -323,7 +336,11 @@ def _gram_search(df: DataFrame, keywords: DataFrame, text_cols: Sequence[str], m
     grams = F.array_distinct(F.concat(*cuts) if len(cuts) > 1 else cuts[0])
     met = body.withColumn("_gram", F.explode(grams))
     met = semi_filtered(met, needles.select("_gram").distinct(), ["_gram"], grams_of.n)
-    checked = balanced_join(met, needles, ["_gram"]).where(F.contains(F.col("_text"), F.col("_needle")))
+    if _characters(unique) <= SENT_CHARACTERS:
+        joined = met.join(F.broadcast(needles), ["_gram"])
+    else:
+        joined = balanced_join(met, needles, ["_gram"])
+    checked = joined.where(F.contains(F.col("_text"), F.col("_needle")))
     if mode == "last":
         checked = checked.groupBy("_id").agg(
             F.max_by("_row", "keyword_pos").alias("_row"),

@@ -51,3 +51,14 @@ def test_limits(spark, monkeypatch):
         dictionary.with_dictionary(spark, [], "word")
     none = dictionary.with_dictionary(spark, spark.createDataFrame([], "w string"))
     assert spark.createDataFrame([("a 的b",)], "t string").select(none(F.col("t"))).first()[0] == ["a", "的", "b"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_found_everywhere(seed):
+    """Entries that a text contains, few and many that begin alike, overlapping ones too."""
+    rng = random.Random(seed)
+    entries = {text(rng, 5) for _ in range(400)} - {""}
+    trie = dictionary.Trie(entries)
+    assert trie.alike and len(trie.alike) < len(trie.pairs)
+    for t in [text(rng, 60) for _ in range(200)] + ["", "a", "aaaa"]:
+        assert trie.found(t) == {e for e in entries if e in t}

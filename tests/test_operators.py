@@ -302,6 +302,30 @@ def test_many_keywords_on_batch_and_stream(spark, tmp_path, mode):
     assert sorted(found) == sorted(want)
 
 
+@pytest.mark.parametrize("mode", ["all", "last"])
+@pytest.mark.parametrize("held, sent", [(1 << 20, 0), (0, 1 << 20), (0, 0)])
+def test_many_keywords_do_not_move_texts(spark, monkeypatch, mode, held, sent):
+    """Held by the workers, sent to the texts, or met by gram: the same rows; texts are exchanged
+    by gram the last way only, which keywords without bound need."""
+    from feedloom.operators import filters as fl
+
+    monkeypatch.setattr(fl, "TRIE_CHARACTERS", held)
+    monkeypatch.setattr(fl, "SENT_CHARACTERS", sent)
+    texts = ["ab No 7 cd", "AB", None, "", "ab No 7 cd", "z no 12"]
+    df = spark.createDataFrame([(i % 4 or None, t) for i, t in enumerate(texts)], "id int, t string")
+    words = [f"No {i}" for i in range(250)] + ["ab", "Ab", "zz", "d"]
+    hits = fl.keyword_search(df, words, ["t"], mode).select("id", "source_keyword")
+    want = []
+    for i, t in enumerate(texts):
+        found = [w for w in words if t and w.lower() in t.lower()]
+        want += [(i % 4 or None, w) for w in (found if mode == "all" else found[-1:])]
+    assert sorted(map(tuple, hits.collect()), key=str) == sorted(want, key=str)
+    if held or sent:
+        tree = hits._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(_gram" not in tree
+        assert not held or "Exchange" not in tree
+
+
 def test_very_many_keywords(spark):
     """Two hundred thousand keywords: one exchange by gram, and the sketch's size is fixed."""
     from feedloom.operators import filters as fl
