@@ -32,15 +32,16 @@ def missing(seeds: DataFrame, content: DataFrame, key: str) -> DataFrame:
     return seeds.join(keys.distinct(), [key], "left_anti")
 
 
-def wanted_only(content: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
+def wanted_only(content: DataFrame, seeds: DataFrame, key: str, rows: Optional[int] = None) -> DataFrame:
     """The contents whose ``key`` is a seed's, and few others: small seeds are joined where the
-    contents are read, larger ones become a Bloom filter there."""
+    contents are read, larger ones become a Bloom filter there. ``rows`` is about how many
+    seeds there are; without it they are counted."""
     if content.isStreaming or seeds.isStreaming:
         return content
     distinct = seeds.select(key).na.drop().distinct()
     if is_small(seeds):
         return content.join(F.broadcast(distinct), [key], "left_semi")
-    return semi_filtered(content, distinct, [key], distinct.count())
+    return semi_filtered(content, distinct, [key], distinct.count() if rows is None else rows)
 
 
 def contents_of(

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from typing import Optional, Union
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from feedloom.operators.joins import contents_of, details, missing
+from feedloom.operators.joins import contents_of, details, missing, wanted_only
 from feedloom.operators.ranking import first_n
 from feedloom.operators.sets import contact_edges
 from feedloom.operators.skew import balanced_join
 from feedloom.plans.comments import Discussion, discussion
+from feedloom.session import is_small
 
 
 @dataclass(frozen=True)
@@ -36,9 +37,18 @@ class CreatorResult:
     discussion: Optional[Discussion] = None
 
 
-def _of(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """The rows of the wanted authors; those of a hot one are spread."""
-    return balanced_join(df, wanted.select(F.col("author_id").alias(column)), [column], "left_semi")
+def _of(
+    df: DataFrame, column: str, wanted: DataFrame, order: Sequence[Column], n: int, rows: Optional[int]
+) -> DataFrame:
+    """The first ``n`` rows (0: all) of each wanted author; those of a hot one are spread.
+
+    Rows of other authors are dropped where they are read, as far as a filter can tell them, and
+    the cap comes first: no task holds rows of its authors that the cap drops.
+    """
+    named = wanted.select(F.col("author_id").alias(column))
+    if n > 0:
+        df = first_n(wanted_only(df, named, column, rows), [column], order, n)
+    return balanced_join(df, named, [column], "left_semi")
 
 
 def creator_run(
@@ -61,18 +71,19 @@ def creator_run(
         wanted, content, "author_id", "author_id", newest, caps.contents,
         scatter_by=["platform", "content_id"],
     )
+    # sizes the filters only; seeds that Catalyst broadcasts need none
+    rows = None if is_small(wanted) else wanted.count()
     edges = None
     if fans is not None and followings is not None:
         by_pair = [F.col("up_id"), F.col("fan_id")]
         edges = contact_edges(
-            first_n(_of(fans, "up_id", wanted), ["up_id"], by_pair, caps.contacts),
-            first_n(_of(followings, "fan_id", wanted), ["fan_id"], by_pair, caps.contacts),
+            _of(fans, "up_id", wanted, by_pair, caps.contacts, rows),
+            _of(followings, "fan_id", wanted, by_pair, caps.contacts, rows),
         )
     posts = None
     if activity is not None:
-        posts = first_n(
-            _of(activity, "user_id", wanted), ["user_id"], [F.desc("pub_ts"), F.col("activity_id")], caps.activities
-        )
+        newest_post = [F.desc("pub_ts"), F.col("activity_id")]
+        posts = _of(activity, "user_id", wanted, newest_post, caps.activities, rows)
     profiles = None
     if creator is not None:
         profiles = details(creator, wanted.select(F.col("author_id").alias("user_id")), "user_id")

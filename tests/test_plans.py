@@ -86,3 +86,37 @@ def test_detail_run(spark):
     assert [tuple(r) for r in result.not_found.collect()] == [("x", "gone")]
     assert sorted(r.comment_id for r in result.discussion.comment.collect()) == ["m1-0", "m1-2"]
     assert sorted(r.comment_id for r in result.discussion.replies.collect()) == ["m1-1", "m1-3", "m1-5", "m1-7"]
+
+
+def test_the_cap_of_a_creator_comes_before_the_join(spark):
+    """Seeds too many to broadcast: what a cap drops is not met with them; the rows are those of
+    seeds that are broadcast. Authors that are no seeds, and none, have no rows."""
+    from feedloom.plans.creator import CreatorCaps, creator_run
+
+    rng = range(400)
+    fans = spark.createDataFrame([(i % 9 or None, i) for i in rng], "up_id long, fan_id long")
+    followings = spark.createDataFrame([(i, i % 7 or None) for i in rng], "up_id long, fan_id long")
+    activity = spark.createDataFrame([(i % 5 or None, i, i % 40) for i in rng], "user_id long, activity_id long, pub_ts long")
+    content = spark.createDataFrame([], "platform string, content_id long, author_id long, created_ts timestamp")
+    seeds = spark.createDataFrame([(1,), (1,), (3,), (6,), (None,), (77,)], "author_id long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    found = []
+    for limit in (old, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            for n in (3, 0):
+                r = creator_run(seeds, content, fans, followings, activity, CreatorCaps(contacts=n, activities=n))
+                edges, posts = (sorted(map(tuple, x.collect())) for x in (r.edges, r.activity))
+                mine = {1, 3, 6}
+                for pairs, author in (([(i % 9, i) for i in rng], 0), ([(i, i % 7) for i in rng], 1)):
+                    for a in mine:
+                        want = sorted(p for p in pairs if p[author] == a)
+                        assert set(want[:n] if n else want) <= set(edges)
+                assert {p[0] for p in posts} == {1, 3} and (not n or len(posts) == 2 * n)
+                found.append((edges, posts))
+                if n and limit == "-1":
+                    plan = r.activity._jdf.queryExecution().optimizedPlan().toString()
+                    assert plan.index("LeftSemi") < plan.index("WindowGroupLimit") if "WindowGroupLimit" in plan else plan.index("LeftSemi") < plan.index("Window")
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert found[:2] == found[2:]
