@@ -199,3 +199,53 @@ def test_unclosed_pages_are_linear(part):
 
     seconds(1000)
     assert seconds(40_000) < 8 * seconds(10_000) + 0.2
+
+
+def test_pages_as_field_by_field():
+    """Fields whose paths begin alike are read together: as each field alone, on pages of any shape."""
+    import random
+
+    from feedloom.normalize import tieba
+
+    rng = random.Random(5)
+    specs = [tieba.SEARCH_PAGE, tieba.DETAIL_PAGE, tieba.POSTS_PAGE, tieba.REPLIES_PAGE, tieba.CREATOR_PAGE]
+    steps = [s for spec in specs for path in (*spec.blocks, *(t.path for t in spec.fields.values())) for s in path]
+    values = [' %s="%s"' % a for s in steps for a in s.attrs] + [" class=p_title", ' class="a&amp;b" href="/home/main?x"', " /", ""]
+    tags = [s.tag for s in steps if s.tag] + ["br", "script", "b"]
+
+    def piece():
+        tag = rng.choice(tags)
+        return rng.choice([f"<{tag}{rng.choice(values)}>", f"<{tag}{rng.choice(values)}{rng.choice(values)}>", f"</{tag}>", "x &amp; ", "<!-- <a> -->"])
+
+    for _ in range(400):
+        page = "".join(piece() for _ in range(rng.randint(0, 60)))
+        for spec in specs:
+            got = page_records(page, spec)
+            for name, take in spec.fields.items():
+                alone = page_records(page, PageSpec(spec.blocks, {name: take}))
+                assert [r[name] for r in got] == [r[name] for r in alone]
+
+
+def test_a_lone_attribute_is_read_as_any():
+    """The short way for an element with one attribute finds what the long way finds."""
+    for value in ("a b", "a&b", 'a"b', "ü", ""):
+        step = at("p", cls=value)
+        for raw in (f'<p class="{value}">', f"<p class='{value}'>", f'<p id=x class="{value}">', f'<p CLASS="{value}">'):
+            got = page_records(raw + "t</p>", PageSpec(blocks=((step,),), fields={"c": Take((), "class")}))
+            assert [r["c"] for r in got] in ([value], []) and (got or '"' in value)
+
+
+def test_a_page_is_read_in_time():
+    """Paths that begin alike are sought once, whatever the number of fields."""
+    from feedloom.sources import pages as pg
+
+    calls = []
+    plain = pg._step
+    path = (at("div"), at("span", cls="x"))
+    spec = PageSpec(blocks=((),), fields={f"f{i}": Take(path, index=i) for i in range(20)})
+    pg._step = lambda *a: calls.append(1) or plain(*a)
+    try:
+        row = page_records("<div>" + '<span class="x">y</span>' * 20 + "</div>", spec)[0]
+    finally:
+        pg._step = plain
+    assert set(row.values()) == {"y"} and len(calls) == 2
